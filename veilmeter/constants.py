@@ -51,7 +51,7 @@ PII_PATTERNS = (
         rf"(?iu)(?<![{W}])(?:họ[{S}]*(?:và[{S}]*)?tên|khách[{S}]*hàng|người[{S}]*nhận|tên)"
         rf"[{S}]*[:\-]?[{S}]*",
         rf"((?:nguyễn|trần|lê|phạm|hoàng|huỳnh|phan|vũ|võ|đặng|bùi|đỗ|hồ|ngô|dương|lý)"
-        rf"[{S}]+(?:[a-zà-ỹđßΐΰ]+[{S}]*){{1,4}})",
+        rf"[{S}]+(?:[a-zà-ỹđß\x{{1fd3}}\x{{1fe3}}\x{{a64a}}\x{{a64b}}]+[{S}]*){{1,4}})",
         None,
     ),
 )

@@ -1,0 +1,10 @@
+"""Named queries over the given tables, each with reference SQL where SQL can state it."""
+
+from importlib import import_module
+
+from .registry import QUERIES, SQL
+
+for _area in ("metering",):
+    import_module(f"{__name__}.{_area}")
+
+__all__ = ["QUERIES", "SQL"]

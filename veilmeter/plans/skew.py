@@ -1,0 +1,126 @@
+"""Exact ranks, running sums and as-of lookups that stay spread out when one group is huge.
+
+A plain window sends a whole group to one task. Here groups above ``hot_rows`` are cut into
+ordered slices: cut points are order keys of a hashed row sample, so slices are a function of the
+row alone and the plan stays deterministic and lazy. Slice totals give every slice its offset;
+the window then runs per slice. Other groups keep one slice and pay one extra aggregate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+HOT_ROWS = 5_000_000
+SAMPLE_EVERY = 100_000
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: dict[str, Column] | None = None,
+    rank: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    sample_every: int = SAMPLE_EVERY,
+) -> DataFrame:
+    """Add the position (``rank``) and running ``sums`` of each row within its group.
+
+    ``order`` must be a total order within a group.
+    """
+    sums = dict(sums or {})
+    at = F.struct(*[F.col(c) for c in order])
+    sampled = F.when(F.pmod(F.xxhash64(*order), F.lit(sample_every)) == 0, at)
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.collect_list(sampled).alias("_cuts"))
+        .filter((F.col("_n") > hot_rows) & (F.size("_cuts") > 0))
+        .select(*keys, F.array_sort("_cuts").alias("_cuts"))
+    )
+
+    def tagged(part: DataFrame, how: str) -> DataFrame:
+        return part.join(hot, list(keys), how).withColumn(
+            "_slice",
+            F.coalesce(F.size(F.filter("_cuts", lambda c: c <= at)), F.lit(0)),
+        ).drop("_cuts")
+
+    measures = {f"_sum_{name}": value for name, value in sums.items()}
+    if rank:
+        measures["_rows"] = F.lit(1).cast("bigint")
+    totals = (
+        tagged(df, "inner")
+        .groupBy(*keys, "_slice")
+        .agg(*[F.sum(v).alias(name) for name, v in measures.items()])
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_slice", *[F.sum(name).over(before).alias(name) for name in measures]
+    )
+    here = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged(df, "left")
+    added = {f"_at_{name}": F.sum(value).over(upto) for name, value in sums.items()}
+    if rank:
+        added["_at_rank"] = F.row_number().over(here).cast("bigint")
+    local = local.select("*", *[c.alias(name) for name, c in added.items()])
+    out = local.join(offsets, [*keys, "_slice"], "left")
+    columns = [F.col(c) for c in df.columns]
+    for name in sums:
+        shift = F.coalesce(F.col(f"_sum_{name}"), F.lit(0))
+        columns.append((F.col(f"_at_{name}") + shift).alias(name))
+    if rank:
+        columns.append((F.col("_at_rank") + F.coalesce("_rows", F.lit(0))).alias(rank))
+    return out.select(*columns)
+
+
+def latest_within(
+    asked: DataFrame,
+    known: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    known_at: str,
+    seconds: int,
+    value: str,
+) -> DataFrame:
+    """For each ``asked`` row the ``value`` last ``known`` at most ``seconds`` before it, or NULL.
+
+    Time is cut into slices of that length. A known row can matter in its own slice and the next,
+    so it is placed in both and one window per key and slice answers every question.
+    """
+    columns = asked.columns
+    micros = seconds * 1_000_000
+
+    def moment(c: str) -> Column:
+        return F.unix_micros(F.col(c))
+
+    left = asked.select(
+        *keys,
+        moment(at).alias("_us"),
+        F.floor(moment(at) / micros).cast("bigint").alias("_slice"),
+        F.lit(1).alias("_asks"),
+        F.struct(*columns).alias("_row"),
+        F.lit(None).cast(f"struct<us:bigint,value:{_type(known, value)}>").alias("_hit"),
+    )
+    own = F.floor(moment(known_at) / micros).cast("bigint")
+    right = known.select(
+        *keys,
+        moment(known_at).alias("_us"),
+        F.explode(F.array(own, own + 1)).alias("_slice"),
+        F.lit(0).alias("_asks"),
+        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
+        F.struct(moment(known_at).alias("us"), F.col(value).alias("value")).alias("_hit"),
+    )
+    w = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy("_us", "_asks")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    seen = left.unionByName(right).withColumn("_last", F.last("_hit", ignorenulls=True).over(w))
+    fresh = F.when(F.col("_us") - F.col("_last.us") <= micros, F.col("_last.value"))
+    return seen.filter("_asks = 1").select("_row.*", fresh.alias(value))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()

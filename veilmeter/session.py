@@ -15,6 +15,7 @@ def local_session(name: str, cpus: int | None = None, memory: str = "8g") -> Spa
         SparkSession.builder.master(f"local[{n}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="veilmeter-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def durable(df):
+    """Write ``df`` to the shared folder and read it back: computed once, safe to lose executors."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
