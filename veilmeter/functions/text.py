@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLANKS, D
@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read but never re-evaluate.
+
+    A one-row ``inline`` stops the optimiser from copying costly expressions into each use.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode blanks from both ends."""
     return F.btrim(text, F.lit(BLANKS))

@@ -11,7 +11,7 @@ from ..constants import (
 from ..functions.crypto import sha256
 from ..functions.jsontext import holds_content, is_object, parsed
 from ..functions.numbers import epoch_timestamp, read_double
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, computed_once
 
 
 def spaced_json(value: Column) -> Column:
@@ -43,27 +43,35 @@ def build_event(
 def read_audit(records: DataFrame, fields: str = "fields") -> DataFrame:
     """Read string records; ``reason`` holds the first refusal, NULL for a valid event."""
 
-    def f(name: str) -> Column:
-        return blank_to_null(F.try_element_at(F.col(fields), F.lit(name)))
-
-    detail = parsed(f("detail"))
+    names = ("detail", "actor", "action", "resource")
+
+    def raw(name: str) -> Column:
+        return F.try_element_at(F.col(fields), F.lit(name))
+
+    texts = {
+        "_at": read_double(raw("ts")),
+        "_detail": blank_to_null(raw("detail")),
+        **{n: blank_to_null(raw(n)) for n in names[1:]},
+    }
+    t = computed_once(computed_once(records, texts), {"_json": parsed(F.col("_detail"))})
+    v = computed_once(t, {
+        "_object": is_object(F.col("_json")), "_content": holds_content(F.col("_json")),
+        "detail": F.to_json(F.col("_json")),
+    })
     checks = [
-        (read_double(f("ts")).isNull(), MSG_AUDIT_TS),
-        (f("detail").isNull(), MSG_MISSING + "detail"),
-        (detail.isNull(), MSG_AUDIT_JSON),
-        (~is_object(detail), MSG_AUDIT_OBJECT),
-        (holds_content(detail), MSG_AUDIT_CONTENT),
-        *[(f(n).isNull(), MSG_MISSING + n) for n in ("actor", "action", "resource")],
+        (F.col("_at").isNull(), MSG_AUDIT_TS),
+        (F.col("_detail").isNull(), MSG_MISSING + "detail"),
+        (F.col("detail").isNull(), MSG_AUDIT_JSON),
+        (~F.col("_object"), MSG_AUDIT_OBJECT),
+        (F.col("_content"), MSG_AUDIT_CONTENT),
+        *[(F.col(n).isNull(), MSG_MISSING + n) for n in names[1:]],
     ]
     reason = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
-    return records.select(
-        "*",
+    return v.select(
+        *[F.col(c) for c in records.columns],
         reason.alias("reason"),
-        epoch_timestamp(read_double(f("ts"))).alias("ts"),
-        f("actor").alias("actor"),
-        f("action").alias("action"),
-        f("resource").alias("resource"),
-        F.to_json(detail).alias("detail"),
+        epoch_timestamp(F.col("_at")).alias("ts"),
+        "actor", "action", "resource", "detail",
     )
 
 

@@ -12,7 +12,7 @@ from ..constants import (
 from ..functions.numbers import (
     epoch_timestamp, is_number, read_bool, read_decimal, read_double, read_int, read_uuid,
 )
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, computed_once
 
 _LOG = (
     "litellm_call_id string, model string, call_type string, response_cost string, stream string, "
@@ -67,62 +67,84 @@ def normalise_log(logs: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def endpoint(call_type: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in ENDPOINTS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, call_type), F.lit(DEFAULT_ENDPOINT))
+    named = F
+    for call, path in ENDPOINTS.items():
+        named = named.when(call_type == call, path)
+    return named.otherwise(DEFAULT_ENDPOINT)
 
 
 def latency_ms(start: Column, end: Column) -> Column:
-    return F.greatest(F.lit(0), F.bround((end - start) * 1000, 0)).cast("bigint")
+    return F.greatest(F.lit(0.0), F.rint((end - start) * 1000)).cast("bigint")
 
 
-def _refusals(f) -> list[tuple[Column, str]]:
-    """(condition, message) pairs in the order a record is read."""
+def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
+    """Read string records; ``reason`` holds the first refusal, NULL for a valid record."""
+
+    def raw(name: str, absent: str | None = None) -> Column:
+        value = F.try_element_at(F.col(fields), F.lit(name))
+        return value if absent is None else F.coalesce(value, F.lit(absent))
+
+    t = computed_once(records, {
+        "_team": raw("team_id"),
+        "_end": raw("end_time"),
+        "_start": raw("start_time"),
+        "_model": raw("model"),
+        "_in": raw("tokens_in", "0"),
+        "_out": raw("tokens_out", "0"),
+        "_cost": raw("cost_usd", "0"),
+        "_call": raw("call_type"),
+        "_hit": raw("cache_hit"),
+        "_trace": raw("trace_id"),
+    })
+    v = computed_once(t, {
+        "tenant_id": read_uuid(F.col("_team")),
+        "model": blank_to_null(F.col("_model")),
+        "tokens_in": read_int(F.col("_in")),
+        "tokens_out": read_int(F.col("_out")),
+        "_usd": read_decimal(F.col("_cost")),
+        "_began": read_double(F.col("_start")),
+        "_ended": read_double(F.col("_end")),
+        "_id": F.when(F.length("_trace") > 0, F.col("_trace"))
+        .otherwise(blank_to_null(raw("call_id"))),
+    })
+
+    def missing(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
     checks = [
-        (read_uuid(blank_to_null(f("team_id"))).isNull(), MSG_TEAM),
-        (blank_to_null(f("end_time")).isNull(), MSG_MISSING + "end_time"),
-        (~is_number(f("end_time")), MSG_END_NOT_TS),
-        (~F.coalesce(read_double(f("end_time")) > 0, F.lit(False)), MSG_END_INVALID),
-        (blank_to_null(f("model")).isNull(), MSG_MISSING + "model"),
+        (F.col("tenant_id").isNull(), MSG_TEAM),
+        (
+            F.col("_ended").isNull() & blank_to_null(F.col("_end")).isNull(),
+            MSG_MISSING + "end_time",
+        ),
+        (F.col("_ended").isNull() & ~is_number(F.col("_end")), MSG_END_NOT_TS),
+        (~missing(F.col("_ended") > 0), MSG_END_INVALID),
+        (F.col("model").isNull(), MSG_MISSING + "model"),
     ]
     for name in ("tokens_in", "tokens_out"):
-        number = read_int(F.coalesce(f(name), F.lit("0")))
-        checks += [(number.isNull(), name + MSG_NOT_INT), (number < 0, name + MSG_NEGATIVE)]
-    cost = F.coalesce(f("cost_usd"), F.lit("0"))
+        checks += [
+            (F.col(name).isNull(), name + MSG_NOT_INT), (F.col(name) < 0, name + MSG_NEGATIVE)
+        ]
     checks += [
-        (~is_number(cost), "cost_usd" + MSG_NOT_NUMBER),
-        (~F.coalesce(read_decimal(cost) >= 0, F.lit(False)), "cost_usd" + MSG_INVALID),
-        (read_double(f("start_time")).isNull(), MSG_LATENCY),
-        (
-            F.nullif(f("trace_id"), F.lit("")).isNull() & blank_to_null(f("call_id")).isNull(),
-            MSG_MISSING + "call_id",
-        ),
+        (F.col("_usd").isNull() & ~is_number(F.col("_cost")), "cost_usd" + MSG_NOT_NUMBER),
+        (~missing(F.col("_usd") >= 0), "cost_usd" + MSG_INVALID),
+        (F.col("_began").isNull(), MSG_LATENCY),
+        (F.col("_id").isNull(), MSG_MISSING + "call_id"),
     ]
-    return checks
-
-
-def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
-    """Read string records; ``reason`` holds the first refusal, NULL for a valid record."""
-
-    def f(name: str) -> Column:
-        return F.try_element_at(F.col(fields), F.lit(name))
-
-    reason = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in _refusals(f)])
-    end = read_double(f("end_time"))
-    return records.select(
-        "*",
+    reason = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
+    return v.select(
+        *[F.col(c) for c in records.columns],
         reason.alias("reason"),
-        epoch_timestamp(end).alias("ts"),
-        read_uuid(blank_to_null(f("team_id"))).alias("tenant_id"),
-        endpoint(f("call_type")).alias("endpoint"),
-        blank_to_null(f("model")).alias("model"),
-        read_int(F.coalesce(f("tokens_in"), F.lit("0"))).alias("tokens_in"),
-        read_int(F.coalesce(f("tokens_out"), F.lit("0"))).alias("tokens_out"),
-        read_decimal(F.coalesce(f("cost_usd"), F.lit("0")))
-        .try_cast("decimal(12,6)").alias("cost_usd"),
-        latency_ms(read_double(f("start_time")), end).alias("latency_ms"),
-        read_bool(f("cache_hit")).alias("cache_hit"),
-        F.coalesce(F.nullif(f("trace_id"), F.lit("")), blank_to_null(f("call_id")))
-        .alias("trace_id"),
+        epoch_timestamp(F.col("_ended")).alias("ts"),
+        "tenant_id",
+        endpoint(F.col("_call")).alias("endpoint"),
+        "model",
+        "tokens_in",
+        "tokens_out",
+        F.col("_usd").try_cast("decimal(12,6)").alias("cost_usd"),
+        latency_ms(F.col("_began"), F.col("_ended")).alias("latency_ms"),
+        read_bool(F.col("_hit")).alias("cache_hit"),
+        F.col("_id").alias("trace_id"),
     )
 
 
