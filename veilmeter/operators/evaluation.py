@@ -16,20 +16,22 @@ def labelled_corpus(indexes: DataFrame, index: str = "i") -> DataFrame:
     i = F.col(index).cast("bigint")
     name = F.get(F.array(*[F.lit(n) for n in CORPUS_NAMES]), (i % 4).cast("int"))
 
-    def case(no: int, kind: str | None, before: str, value: Column | None, after: str = ""):
-        text = F.concat(F.lit(before), F.coalesce(value, F.lit("")), F.lit(after))
-        if kind is None:
-            text = F.concat(
-                F.lit("Mã sản phẩm SP-"), (1000 + i).cast("string"), F.lit(", giá "),
-                (i + 1).cast("string"), F.lit("000 đồng"),
-            )
+    def case(no: int, kind: str | None, before: str, value: Column, after: str = ""):
         return F.struct(
             F.lit(no).alias("case_no"),
-            text.alias("text"),
+            F.concat(F.lit(before), F.coalesce(value, F.lit("")), F.lit(after)).alias("text"),
             F.lit(kind).cast("string").alias("kind"),
-            (value if value is not None else F.lit(None).cast("string")).alias("value"),
+            value.alias("value"),
         )
 
+    nothing = F.lit(None).cast("string")
+    product = F.concat((1000 + i).cast("string"), F.lit(", giá "), (i + 1).cast("string"))
+    negative = F.struct(
+        F.lit(6).alias("case_no"),
+        F.concat(F.lit("Mã sản phẩm SP-"), product, F.lit("000 đồng")).alias("text"),
+        nothing.alias("kind"),
+        nothing.alias("value"),
+    )
     cases = F.array(
         case(0, "PHONE", "Liên hệ ", F.concat(F.lit("09"), F.lpad(i.cast("string"), 8, "0"))),
         case(1, "CCCD", "CCCD ", F.concat(F.lit("001"), F.lpad(i.cast("string"), 9, "0"))),
@@ -39,7 +41,7 @@ def labelled_corpus(indexes: DataFrame, index: str = "i") -> DataFrame:
         case(4, "ORDER", "Đơn ", F.concat(F.lit("#A"), (1000 + i).cast("string")),
              " cần kiểm tra"),
         case(5, "NAME", "Khách hàng: ", name),
-        case(6, None, "", None),
+        negative,
     )
     return indexes.select(index, F.explode(cases).alias("c")).select(index, "c.*")
 

@@ -26,7 +26,8 @@ _LOG = (
 
 def normalise_log(logs: DataFrame, payload: str = "payload") -> DataFrame:
     """Nested gateway log JSON -> the flat string fields of a usage record."""
-    p = F.from_json(F.col(payload), _LOG)
+    read = computed_once(logs, {"_log": F.from_json(F.col(payload), _LOG)})
+    p = F.col("_log")
     slo = p["standard_logging_object"]
     meta = slo["metadata"]
 
@@ -61,9 +62,8 @@ def normalise_log(logs: DataFrame, payload: str = "payload") -> DataFrame:
         "start_time": first(slo["startTime"]),
         "end_time": first(slo["endTime"]),
     }
-    return logs.withColumn(
-        "fields", F.create_map(*[x for n in USAGE_FIELDS for x in (F.lit(n), values[n])])
-    )
+    fields = F.create_map(*[x for n in USAGE_FIELDS for x in (F.lit(n), values[n])])
+    return read.withColumn("fields", fields).drop("_log")
 
 
 def endpoint(call_type: Column) -> Column:
