@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pii
+from ..functions.text import computed_once
 
 # Names used by the labelled corpus.
 CORPUS_NAMES = ("Nguyễn Văn An", "Trần Thị Bình", "Lê Minh Châu", "Phạm Gia Hân")
@@ -90,20 +91,14 @@ def confusion(outcomes: DataFrame) -> DataFrame:
 
 
 def leakage(cases: DataFrame) -> DataFrame:
-    """Cases whose expected value survives redaction."""
-    found = pii.entities(F.col("text"))
-    both = cases.filter(F.col("value").isNotNull()).withColumn("_found", found)
+    """Add ``redacted`` and ``leaks``: the case's expected value survives its redaction."""
+    both = computed_once(cases, {"_found": pii.entities(F.col("text"))})
     redacted = F.get(
-        pii.redact_texts(
-            F.array("text"), F.array("_found"), pii.numbering(F.col("_found"))
-        ),
+        pii.redact_texts(F.array("text"), F.array("_found"), pii.numbering(F.col("_found"))),
         F.lit(0),
     )
-    return (
-        both.withColumn("redacted", redacted)
-        .filter(F.contains("redacted", F.col("value")))
-        .select("kind", "value", "redacted")
-    )
+    out = computed_once(both, {"redacted": redacted}).drop("_found")
+    return out.withColumn("leaks", F.coalesce(F.contains("redacted", F.col("value")), F.lit(False)))
 
 
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

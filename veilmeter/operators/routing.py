@@ -65,23 +65,24 @@ def refused_models(requests: DataFrame, allowed: DataFrame) -> DataFrame:
     return requests.join(allowed, ["tenant_id", "model"], "left_anti")
 
 
-def with_fallback(requests: DataFrame, chains: DataFrame, healthy: DataFrame) -> DataFrame:
-    """First healthy model of ``model`` and its fallback chain.
+def with_fallback(
+    requests: DataFrame, chains: DataFrame, down: DataFrame, at: list[str]
+) -> DataFrame:
+    """First healthy model of ``model`` and its fallback chain, NULL when none is left.
 
-    ``chains`` holds (model, fallbacks array); ``healthy`` (model). Requests that disable fallbacks
-    only try their own model. NULL when nothing is left.
+    ``chains`` holds (model, fallbacks array); ``down`` holds the models that are out, one row per
+    ``at`` and model. Requests that disable fallbacks only try their own model.
     """
-    options = chains.select(
-        "model", F.posexplode(F.concat(F.array("model"), "fallbacks")).alias("pos", "candidate")
-    )
-    best = options.join(healthy.select(F.col("model").alias("candidate")), "candidate").groupBy(
-        "model"
-    ).agg(
-        F.min_by("candidate", "pos").alias("_any"),
-        F.max(F.when(F.col("pos") == 0, F.col("candidate"))).alias("_own"),
+    out = down.groupBy(*at).agg(F.collect_set("model").alias("_down"))
+    joined = requests.join(chains, "model", "left").join(out, at, "left")
+    own = F.array("model")
+    options = F.when(F.col("disable_fallbacks"), own).otherwise(
+        F.concat(own, F.coalesce("fallbacks", F.array().cast("array<string>")))
     )
-    served = F.when(F.col("disable_fallbacks"), F.col("_own")).otherwise(F.col("_any"))
-    return requests.join(best, "model", "left").select(
+    none = F.array().cast("array<string>")
+    alive = F.filter(options, lambda m: ~F.array_contains(F.coalesce("_down", none), m))
+    served = F.get(alive, F.lit(0))
+    return joined.select(
         *[F.col(c) for c in requests.columns],
         served.alias("served_model"),
         (served != F.col("model")).alias("fell_back"),

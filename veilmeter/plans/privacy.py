@@ -522,8 +522,6 @@ def wrong_labels(spark, d):
     """SELECT count(*) * 7 AS cases, 0::BIGINT AS leaking FROM documents""",
 )
 def leakage(spark, d):
-    c = corpus(spark, d)
-    leaking = E.leakage(c).agg(F.count(F.lit(1)).alias("leaking"))
-    return c.agg(F.count(F.lit(1)).alias("cases")).join(leaking)
-
-
+    return E.leakage(corpus(spark, d)).agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("leaks").alias("leaking")
+    )
