@@ -110,8 +110,8 @@ def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     counted = df.groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     return counted.groupBy(*by).agg(
         F.sum("_n").alias("count"),
-        F.round(F.percentile("_x", 0.5, "_n"), 2).alias("p50_ms"),
-        F.round(F.percentile("_x", 0.95, "_n"), 2).alias("p95_ms"),
+        F.round(F.percentile("_x", 0.5, F.col("_n")), 2).alias("p50_ms"),
+        F.round(F.percentile("_x", 0.95, F.col("_n")), 2).alias("p95_ms"),
         F.round(F.sum(F.col("_x") * F.col("_n")) / F.sum("_n"), 2).alias("mean_ms"),
     )
 
