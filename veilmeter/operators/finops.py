@@ -76,7 +76,11 @@ def budget_crossings(
         F.floor(F.unix_micros("ts") / 1_000_000).alias("second"), order, "cost_usd",
     )
     seconds = timed.groupBy(*keys, "second").agg(F.sum("cost_usd").alias("spent"))
-    burn = skew.running(seconds, keys, ["second"], sums={"total": F.col("spent")})
+    # A month has at most 2.7 million seconds, which bounds this window.
+    upto = Window.partitionBy(*keys).orderBy("second").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    burn = seconds.withColumn("total", F.sum("spent").over(upto))
     marks = F.explode(F.array(*[
         F.struct(F.lit(name).alias("level"),
                  (F.col("limit_usd") * F.lit(str(share)).cast("decimal(6,4)")).alias("at_usd"))

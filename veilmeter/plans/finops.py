@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import finops as O
+from ..session import durable
 from ..sources import tables as T
 from .basis import choose, with_
 from .metering import facts
@@ -90,7 +91,7 @@ def monthly_statement(spark, d):
       WHERE total >= budget_usd * share) WHERE n = 1"""),
 )
 def budget_crossings(spark, d):
-    out = O.budget_crossings(facts(spark, d), budgets(spark, d), {"soft": 0.8, "hard": 1.0})
+    out = O.budget_crossings(durable(facts(spark, d)), budgets(spark, d), {"soft": 0.8, "hard": 1.0})
     return out.select("tenant_id", "level", "crossed_at", "spent_usd")
 
 

@@ -1,9 +1,14 @@
 """Exact ranks, running sums and as-of lookups that stay spread out when one group is huge.
 
 A plain window sends a whole group to one task. Here groups above ``hot_rows`` are cut into
-ordered slices: cut points are order keys of a hashed row sample, so slices are a function of the
+ordered slices: cut points are order keys of a hashed row sample, so a row's slice depends on the
 row alone and the plan stays deterministic and lazy. Slice totals give every slice its offset;
-the window then runs per slice. Other groups keep one slice and pay one extra aggregate.
+the window then runs per slice. Where no group is hot, adaptive execution drops those branches and
+only a count per group is left of the extra work.
+
+Sizes: at most rows / hot_rows groups are hot, and together they have about rows / sample_every
+cut points and slices. With the defaults a trillion rows give a million of each, some tens of
+megabytes, so these tables are broadcast.
 """
 
 from __future__ import annotations
@@ -13,8 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
-SAMPLE_EVERY = 100_000
+HOT_ROWS = 20_000_000
+SAMPLE_EVERY = 1_000_000
 
 
 def running(
@@ -28,29 +33,35 @@ def running(
 ) -> DataFrame:
     """Add the position (``rank``) and running ``sums`` of each row within its group.
 
-    ``order`` must be a total order within a group.
+    ``order`` must be a total order within a group. Rows with a NULL key are never cut.
     """
     sums = dict(sums or {})
+    keys = list(keys)
     at = F.struct(*[F.col(c) for c in order])
-    sampled = F.when(F.pmod(F.xxhash64(*order), F.lit(sample_every)) == 0, at)
     hot = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.collect_list(sampled).alias("_cuts"))
-        .filter((F.col("_n") > hot_rows) & (F.size("_cuts") > 0))
-        .select(*keys, F.array_sort("_cuts").alias("_cuts"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(*keys)
+    )
+    sampled = F.pmod(F.xxhash64(*order), F.lit(sample_every)) == 0
+    cuts = (
+        df.filter(sampled)
+        .join(F.broadcast(hot), keys)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(at)).alias("_cuts"))
     )
 
-    def tagged(part: DataFrame, how: str) -> DataFrame:
-        return part.join(hot, list(keys), how).withColumn(
-            "_slice",
-            F.coalesce(F.size(F.filter("_cuts", lambda c: c <= at)), F.lit(0)),
-        ).drop("_cuts")
+    def sliced(how: str) -> DataFrame:
+        passed = F.size(F.filter("_cuts", lambda c: c <= at))
+        tagged = df.join(F.broadcast(cuts), keys, how)
+        return tagged.withColumn("_slice", F.coalesce(passed, F.lit(0))).drop("_cuts")
 
     measures = {f"_sum_{name}": value for name, value in sums.items()}
     if rank:
         measures["_rows"] = F.lit(1).cast("bigint")
     totals = (
-        tagged(df, "inner")
+        sliced("inner")
         .groupBy(*keys, "_slice")
         .agg(*[F.sum(v).alias(name) for name, v in measures.items()])
     )
@@ -60,12 +71,11 @@ def running(
     )
     here = Window.partitionBy(*keys, "_slice").orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged(df, "left")
     added = {f"_at_{name}": F.sum(value).over(upto) for name, value in sums.items()}
     if rank:
         added["_at_rank"] = F.row_number().over(here).cast("bigint")
-    local = local.select("*", *[c.alias(name) for name, c in added.items()])
-    out = local.join(offsets, [*keys, "_slice"], "left")
+    local = sliced("left").select("*", *[c.alias(name) for name, c in added.items()])
+    out = local.join(F.broadcast(offsets), [*keys, "_slice"], "left")
     columns = [F.col(c) for c in df.columns]
     for name in sums:
         shift = F.coalesce(F.col(f"_sum_{name}"), F.lit(0))
