@@ -67,6 +67,12 @@ def epoch_timestamp(seconds: Column) -> Column:
     return F.timestamp_micros(whole * 1_000_000 + micros)
 
 
+def epoch_text(micros: Column) -> Column:
+    """Microseconds since the epoch as decimal seconds text."""
+    whole, rest = F.floor(micros / 1_000_000), F.pmod(micros, F.lit(1_000_000))
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
+
+
 def read_bool(text: Column) -> Column:
     known = F.lower(text).isin("1", "true", "yes") | F.lower(strip(text)).isin("1", "true", "yes")
     return F.coalesce(known, F.lit(False))

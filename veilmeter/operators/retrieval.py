@@ -134,9 +134,29 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def term_table(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """Inverted index rows: (tenant_id, id, acl_groups, term, tf) of visible chunks."""
-    words = visible_chunks(chunks).select("tenant_id", "id", "acl_groups", F.explode(terms(F.col(text))).alias("term"))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(tenant_id, query_id, groups, n_terms, term) of questions (tenant_id, id, groups, question)."""
+    asked = queries.select(
+        "tenant_id", F.col("id").alias("query_id"), "groups",
+        F.array_distinct(terms(F.col("question"))).alias("_terms"),
+    )
+    return asked.select(
+        "tenant_id", "query_id", "groups", F.size("_terms").alias("n_terms"),
+        F.explode("_terms").alias("term"),
+    )
+
+
+def term_table(chunks: DataFrame, text: str = "content", only: DataFrame | None = None) -> DataFrame:
+    """Inverted index rows (tenant_id, id, acl_groups, term, tf) of visible chunks.
+
+    ``only`` (tenant_id, term) keeps the index to terms that are asked for; without it the result
+    is an index worth storing.
+    """
+    words = visible_chunks(chunks).select(
+        "tenant_id", "id", "acl_groups", F.explode(terms(F.col(text))).alias("term")
+    )
+    if only is not None:
+        words = words.join(only.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
     return words.groupBy("tenant_id", "id", "acl_groups", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -146,14 +166,7 @@ def keyword_branch(index: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
     ``queries`` holds tenant_id, id, groups, question. A chunk's terms only meet questions that
     ask for them.
     """
-    asked = queries.select(
-        "tenant_id", F.col("id").alias("query_id"), "groups",
-        F.array_distinct(terms(F.col("question"))).alias("_terms"),
-    )
-    wanted = asked.select(
-        "tenant_id", "query_id", "groups", F.size("_terms").alias("n_terms"),
-        F.explode("_terms").alias("term"),
-    )
+    wanted = asked_terms(queries)
     hits = (
         index.join(wanted, ["tenant_id", "term"])
         .filter(F.arrays_overlap("acl_groups", "groups"))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-for _area in ("metering", "privacy", "access", "finops", "retrieval"):
+for _area in ("metering", "privacy", "access", "finops", "retrieval", "governance", "streams"):
     import_module(f"{__name__}.{_area}")
 
 __all__ = ["QUERIES", "SQL"]

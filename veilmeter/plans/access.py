@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import epoch_text
 from ..operators import audit as A
 from ..operators import policies as S
 from ..operators import routing as R
@@ -331,7 +332,7 @@ def audit_raw(spark, d):
         .otherwise(F.concat(F.lit('{"count": '), F.pmod(i, F.lit(5)).cast("string"), F.lit("}")))
     )
     fields = F.create_map(
-        F.lit("ts"), F.when(every(29), F.lit("soon")).otherwise(T.seconds_text(F.col("us"))),
+        F.lit("ts"), F.when(every(29), F.lit("soon")).otherwise(epoch_text(F.col("us"))),
         F.lit("actor"), F.when(every(31), F.lit(" ")).otherwise(F.concat(F.lit("tenant:"), "slug")),
         F.lit("action"), T.pick(("guardrail.pii_redacted", "guardrail.pii_blocked",
                                  "guardrail.injection_blocked"), i),

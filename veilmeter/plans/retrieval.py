@@ -155,7 +155,9 @@ _KEYWORD = r"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY scor
 
 
 def keyword_branch(spark, d):
-    return R.keyword_branch(R.term_table(text_chunks(spark, d)), text_questions(spark, d))
+    asked = text_questions(spark, d)
+    index = R.term_table(text_chunks(spark, d), only=R.asked_terms(asked))
+    return R.keyword_branch(index, asked)
 
 
 @query(

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import epoch_text
+
 # Demo tenants (slug, id, residency, budget, warning, rpm, tpm, allowed models).
 TENANTS = (
     ("cskh", "3edc0d7b-5f10-5295-bb88-fbe0d4d324f9", "any", 50, 40, 60, 60000,
@@ -62,12 +64,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seconds_text(us: Column) -> Column:
-    """Microseconds as decimal seconds text."""
-    whole, rest = F.floor(us / 1_000_000), F.pmod(us, F.lit(1_000_000))
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
-
-
 def money_text(micros: Column) -> Column:
     return (micros.cast("decimal(18,0)") / 1_000_000).cast("decimal(12,6)").cast("string")
 
@@ -91,8 +87,8 @@ def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tokens_out": F.concat(F.lit(" "), F.col("tokens_out").cast("string")),
         "cost_usd": money_text(F.col("cost_micros")),
         "cache_hit": F.when(F.col("event_type") == "view", "True").otherwise("False"),
-        "start_time": seconds_text(F.col("us") - F.pmod(i, F.lit(2000)) * 1000),
-        "end_time": seconds_text(F.col("us")),
+        "start_time": epoch_text(F.col("us") - F.pmod(i, F.lit(2000)) * 1000),
+        "end_time": epoch_text(F.col("us")),
     }
     copies = F.when(every(50), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return (
