@@ -296,8 +296,8 @@ def savings(facts: DataFrame, catalog: DataFrame, baseline_model: str) -> DataFr
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
         F.sum("cost_usd").alias("actual_usd"),
     )
-    base = catalog.filter(F.col("id") == baseline_model).select("price_in", "price_out")
-    priced = totals.join(F.broadcast(base))
+    prices = catalog.select("id", "price_in", "price_out")
+    priced = totals.withColumn("id", F.lit(baseline_model)).join(prices, "id")
     baseline = token_cost(F.col("tokens_in"), F.col("tokens_out"))
     return priced.select(
         "tenant_id", "actual_usd", baseline.cast("decimal(18,6)").alias("baseline_usd"),

@@ -455,7 +455,7 @@ def legal_holds(spark, d):
     )
     now = F.lit("2000-01-01").cast("timestamp")
     rules = retention_rules(spark)
-    due = G.expired(records, rules, held.limit(0), now).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("due"))
+    due = G.expired(records, rules, held.filter(F.lit(False)), now).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("due"))
     gone = G.expired(records, rules, held, now).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("gone"))
     return due.join(gone, "c_custkey", "left").select(
         "c_custkey", "due", (F.col("due") - F.coalesce("gone", F.lit(0))).alias("held")

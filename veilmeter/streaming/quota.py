@@ -16,35 +16,41 @@ DECISIONS = (
 _COUNTERS = "requests bigint, tokens bigint"
 
 
-def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    requests, tokens = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"])
-    count = requests + np.arange(1, len(rows) + 1)
-    passed = count <= rows["rpm"].to_numpy()
-    spent = tokens + np.cumsum(np.where(passed, rows["tokens"].to_numpy(), 0))
-    fits = passed & (spent <= rows["tpm"].to_numpy())
-    state.update((int(count[-1]), int(spent[-1])))
-    state.setTimeoutDuration(120_000)
-    yield pd.DataFrame({
-        "request_id": rows["request_id"].to_numpy(),
-        "tenant": key[0],
-        "bucket": key[1],
-        "rpm_count": count,
-        "tpm_count": pd.Series(spent, dtype="Int64").where(passed),
-        "reason": np.where(fits, None, np.where(passed, "tpm", "rpm")),
-        "admitted": fits,
-    })
-
-
-def admit(requests: DataFrame) -> DataFrame:
+def _admitting(forget_after_ms: int | None):
+    def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        requests, tokens = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"])
+        count = requests + np.arange(1, len(rows) + 1)
+        passed = count <= rows["rpm"].to_numpy()
+        spent = tokens + np.cumsum(np.where(passed, rows["tokens"].to_numpy(), 0))
+        fits = passed & (spent <= rows["tpm"].to_numpy())
+        state.update((int(count[-1]), int(spent[-1])))
+        if forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame({
+            "request_id": rows["request_id"].to_numpy(),
+            "tenant": key[0],
+            "bucket": key[1],
+            "rpm_count": count,
+            "tpm_count": pd.Series(spent, dtype="Int64").where(passed),
+            "reason": np.where(fits, None, np.where(passed, "tpm", "rpm")),
+            "admitted": fits,
+        })
+
+    return handle
+
+
+def admit(requests: DataFrame, forget_after_ms: int | None = 120_000) -> DataFrame:
     """Decide a stream of requests: request_id, tenant, bucket, ts, tokens, rpm, tpm.
 
-    Counters live per tenant and minute, so a busy tenant spreads over the minutes, and are dropped
-    two minutes after their last request.
+    Counters live per tenant and minute, so a busy tenant spreads over the minutes. They are
+    dropped ``forget_after_ms`` after their last request; pass None for a run that ends once its
+    input is read, because waiting for a timeout never ends.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
     return requests.groupBy("tenant", "bucket").applyInPandasWithState(
-        _admit, DECISIONS, _COUNTERS, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _admitting(forget_after_ms), DECISIONS, _COUNTERS, "append", timeout
     )
