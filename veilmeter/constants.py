@@ -22,39 +22,50 @@ BLANKS = "".join(
 PII_KINDS = ("CCCD", "PHONE", "EMAIL", "BANK", "ORDER", "NAME")
 PROVINCE_FIRST, PROVINCE_LAST = 1, 96
 
-# Fixed values: (kind, context before the value, the value itself, literal every match contains)
-# A cheap one-character look-ahead precedes each look-behind so that most positions fail at once.
-PII_PATTERNS = (
-    ("CCCD", "", rf"(?={D})(?<!{D})({D}{{12}})(?!{D})", None),
-    (
-        "PHONE",
-        "",
-        rf"(?=[+0])(?<!{D})((?:\+84|0)[{S}.]?[35789](?:[{S}.]?{D}){{8}})(?!{D})",
-        None,
-    ),
-    (
-        "EMAIL",
-        "",
-        rf"(?iu)(?<![{W}.+-])([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}})(?![{W}.-])",
-        "@",
-    ),
-    (
-        "BANK",
-        rf"(?iu)(?<![{W}])(?:stk|số[{S}]*tài[{S}]*khoản|tài[{S}]*khoản|ngân[{S}]*hàng)"
+# For each kind what must stand before the match (case as written), whether letter
+# case is ignored, the context that belongs to the match, the value, what may not follow, and a
+# pattern every text with a match contains. Look-behinds come after a first character or a
+# look-ahead, so that nearly every position of a text fails on one comparison.
+PII_PATTERNS = {
+    "CCCD": {
+        "value": rf"{D}(?<!{D}{D}){D}{{11}}",
+        "after": rf"(?!{D})",
+    },
+    "PHONE": {
+        "value": rf"[+0](?<!{D}[+0])(?:(?<=\+)84|(?<=0))[{S}.]?[35789](?:[{S}.]?{D}){{8}}",
+        "after": rf"(?!{D})",
+    },
+    "EMAIL": {
+        "before": rf"(?<![{W}.+-])",
+        "fold": True,
+        "value": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+        "after": rf"(?![{W}.-])",
+        "gate": "@",
+    },
+    "BANK": {
+        "before": rf"(?=[sStTnN\x{{17f}}][tTốỐàÀgG])(?<![{W}])",
+        "fold": True,
+        "context": rf"(?:stk|số[{S}]*tài[{S}]*khoản|tài[{S}]*khoản|ngân[{S}]*hàng)"
         rf"[{S}]*(?:là|:)?[{S}]*",
-        rf"({D}(?:[{S}.-]?{D}){{7,18}})",
-        None,
-    ),
-    ("ORDER", "", rf"(?iu)(?<![{W}])(#[A-Za-z][A-Za-z0-9]{{3,}})(?![{W}])", "#"),
-    (
-        "NAME",
-        rf"(?iu)(?<![{W}])(?:họ[{S}]*(?:và[{S}]*)?tên|khách[{S}]*hàng|người[{S}]*nhận|tên)"
+        "value": rf"{D}(?:[{S}.-]?{D}){{7,18}}",
+        "gate": rf"{D}(?:[{S}.-]?{D}){{7}}",
+    },
+    "ORDER": {
+        "before": rf"(?<![{W}])",
+        "fold": True,
+        "value": r"#[A-Za-z][A-Za-z0-9]{3,}",
+        "after": rf"(?![{W}])",
+        "gate": "#",
+    },
+    "NAME": {
+        "before": rf"(?=[hHkK\x{{212a}}nNtT][ọỌhHgGêÊ])(?<![{W}])",
+        "fold": True,
+        "context": rf"(?:họ[{S}]*(?:và[{S}]*)?tên|khách[{S}]*hàng|người[{S}]*nhận|tên)"
         rf"[{S}]*[:\-]?[{S}]*",
-        rf"((?:nguyễn|trần|lê|phạm|hoàng|huỳnh|phan|vũ|võ|đặng|bùi|đỗ|hồ|ngô|dương|lý)"
-        rf"[{S}]+(?:[a-zà-ỹđß\x{{1fd3}}\x{{1fe3}}\x{{a64a}}\x{{a64b}}]+[{S}]*){{1,4}})",
-        None,
-    ),
-)
+        "value": rf"(?:nguyễn|trần|lê|phạm|hoàng|huỳnh|phan|vũ|võ|đặng|bùi|đỗ|hồ|ngô|dương|lý)"
+        rf"[{S}]+(?:[a-zà-ỹđß\x{{1fd3}}\x{{1fe3}}\x{{a64a}}\x{{a64b}}]+[{S}]*){{1,4}}",
+    },
+}
 
 PLACEHOLDER = rf"<[A-Z]+_{D}+>"
 MAX_PLACEHOLDER = 16
@@ -62,26 +73,26 @@ MASK_OTHER = "[ĐÃ CHE]"
 PII_MODES = ("redact", "mask", "block", "off")
 
 # Fixed value: phone pattern of the payload leak scan.
-LEAK_PHONE = rf"(?=[+0])(?<!{D})(?:\+84|0)(?:[{S}.]?{D}){{9}}(?!{D})"
+LEAK_PHONE = rf"[+0](?<!{D}[+0])(?:(?<=\+)84|(?<=0))(?:[{S}.]?{D}){{9}}(?!{D})"
 
 # --- Fixed values: prompt-injection rules in reporting order -------------------------------
 INJECTION_RULES = (
     (
         "ignore_previous_instructions",
-        rf"(?iu)(?<![{W}])(?:ignore|disregard|bỏ[{S}]*qua)(?![{W}])[^\n]{{0,50}}"
+        rf"(?=[iI\x{{130}}\x{{131}}dDbB][gGiI\x{{130}}\x{{131}}ỏỎ])(?<![{W}])(?iu)(?:ignore|disregard|bỏ[{S}]*qua)(?![{W}])[^\n]{{0,50}}"
         rf"(?<![{W}])(?:previous|prior|hướng[{S}]*dẫn|chỉ[{S}]*dẫn)(?![{W}])",
     ),
     (
         "reveal_system_prompt",
-        rf"(?iu)(?<![{W}])(?:reveal|show|print|tiết[{S}]*lộ|hiển[{S}]*thị)(?![{W}])[^\n]{{0,50}}"
+        rf"(?=[rRsS\x{{17f}}pPtThH][eEhHrRiI\x{{130}}\x{{131}}])(?<![{W}])(?iu)(?:reveal|show|print|tiết[{S}]*lộ|hiển[{S}]*thị)(?![{W}])[^\n]{{0,50}}"
         rf"(?<![{W}])(?:system[{S}]*prompt|prompt[{S}]*hệ[{S}]*thống|instructions)(?![{W}])",
     ),
     (
         "role_override",
-        rf"(?iu)(?<![{W}])(?:you[{S}]+are[{S}]+now|act[{S}]+as|từ[{S}]*giờ[{S}]*bạn[{S}]*là|"
+        rf"(?=[yYaAtTđĐ][oOcCừỪóÓ])(?<![{W}])(?iu)(?:you[{S}]+are[{S}]+now|act[{S}]+as|từ[{S}]*giờ[{S}]*bạn[{S}]*là|"
         rf"đóng[{S}]*vai)(?![{W}])",
     ),
-    ("delimiter_escape", r"(?iu)(?:</?system>|```system|\[\[system\]\])"),
+    ("delimiter_escape", r"(?=[<`\[])(?iu)(?:</?system>|```system|\[\[system\]\])"),
 )
 EVIDENCE_CHARS = 160
 INJECTION_MODES = ("off", "block")

@@ -22,23 +22,34 @@ ENTITY = "struct<kind:string,value:string,start:int,end:int>"
 
 @dataclass(frozen=True)
 class Recogniser:
-    """A kind of value to look for.
+    """A kind of value to look for, as parts of a Java pattern without capturing groups.
 
-    ``context`` is text required before the value but not part of it; ``value`` holds exactly one
-    capturing group; ``check`` filters found values; ``needs`` is a literal every match contains.
+    ``before`` and ``after`` are look-arounds, ``context`` is matched text in front of the value.
+    ``check`` filters found values; ``gate`` is a cheap pattern every text with a match contains.
     """
 
     kind: str
-    context: str
     value: str
+    context: str = ""
+    before: str = ""
+    after: str = ""
+    fold: bool = False
+    gate: str | None = None
     check: Callable[[Column], Column] | None = None
-    needs: str | None = None
 
     @property
-    def pattern(self) -> str:
-        flags = "(?iu)" if "(?iu)" in self.context or "(?iu)" in self.value else ""
-        context = self.context.replace("(?iu)", "")
-        return f"{flags}({context}){self.value.replace('(?iu)', '')}"
+    def _lead(self) -> str:
+        return self.before + ("(?iu)" if self.fold else "")
+
+    @property
+    def whole(self) -> str:
+        """Finds matches. Most texts have none, and groups would slow every position down."""
+        return f"{self._lead}{self.context}{self.value}{self.after}"
+
+    @property
+    def split(self) -> str:
+        """The same with context and value as groups."""
+        return f"{self._lead}({self.context})({self.value}){self.after}"
 
 
 def province_known(value: Column) -> Column:
@@ -53,8 +64,7 @@ def account_length(value: Column) -> Column:
 
 _CHECKS = {"CCCD": province_known, "BANK": account_length}
 DEFAULT_RECOGNISERS = tuple(
-    Recogniser(kind, context, value, _CHECKS.get(kind), needs)
-    for kind, context, value, needs in PII_PATTERNS
+    Recogniser(kind, check=_CHECKS.get(kind), **parts) for kind, parts in PII_PATTERNS.items()
 )
 
 
@@ -63,7 +73,7 @@ def _none() -> Column:
 
 
 def _candidates(text: Column, r: Recogniser, priority: int) -> Column:
-    pattern = F.lit(r.pattern)
+    groups = F.lit(r.split)
 
     def located(whole: Column) -> Column:
         def with_parts(parts: Column) -> Column:
@@ -90,18 +100,20 @@ def _candidates(text: Column, r: Recogniser, priority: int) -> Column:
             return F.aggregate(steps, zero, step, lambda acc: acc["hits"])
 
         parts = F.struct(
-            F.slice(F.split(text, r.pattern, -1), 1, F.size(whole)).alias("before"),
-            F.regexp_extract_all(text, pattern, 1).alias("context"),
-            F.regexp_extract_all(text, pattern, 2).alias("value"),
+            F.slice(F.split(text, r.whole, -1), 1, F.size(whole)).alias("before"),
+            F.regexp_extract_all(text, groups, 1).alias("context"),
+            F.regexp_extract_all(text, groups, 2).alias("value"),
         )
         hits = let(parts, with_parts)
         if r.check is not None:
             hits = F.filter(hits, lambda h: r.check(h["value"]))
         return F.when(F.size(whole) == 0, _none()).otherwise(hits)
 
-    found = let(F.regexp_extract_all(text, pattern, 0), located)
-    if r.needs:
-        found = F.when(F.contains(text, F.lit(r.needs)), found).otherwise(_none())
+    found = let(F.regexp_extract_all(text, F.lit(r.whole), 0), located)
+    if r.gate:
+        literal = r.gate.isascii() and not set(r.gate) & set("\\[](){}.*+?^$|")
+        passes = F.contains(text, F.lit(r.gate)) if literal else F.rlike(text, F.lit(r.gate))
+        found = F.when(passes, found).otherwise(_none())
     return found
 
 
