@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import LEAK_PHONE, PLACEHOLDER
 from ..functions import pii
 from ..functions.spans import DEFAULT_RECOGNISERS, Recogniser, rewrite
+from ..functions.text import computed_once
 from ..plans import skew
 
 
@@ -27,8 +28,11 @@ def entity_rows(
     recognisers: Sequence[Recogniser] = DEFAULT_RECOGNISERS,
 ) -> DataFrame:
     """One row per entity: ``keys``, entity_no, kind, value, start, end."""
-    found = df.select(*keys, F.posexplode(pii.entities(F.col(text), recognisers)))
-    return found.select(
+    found = computed_once(df.select(*keys, F.col(text).alias("_text")), {
+        "_found": pii.entities(F.col("_text"), recognisers)
+    })
+    rows = found.select(*keys, F.posexplode("_found"))
+    return rows.select(
         *keys, F.col("pos").alias("entity_no"), "col.kind", "col.value", "col.start", "col.end"
     )
 
@@ -81,10 +85,10 @@ def redact_rows(
 
 def _known_in_text(texts: DataFrame, mapping: DataFrame, request: str, keys: list[str], text: str):
     """Map placeholder -> original for exactly the placeholders each text uses."""
-    used = texts.select(
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), 0))
+    used = computed_once(texts.select(*keys, text), {"_used": found}).select(
         *keys,
-        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), 0)))
-        .alias("placeholder"),
+        F.explode("_used").alias("placeholder"),
     )
     return (
         used.join(mapping.select(request, "placeholder", "original"), [request, "placeholder"])
@@ -117,9 +121,10 @@ def respond_rows(
     shown = restored.withColumn(
         "_shown", F.when(F.col("restore"), F.col("restored")).otherwise(F.col(text))
     )
-    found = shown.filter("mode <> 'off'").select(
-        *keys, "restore", F.inline(pii.entities(F.col("_shown")))
-    )
+    found = computed_once(
+        shown.filter("mode <> 'off'").select(*keys, "restore", "_shown"),
+        {"_found": pii.entities(F.col("_shown"))},
+    ).select(*keys, "restore", F.inline("_found"))
     own = mapping.select(request, F.col("original").alias("value"), F.lit(True).alias("_own"))
     spans = (
         found.join(own.dropDuplicates([request, "value"]), [request, "value"], "left")
@@ -174,7 +179,8 @@ def leaks(rows: DataFrame, keys: Sequence[str], text: str = "text",
           redacted: str = "redacted") -> DataFrame:
     """Values found in a row's text that its redacted text still shows."""
     shown = F.filter(pii.entities(F.col(text)), lambda e: F.contains(F.col(redacted), e["value"]))
-    return rows.select(*keys, F.inline(shown)).select(*keys, "kind", "value")
+    found = computed_once(rows.select(*keys, text, redacted), {"_shown": shown})
+    return found.select(*keys, F.inline("_shown")).select(*keys, "kind", "value")
 
 
 def payload_leak(payload: Column) -> Column:

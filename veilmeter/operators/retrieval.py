@@ -76,7 +76,8 @@ def sections(text: Column) -> Column:
 
 def chunk(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Chunks of every section: keys, section_no, chunk_no, heading_path, n_words, content."""
-    parts = df.select(*keys, F.posexplode(sections(F.col(text))).alias("section_no", "s"))
+    found = computed_once(df.select(*keys, text), {"_sections": sections(F.col(text))})
+    parts = found.select(*keys, F.posexplode("_sections").alias("section_no", "s"))
     trimmed = F.regexp_replace(F.col("s.body"), rf"^{_SPACE}|{_SPACE}$", "")
     words = computed_once(
         parts.select(*keys, "section_no", "s.heading_path", trimmed.alias("_body")).filter("_body <> ''"),
@@ -89,9 +90,9 @@ def chunk(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         length = F.when(i == last, n - i * STEP).otherwise(F.lit(STEP + OVERLAP))
         return F.slice("_words", i * STEP + 1, length)
 
-    chunks = words.select(
-        *keys, "section_no", "heading_path",
-        F.posexplode(F.transform(F.sequence(F.lit(0), last), piece)).alias("chunk_no", "_piece"),
+    cut = computed_once(words, {"_pieces": F.transform(F.sequence(F.lit(0), last), piece)})
+    chunks = cut.select(
+        *keys, "section_no", "heading_path", F.posexplode("_pieces").alias("chunk_no", "_piece")
     )
     return chunks.select(
         *keys, "section_no", "chunk_no", "heading_path", F.size("_piece").alias("n_words"),
@@ -152,9 +153,11 @@ def term_table(chunks: DataFrame, text: str = "content", only: DataFrame | None
     ``only`` (tenant_id, term) keeps the index to terms that are asked for; without it the result
     is an index worth storing.
     """
-    words = visible_chunks(chunks).select(
-        "tenant_id", "id", "acl_groups", F.explode(terms(F.col(text))).alias("term")
+    split = computed_once(
+        visible_chunks(chunks).select("tenant_id", "id", "acl_groups", F.col(text).alias("_text")),
+        {"_terms": terms(F.col("_text"))},
     )
+    words = split.select("tenant_id", "id", "acl_groups", F.explode("_terms").alias("term"))
     if only is not None:
         words = words.join(only.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
     return words.groupBy("tenant_id", "id", "acl_groups", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import injection as inj
 from ..functions import pii
 from ..functions.requests import request_fields, untrusted_text
+from ..functions.text import computed_once
 from ..operators import evaluation as E
 from ..operators import injection as I
 from ..operators import mapping as K
@@ -131,8 +132,9 @@ _ALL = """(SELECT t.*, k.phone, k.cccd, k.bank, k.ord, k.name, k.email,
     unnest([{_FULL}, 'Gọi 0911222333', any_phone, 'Hỏi 0911222333']) AS text FROM {_ALL})"""),
 )
 def text_fields(spark, d):
-    fields = F.inline(request_fields(F.col("body")))
-    return request_bodies(spark, d).select("conv_id", "turn", fields)
+    bodies = request_bodies(spark, d).select("conv_id", "turn", "body")
+    found = computed_once(bodies, {"_fields": request_fields(F.col("body"))})
+    return found.select("conv_id", "turn", F.inline("_fields"))
 
 
 @query(
@@ -349,8 +351,9 @@ _HITS = """concat_ws(',',
       WHERE role = 'user' AND conv_id % 13 = 0)"""),
 )
 def findings(spark, d):
-    found = F.inline(inj.findings(F.col("text")))
-    return T.requests_injection(spark, d).select("conv_id", "turn", found)
+    texts = T.requests_injection(spark, d).select("conv_id", "turn", "text")
+    found = computed_once(texts, {"_found": inj.findings(F.col("text"))})
+    return found.select("conv_id", "turn", F.inline("_found"))
 
 
 @query(
