@@ -1,7 +1,8 @@
 """Find, resolve and rewrite spans of text with built-in expressions only.
 
 For one recogniser, ``split`` yields the text between matches and ``regexp_extract_all`` the
-matches; a running length over both gives each value's position in code points. A text without a
+matches; a running length over both gives each value's position in code points. A match is cut into
+context and value on its own, so the text is never scanned with groups. A text without a
 match costs a single regex pass and no array work.
 """
 
@@ -47,9 +48,10 @@ class Recogniser:
         return f"{self._lead}{self.context}{self.value}{self.after}"
 
     @property
-    def split(self) -> str:
-        """The same with context and value as groups."""
-        return f"{self._lead}({self.context})({self.value}){self.after}"
+    def parts(self) -> str:
+        """Cuts one match into context and value; what surrounds it was already checked."""
+        flags = "(?iu)" if self.fold else ""
+        return rf"\A{flags}({self.context})({self.value})\z"
 
 
 def province_known(value: Column) -> Column:
@@ -73,38 +75,25 @@ def _none() -> Column:
 
 
 def _candidates(text: Column, r: Recogniser, priority: int) -> Column:
-    groups = F.lit(r.split)
-
     def located(whole: Column) -> Column:
-        def with_parts(parts: Column) -> Column:
-            steps = F.arrays_zip(
-                whole.alias("whole"), parts["before"].alias("before"),
-                parts["context"].alias("context"), parts["value"].alias("value"),
+        def step(acc: Column, s: Column) -> Column:
+            context = F.regexp_extract(s["whole"], r.parts, 1) if r.context else F.lit("")
+            value = F.regexp_extract(s["whole"], r.parts, 2) if r.context else s["whole"]
+            start = acc["at"] + F.length(s["before"]) + F.length(context)
+            after = acc["at"] + F.length(s["before"]) + F.length(s["whole"])
+            hit = F.struct(
+                start.alias("start"),
+                F.lit(priority).alias("priority"),
+                (start + F.length(value)).alias("end"),
+                F.lit(r.kind).alias("kind"),
+                value.alias("value"),
             )
+            return F.struct(after.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-            def step(acc: Column, s: Column) -> Column:
-                start = acc["at"] + F.length(s["before"]) + F.length(s["context"])
-                hit = F.struct(
-                    start.alias("start"),
-                    F.lit(priority).alias("priority"),
-                    (start + F.length(s["value"])).alias("end"),
-                    F.lit(r.kind).alias("kind"),
-                    s["value"].alias("value"),
-                )
-                return F.struct(
-                    (acc["at"] + F.length(s["before"]) + F.length(s["whole"])).alias("at"),
-                    F.concat(acc["hits"], F.array(hit)).alias("hits"),
-                )
-
-            zero = F.struct(F.lit(0).alias("at"), _none().alias("hits"))
-            return F.aggregate(steps, zero, step, lambda acc: acc["hits"])
-
-        parts = F.struct(
-            F.slice(F.split(text, r.whole, -1), 1, F.size(whole)).alias("before"),
-            F.regexp_extract_all(text, groups, 1).alias("context"),
-            F.regexp_extract_all(text, groups, 2).alias("value"),
-        )
-        hits = let(parts, with_parts)
+        before = F.slice(F.split(text, r.whole, -1), 1, F.size(whole))
+        steps = F.arrays_zip(whole.alias("whole"), before.alias("before"))
+        zero = F.struct(F.lit(0).alias("at"), _none().alias("hits"))
+        hits = F.aggregate(steps, zero, step, lambda acc: acc["hits"])
         if r.check is not None:
             hits = F.filter(hits, lambda h: r.check(h["value"]))
         return F.when(F.size(whole) == 0, _none()).otherwise(hits)
