@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, database
+from veilmeter import plans
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.QUERIES, plans.SQL
 
 
 @pytest.fixture(scope="module")
