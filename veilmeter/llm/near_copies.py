@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import IdFilter, components, own, passes, written
+from .shared import BitTable, components, own, passes, place_of, written
 from .tokens import mix, windows, word_hashes
 
 SHINGLE = 5
@@ -37,6 +37,7 @@ ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 AGREE = 0.62
 BLOCK = 256
+NODE_BITS = 24  # of the table that picks the documents whose sets are needed: 2 MB
 _NONE = np.uint64(2**64 - 1)
 _SETS = "node bigint, p1 bigint, shingles array<bigint>, coordinates binary, keys array<bigint>"
 
@@ -267,11 +268,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     buckets = met.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = written(met.join(buckets.drop("n"), ["key", "band"]).select("key", "band", "node", "size", "pivot"))
 
-    chosen = IdFilter(members.select("node"))
+    chosen = BitTable(members.select(place_of(F.col("node"), NODE_BITS).alias("place")), NODE_BITS)
     sets = (
-        rows.select("doc_id", "text", chosen.column(F.col("doc_id")).alias("place"))
+        rows.select("doc_id", "text", place_of(F.col("doc_id"), NODE_BITS).alias("place"))
         .where("doc_id is not null")
-        .mapInArrow(_chosen_sets(chosen.table), _SETS)
+        .mapInArrow(_chosen_sets(chosen.sent), _SETS)
     )
     if any_repeated:
         sets = sets.join(classes.select("node", "p1"), ["node", "p1"], "left_semi").dropDuplicates(["node"])

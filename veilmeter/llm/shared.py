@@ -48,38 +48,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-class IdFilter:
-    """Bit table over 64-bit values: false positives, no false negatives, at most ``2**bits`` bits.
-
-    Spark builds it; the driver sees at most ``2**bits / 64`` numbers, whatever the input.
+class BitTable:
+    """Set of places below ``2**bits``, as bits: asked with hashed values it has false positives, no
+    false negatives. Spark builds it; the driver sees at most ``2**bits / 64`` numbers, whatever the
+    input.
     """
 
-    def __init__(self, values: DataFrame, bits: int = 24) -> None:
-        self.bits = bits
-        (name,) = values.columns
-        place = F.shiftrightunsigned(F.xxhash64(F.col(name)), 64 - bits)
+    def __init__(self, places: DataFrame, bits: int) -> None:
+        (name,) = places.columns
+        bit = F.col(name).bitwiseAND(F.lit(63)).cast("int")
         words = (
-            values.where(F.col(name).isNotNull())
-            .select(F.shiftright(place, 6).alias("at"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-            .groupBy("at")
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("word"))
+            places.where(F.col(name).isNotNull())
+            .groupBy(F.shiftright(F.col(name), 6).alias("at"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("word"))
+            .toPandas()
         )
-        self.words = np.zeros(1 << (bits - 6), np.int64)
-        got = words.toPandas()
-        self.words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64)
-        self._words = values.sparkSession.sparkContext.broadcast(self.words)
+        table = np.zeros(1 << (bits - 6), np.int64)
+        table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+        self.sent = places.sparkSession.sparkContext.broadcast(table)
 
-    def column(self, value: Column) -> Column:
-        """Place of a value, computed by Spark; goes to ``passes`` inside a task."""
-        return F.shiftrightunsigned(F.xxhash64(value), 64 - self.bits)
 
-    @property
-    def table(self):
-        return self._words
+def place_of(value: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
 
 
-def passes(words: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (words[place >> 6] >> (place & 63)) & 1 == 1
+def passes(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[place >> 6] >> (place & 63)) & 1 == 1
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -17,7 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def _factor(i: int) -> np.uint64:
+def factor(i: int) -> np.uint64:
     """Odd multiplier of the i-th word of a run."""
     return np.uint64((0x8CB92BA72F3D8DD7 * (2 * i + 1) + 0x589965CC75374CC2 * i * i) & (2**64 - 1) | 1)
 
@@ -125,9 +125,9 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < size:
-        factors = np.array([_factor(i) for i in range(len(words))], np.uint64)
+        factors = np.array([factor(i) for i in range(len(words))], np.uint64)
         return mix((words * factors).sum(keepdims=True), seed=len(words))
     total = np.zeros(len(words) - size + 1, np.uint64)
     for i in range(size):
-        total += words[i : i + len(total)] * _factor(i)
+        total += words[i : i + len(total)] * factor(i)
     return mix(total)
