@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import leaks
 from .near_copies import near_copies
 from .quality import QUALITY_SQL, quality
+from .secrets import SECRETS_SQL, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +42,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_copies")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secret_scan", SECRETS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents")).drop("found")
