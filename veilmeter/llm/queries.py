@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chats import CHATS_SQL, chats
 from .decontamination import leaks
 from .near_copies import near_copies
 from .quality import QUALITY_SQL, quality
@@ -47,3 +48,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan", SECRETS_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op8_maximal_chats", CHATS_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats(table(spark, sf_dir, "conversations"))
