@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chats import CHATS_SQL, chats
 from .decontamination import leaks
+from .licences import LICENCES_SQL, licences
 from .near_copies import near_copies
 from .quality import QUALITY_SQL, quality
 from .secrets import SECRETS_SQL, secrets
+from .sharding import SHARDING_SQL, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +55,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_maximal_chats", CHATS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_shard_placement", SHARDING_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@query("op3_licence_rules", LICENCES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
