@@ -11,14 +11,15 @@
    none of the ``BANDS`` buckets with probability 2e-5.
 4. Every member of a bucket is compared with the bucket's smallest member: linear in the members,
    also in a huge group of near copies.
-5. Buckets which then still hold several components compare their members in blocks of ``BLOCK``:
-   numpy counts equal coordinates, and only pairs of different components, of fitting sizes and with
-   at least ``AGREE`` of the coordinates equal leave a block (a pair of similarity 0.75 is above that
-   but for 2e-5). A pair is looked at in its first common bucket only.
-6. Both kinds of pairs are confirmed on the full sets, links are merged into components.
-
-No bucket has a cap. What is quadratic is the part of a bucket that stays outside its main component,
-and only inside numpy blocks spread over tasks.
+5. Where a bucket then still holds several components, a node next to a component of ``BIG`` nodes is
+   compared with all of that component on the full sets, in blocks. The other nodes of the bucket
+   meet in blocks of ``BLOCK``: numpy counts equal coordinates, and only pairs of different
+   components, of fitting sizes and with at least ``AGREE`` of the coordinates equal leave a block (a
+   pair of similarity 0.75 is above that but for 2e-5), in its first common bucket only.
+6. All pairs are confirmed on the full sets, links are merged into components.
+
+No bucket has a cap. What is quadratic is what stays outside a bucket's main component, and only
+inside numpy blocks spread over tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SIMILAR = 75  # percent
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 AGREE = 0.62
-BLOCK = 256
+BLOCK, BIG, CHUNK = 256, 64, 1024
 NODE_BITS = 24  # of the table that picks the documents whose sets are needed: 2 MB
 _NONE = np.uint64(2**64 - 1)
 _SETS = "node bigint, p1 bigint, shingles array<bigint>, coordinates binary, keys array<bigint>"
@@ -202,23 +203,102 @@ def _block_pairs(batches):
     yield batch_of(found)
 
 
+def _linked_to_block(batches):
+    """Rows (big, block, chunk, side, node, shingles) sorted so that a block's own members come first.
+
+    For every other node one link to a member it is similar enough to, if there is one.
+    """
+    now, owners, sets = None, [], []
+    values = holders = sizes = None
+    for batch in batches:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("big", "block", "chunk")], strict=True))
+        sides, nodes = batch.column("side").to_pylist(), batch.column("node").to_pylist()
+        lists = batch.column("shingles")
+        flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        a, b = [], []
+        for i, key in enumerate(keys):
+            shingles = flat[ends[i] : ends[i + 1]]
+            if key != now:
+                now, owners, sets, values = key, [], [], None
+            if sides[i] == 0:
+                owners.append(nodes[i])
+                sets.append(shingles.copy())
+                continue
+            if not sets:
+                continue
+            if values is None:
+                sizes = np.array([len(x) for x in sets])
+                values, holders = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(values, kind="stable")
+                values, holders = values[order], holders[order]
+            low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            common = np.bincount(holders[at], minlength=len(sets))
+            similar = np.flatnonzero(100 * common >= SIMILAR * (sizes + len(shingles) - common))
+            if len(similar):
+                a.append(min(owners[similar[0]], nodes[i]))
+                b.append(max(owners[similar[0]], nodes[i]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components inside buckets, found by blocks."""
+    """Links between different components that share a bucket.
+
+    A node next to a component of ``BIG`` members or more is compared with that whole component,
+    exactly and in blocks, once, however many buckets they share. All others meet inside buckets.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BIG)
+    big = written(sizes.withColumnRenamed("component", "big"))
     labelled = members.join(labels, "node", "left").select(
         "key", "band", "node", "size", F.coalesce("component", "node").alias("component")
     )
-    mixed = (
+    labelled = labelled.join(big.withColumnRenamed("big", "component"), "component", "left")
+    two = (
         labelled.groupBy("key", "band")
+        .agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+        .where("c1 != c2")
+        .select("key", "band")
+    )
+    labelled = written(labelled.join(two, ["key", "band"], "left_semi"))
+
+    in_bucket = labelled.where("n is not null").select("key", "band", F.col("component").alias("big"), F.col("n").alias("big_n")).distinct()
+    smaller = F.coalesce(F.struct("n", "component") < F.struct("big_n", "big"), F.lit(True))
+    next_to = written(
+        labelled.join(in_bucket, ["key", "band"])
+        .where(F.col("component") != F.col("big"))
+        .where(F.col("n").isNull() | smaller)
+        .select("node", "big")
+        .distinct()
+    )
+    chunks = next_to.groupBy("big").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).join(big, "big")
+    chunks = chunks.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    piece = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    owners = (
+        labels.withColumnRenamed("component", "big").join(chunks, "big").join(sets.select("node", "shingles"), "node")
+        .select("big", piece("blocks").alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "node", "shingles")
+    )
+    others = (
+        next_to.join(chunks, "big").join(sets.select("node", "shingles"), "node")
+        .select("big", each("blocks").alias("block"), piece("chunks").alias("chunk"), F.lit(1).alias("side"), "node", "shingles")
+    )
+    blocks = owners.union(others).repartition("big", "block", "chunk").sortWithinPartitions("big", "block", "chunk", "side")
+    to_big = blocks.mapInArrow(_linked_to_block, "a bigint, b bigint")
+
+    small = labelled.where("n is null")
+    mixed = (
+        small.groupBy("key", "band")
         .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
         .where("c1 != c2")
     )
-    blocks = F.ceil(F.col("members") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), blocks)
+    count = F.ceil(F.col("members") / BLOCK)
     # A block meets itself (side 0) and, as side 1 or 2, every other block of its bucket once.
     spread = (
-        labelled.join(mixed.select("key", "band", "members"), ["key", "band"])
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        small.join(mixed.select("key", "band", "members"), ["key", "band"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), count))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
         .select(
             "key", "band", "node", "component", "size",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -227,7 +307,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     )
     full = spread.join(sets.select("node", "coordinates", "keys"), "node")
     placed = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return placed.mapInArrow(_block_pairs, "a bigint, b bigint")
+    pairs = written(placed.mapInArrow(_block_pairs, "a bigint, b bigint").distinct(), batch_rows=5000)
+    return written(to_big, batch_rows=200).union(written(_confirmed(pairs, sets), batch_rows=200))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -280,9 +361,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(stars, sets), batch_rows=200)
     labels = components(links)
-    pairs = written(_rest(members, labels, sets).distinct(), batch_rows=5000)
-    more = written(_confirmed(pairs, sets), batch_rows=200)
-    labels = components(links.union(more))
+    labels = components(links.union(_rest(members, labels, sets)))
 
     merged = classes.join(labels, "node", "left").select(
         F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.coalesce("component", "node").alias("component")
