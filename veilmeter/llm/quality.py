@@ -2,8 +2,7 @@
 
 A line with a word fails if it
 
-- shouts: at least ``SHOUT`` percent of its characters other than white space are capital letters
-  (three words at least);
+- shouts: at least ``SHOUT`` percent of its characters are capital letters (three words at least);
 - navigates: three or more separators, ``MENU`` percent of its characters at least;
 - is symbols: three or more of ``# * $ % & | < >``, ``SYMBOLS`` percent of its characters at least;
 - is boilerplate: names a phrase of ``BOILERPLATE`` and has at most ``SHORT`` words;
@@ -23,14 +22,17 @@ from .shared import one_row, own
 
 SPACES = "\t\n\x0b\f\r"
 CAPITALS = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"
-SHOUT, MENU, SYMBOLS, SHORT, HEADING, LOSS = 40, 4, 10, 25, 8, 30
+MARKS, SEPARATORS = "#*$%&|<>", "|»›•·"
+CLAUSE_END = "[.!?:;…。][\"')\\]”’»]*([ \\t\\x0b\\f\\r]|$)"
+SHOUT, MENU, SYMBOLS, SHORT, HEADING, LOSS = 33, 4, 10, 25, 8, 30
 RUN, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 # Fixed phrases of page furniture, lower case.
 BOILERPLATE = (
-    "all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept cookies"
-    "|enable javascript|click here|read more|sign (in|up)|log ?in to|subscribe to our|share this"
-    "|skip to content|back to top|lorem ipsum|related articles|leave a comment"
-)
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
+    "we use cookies", "accept cookies", "enable javascript", "click here", "read more", "sign in",
+    "sign up", "log in to", "login to", "subscribe to our", "share this", "skip to content",
+    "back to top", "lorem ipsum", "related articles", "leave a comment",
+)
 
 
 def word_array(text: Column) -> Column:
@@ -46,18 +48,28 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(without(text, characters))
 
 
-def line_fails(line: Column) -> Column:
-    solid = F.length(without(line, " " + SPACES))
+def line_fails(line: Column, marked: Column, furnished: Column) -> Column:
+    """``marked``, ``furnished``: whether the text has three symbols or separators, or a phrase, at all."""
     words = F.size(word_array(line))
-    separators = count_of(line, "|»›•·")
-    symbols = count_of(line, "#*$%&|<>")
-    shouts = (F.regexp_count(line, F.lit(CAPITALS)) * 100 >= solid * SHOUT) & (words >= 3)
-    navigates = (separators >= 3) & (separators * 100 >= F.length(line) * MENU)
-    symbolic = (symbols >= 3) & (symbols * 100 >= F.length(line) * SYMBOLS)
-    furniture = F.rlike(F.lower(line), F.lit(BOILERPLATE)) & (words <= SHORT)
-    ends = F.rlike(line, F.lit("[.!?:;…。][\"')\\]”’»]*([ \t\x0b\f\r]|$)"))
-    unpunctuated = ~ends & (words > HEADING)
-    return (solid > 0) & (navigates | symbolic | shouts | furniture | unpunctuated)
+    length = F.length(line)
+    separators, symbols = count_of(line, SEPARATORS), count_of(line, MARKS)
+    shouts = (F.regexp_count(line, F.lit(CAPITALS)) * 100 >= length * SHOUT) & (words >= 3)
+    navigates = (separators >= 3) & (separators * 100 >= length * MENU)
+    symbolic = (symbols >= 3) & (symbols * 100 >= length * SYMBOLS)
+    unpunctuated = ~F.rlike(line, F.lit(CLAUSE_END)) & (words > HEADING)
+    return (
+        (marked & (navigates | symbolic))
+        | shouts
+        | unpunctuated
+        | (furnished & has_phrase(F.lower(line)) & (words <= SHORT))
+    )
+
+
+def has_phrase(low: Column) -> Column:
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | F.contains(low, F.lit(phrase))
+    return found
 
 
 def repeated_words(grams: Column, ordered: Column) -> Column:
@@ -86,7 +98,14 @@ def quality(docs: DataFrame) -> DataFrame:
     Null doc_ids and repeated rows are judged like any other row; other columns are ignored.
     """
     rows = own(docs, "doc_id", "text").withColumn("t", F.coalesce("text", F.lit("")))
-    rows = one_row(rows, words=word_array(F.col("t")), lines=F.split("t", "\n"))
+    rows = one_row(
+        rows,
+        words=word_array(F.col("t")),
+        lines=F.split("t", "\n"),
+        symbols=count_of(F.col("t"), MARKS),
+        furnished=has_phrase(F.lower("t")),
+    )
+    rows = one_row(rows, marked=(F.col("symbols") >= 3) | (count_of(F.col("t"), SEPARATORS) >= 3))
     last = F.size("words") - RUN
     window = F.transform(
         F.sequence(F.lit(0), last),
@@ -95,9 +114,10 @@ def quality(docs: DataFrame) -> DataFrame:
     rows = one_row(
         rows,
         grams=F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")),
-        filled=F.filter("lines", lambda x: F.length(without(x, " " + SPACES)) > 0),
-        failed=F.filter("lines", line_fails),
+        filled=F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
+        fails=F.transform("lines", lambda x: line_fails(x, F.col("marked"), F.col("furnished"))),
     )
+    rows = one_row(rows, failed=F.filter("lines", lambda x, i: F.get("fails", i)))
     pairs = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     nothing = F.array().cast("array<struct<h:bigint,i:int>>")
     rows = one_row(
@@ -105,14 +125,14 @@ def quality(docs: DataFrame) -> DataFrame:
         ordered=F.when(F.size(F.array_distinct("grams")) < F.size("grams"), pairs).otherwise(nothing),
         lost=F.array_join("failed", " "),
         clean=F.when(F.size("failed") == 0, F.col("text")).otherwise(
-            F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n")
+            F.array_join(F.filter("lines", lambda x, i: ~F.get("fails", i)), "\n")
         ),
     )
     rows = rows.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(without(F.col("t"), " " + SPACES)).cast("bigint").alias("word_chars"),
-        count_of(F.col("t"), "#*$%&|<>").cast("bigint").alias("n_symbols"),
+        F.col("symbols").cast("bigint").alias("n_symbols"),
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("grams"), F.col("ordered")).cast("bigint").alias("n_repeat_words"),
         F.size(word_array(F.col("lost"))).cast("bigint").alias("n_lost_words"),
@@ -142,8 +162,7 @@ h AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS gram FROM g),
 d AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 p AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM d) GROUP BY r),
 l AS (
-  SELECT r, x, regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') AS solid,
-         list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws
+  SELECT r, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws
   FROM (SELECT r, unnest(filled) AS x FROM w)),
 f AS (
   SELECT r, count(*) AS n, sum(len(ws)) AS words FROM l WHERE
@@ -151,7 +170,7 @@ f AS (
        AND 100 * length(regexp_replace(x, '[^|»›•·]', '', 'g')) >= 4 * length(x))
     OR (length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) >= 3
        AND 100 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) >= 10 * length(x))
-    OR (len(ws) >= 3 AND 100 * length(regexp_replace(x, '[^A-ZÀ-ÖØ-ÞΑ-ΩА-Я]', '', 'g')) >= 40 * length(solid))
+    OR (len(ws) >= 3 AND 100 * length(regexp_replace(x, '[^A-ZÀ-ÖØ-ÞΑ-ΩА-Я]', '', 'g')) >= 33 * length(x))
     OR (len(ws) <= 25 AND regexp_matches(lower(x), 'BOILERPLATE'))
     OR (len(ws) > 8 AND NOT regexp_matches(x, '[.!?:;…。]["'')\]”’»]*([ \t\x0b\f\r]|$)'))
   GROUP BY r),
@@ -167,4 +186,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_lost_words <= 30 * n_words AS kept,
        n_lost_words, n_lost_lines
 FROM s
-""".replace("BOILERPLATE", BOILERPLATE)
+""".replace("BOILERPLATE", "|".join(BOILERPLATE))
