@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chats import CHATS_SQL, chats
 from .decontamination import leaks
+from .language import languages
 from .licences import LICENCES_SQL, licences
 from .near_copies import near_copies
 from .quality import QUALITY_SQL, quality
@@ -65,3 +66,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_licence_rules", LICENCES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
+
+
+@query("op10_languages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
