@@ -11,6 +11,7 @@ from .decontamination import leaks
 from .language import languages
 from .licences import LICENCES_SQL, licences
 from .near_copies import near_copies
+from .pages import PAGES_SQL, articles
 from .quality import QUALITY_SQL, quality
 from .secrets import SECRETS_SQL, secrets
 from .sharding import SHARDING_SQL, shard
@@ -71,3 +72,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_languages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_page_articles", PAGES_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(table(spark, sf_dir, "pages"))
