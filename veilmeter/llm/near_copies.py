@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BitTable, components, own, passes, place_of, written
+from .shared import BitTable, components, own, passes, place_of, small, written
 from .tokens import mix, windows, word_hashes
 
 SHINGLE = 5
@@ -383,6 +383,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay as they are.
     """
-    kept = near_copies(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    kept = written(near_copies(docs).where("kept and doc_id is not null").select("doc_id"))
+    ids = written(kept.distinct())
+    chosen = docs.join(small(ids), "doc_id", "left_semi")
+    if kept.count() > ids.count():
+        chosen = chosen.dropDuplicates(["doc_id"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return chosen.select(*columns).union(docs.where("doc_id is null").select(*columns))

@@ -97,7 +97,20 @@ def quality(docs: DataFrame) -> DataFrame:
     A null text counts as empty, has no word, fails the base rules and stays null in clean_text.
     Null doc_ids and repeated rows are judged like any other row; other columns are ignored.
     """
-    rows = own(docs, "doc_id", "text").withColumn("t", F.coalesce("text", F.lit("")))
+    return _judged(own(docs, "doc_id", "text"), "doc_id")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents that pass, without their failing lines; ``n_chars`` follows the text."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    passed = _judged(packed, "_row").where("kept")
+    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
+    return passed.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _judged(rows: DataFrame, carried: str) -> DataFrame:
+    """Verdicts on the column ``text``; the column ``carried`` stays."""
+    rows = rows.withColumn("t", F.coalesce("text", F.lit("")))
     rows = one_row(
         rows,
         words=word_array(F.col("t")),
@@ -129,7 +142,7 @@ def quality(docs: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.select(
-        "doc_id",
+        carried,
         F.size("words").cast("bigint").alias("n_words"),
         F.length(without(F.col("t"), " " + SPACES)).cast("bigint").alias("word_chars"),
         F.col("symbols").cast("bigint").alias("n_symbols"),
@@ -145,7 +158,7 @@ def quality(docs: DataFrame) -> DataFrame:
         | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
     )
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (100 * F.col("n_lost_words") <= LOSS * F.col("n_words"))).alias("kept"),
         "n_lost_words", "n_lost_lines", "clean_text",
     )

@@ -10,6 +10,7 @@ from .chats import CHATS_SQL, chats
 from .decontamination import leaks
 from .language import languages
 from .licences import LICENCES_SQL, licences
+from .mixing import rates
 from .near_copies import near_copies
 from .pages import PAGES_SQL, articles
 from .quality import QUALITY_SQL, quality
@@ -77,3 +78,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_page_articles", PAGES_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(table(spark, sf_dir, "pages"))
+
+
+@query("op6_mixing_rates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
