@@ -1,7 +1,7 @@
 """Licences by recognised sentences and ordered rules (operator 3).
 
 1. A text that mentions no word of ``HINT`` is left alone; others are cut into sentences.
-2. A sentence is normalised (lower case, letters, digits and ``.+`` only, one space between words) and
+2. A sentence is normalised (lower case, letters, digits and ``.+-`` only, one space between words) and
    mapped to the identifier of a known licence sentence, by expression. Unknown sentences that speak
    of licences become ``?``, all others vanish.
 3. The document's identifiers, in order, are matched against the rules in their order. A rule is a
@@ -22,7 +22,7 @@ HINT = "licen[cs]|copyright|permission is hereby|redistribution|spdx|warrant|pub
 
 # Known sentences of public licences, after normalising. First match wins.
 SENTENCES = (
-    ("SPDX:$1", r"^spdx license identifier ?([a-z0-9.+ -]+)$"),
+    ("SPDX:$1", r"^spdx-license-identifier ([a-z0-9.+-]+)"),
     ("ApacheName", r"^(this work is |this file is |released |distributed )?(licensed |made available )?under (the )?apache license version 2(\.0)?( the license)?$"),
     ("ApacheComply", r"^you may not use this file except in compliance with the license$"),
     ("ApacheCopy", r"^you may obtain a copy of the license at"),
@@ -41,7 +41,7 @@ SENTENCES = (
     ("BsdNoName", r"^neither the name of .* may be used to endorse or promote products"),
     ("AsIs", r"^(this|the) software is provided (by .* )?as is"),
     ("MplName", r"^this source code form is subject to the terms of the mozilla public license v\. ?2\.0"),
-    ("CcName:$1", r"^(?:this (?:work|text|file) is )?licensed under (?:a )?(?:the )?cc ((?:by|by nc|by sa|by nd|by nc sa|by nc nd) [1-4]\.0)$"),
+    ("CcName:$1", r"^(?:this (?:work|text|file) is )?licensed under (?:a )?(?:the )?cc ((?:by|by-nc|by-sa|by-nd|by-nc-sa|by-nc-nd) [1-4]\.0)$"),
     ("CcZero", r"^(this work is )?(licensed|released|dedicated) (under|to) (cc0|the public domain)"),
     ("AllRights", r"^(copyright .*)?all rights reserved$"),
     ("Copyright", r"^copyright "),
@@ -76,8 +76,8 @@ def rule_pattern(rule: str) -> str:
 
 
 def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), "[^a-z0-9.+]+", " ")
-    return F.trim(F.regexp_replace(plain, r"\.+ *$", ""))
+    plain = F.regexp_replace(F.lower(sentence), "[^a-z0-9.+-]+", " ")
+    return F.regexp_replace(plain, "^[ -]+|[ .-]+$", "")
 
 
 def identifier(sentence: Column) -> Column:
@@ -153,7 +153,7 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 x AS (SELECT r, string_split_regex(regexp_replace(t, '{_BREAK}', chr(1) || '\1', 'g'), '{_CUT}') AS l
       FROM d WHERE regexp_matches(lower(t), '{HINT}')),
-n AS (SELECT r, k, trim(regexp_replace(regexp_replace(lower(l[k]), '[^a-z0-9.+]+', ' ', 'g'), '\.+ *$', '')) AS s
+n AS (SELECT r, k, regexp_replace(regexp_replace(lower(l[k]), '[^a-z0-9.+-]+', ' ', 'g'), '^[ -]+|[ .-]+$', '', 'g') AS s
       FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS k FROM x)),
 c AS (SELECT r, k, CASE {" ".join(cases)} WHEN regexp_matches(s, '{HINT}') THEN '?' END AS id FROM n),
 g AS (SELECT r, list(id ORDER BY k) AS ids FROM c WHERE id IS NOT NULL GROUP BY r),
