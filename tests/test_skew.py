@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilmeter.operators import quota
-from veilmeter.plans import skew
+from veilmeter.frames import skew
 
 
 def skewed(spark, n=20_000):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import sha256
-from ..plans import skew
+from ..frames import skew
 
 # Allowed state changes of an agent run; None is the start.
 TRANSITIONS = (

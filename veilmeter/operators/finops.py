@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import skew
+from ..frames import skew
 
 
 def cost_by(facts: DataFrame, *dims: Column | str) -> DataFrame:

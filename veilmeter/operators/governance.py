@@ -10,7 +10,7 @@ from ..functions import pii
 from ..functions.crypto import hmac_sha256, sha256
 from ..functions.numbers import ascii_digits
 from ..functions.text import computed_once
-from ..plans.skew import latest_within
+from ..frames.skew import latest_within
 
 # Rules that suggest a label, and kinds of personal data per tag.
 SALARY_WORDS = ("bảng lương", "mức lương", "thu nhập cá nhân")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAPPING_TTL_SECONDS
 from ..functions.crypto import open_sealed, seal
-from ..plans.skew import latest_within
+from ..frames.skew import latest_within
 
 
 def store_key(call_id: Column, prefix: str) -> Column:

@@ -11,7 +11,7 @@ from ..constants import LEAK_PHONE, PLACEHOLDER
 from ..functions import pii
 from ..functions.spans import DEFAULT_RECOGNISERS, Recogniser, rewrite
 from ..functions.text import computed_once
-from ..plans import skew
+from ..frames import skew
 
 
 def detect(

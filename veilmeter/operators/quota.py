@@ -9,7 +9,7 @@ from ..constants import WINDOW_SECONDS
 from ..functions.crypto import short_hash
 from ..functions.numbers import read_int
 from ..functions.text import blank_to_null
-from ..plans import skew
+from ..frames import skew
 
 
 def rate_policy(keys: DataFrame, metadata: str = "metadata", prefix: str = "") -> DataFrame:

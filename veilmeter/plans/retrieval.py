@@ -312,7 +312,7 @@ STATES = ("PENDING", "PLANNING", "CALLING_TOOL", "PLANNING", "DONE", "WAITING_AP
 
 def agent_steps(spark, d):
     """Events of a user as the steps of a run."""
-    from ..plans import skew
+    from ..frames import skew
 
     e = T.events(spark, d).select("event_id", "user_id", "us", "event_type", "cost_micros")
     steps = skew.running(e, ["user_id"], ["us", "event_id"], rank="step")
