@@ -1,9 +1,14 @@
-"""Text fields of a request body given as JSON."""
+"""Text fields of request and answer bodies given as JSON."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import let
 
@@ -63,6 +68,79 @@ def request_fields(body: Column) -> Column:
     return let(F.try_parse_json(body), of)
 
 
+def _content_places(holder: dict, key: str) -> Iterator[tuple[dict, str]]:
+    """Where a content keeps its strings: itself, or the ``text`` of its parts."""
+    content = holder[key]
+    if isinstance(content, str):
+        yield holder, key
+    elif isinstance(content, list):
+        for part in content:
+            if isinstance(part, dict) and isinstance(part.get("text"), str):
+                yield part, "text"
+
+
+def _request_places(body: dict) -> Iterator[tuple[dict, str]]:
+    messages = body.get("messages")
+    for message in messages if isinstance(messages, list) else []:
+        if isinstance(message, dict) and "content" in message:
+            yield from _content_places(message, "content")
+    for name in ("system", "input", "prompt"):
+        if name in body:
+            yield from _content_places(body, name)
+
+
+def _answer_places(body: dict) -> Iterator[tuple[dict, str]]:
+    choices = body.get("choices")
+    for choice in choices if isinstance(choices, list) else []:
+        message = choice.get("message") if isinstance(choice, dict) else None
+        if isinstance(message, dict) and isinstance(message.get("content"), str):
+            yield message, "content"
+    if isinstance(body.get("content"), list):
+        yield from _content_places(body, "content")
+
+
+def _written(places, bodies: pd.Series, texts: pd.Series) -> pd.Series:
+    def write(body: str | None, new) -> str | None:
+        if body is None or new is None or not len(new):
+            return body
+        data = json.loads(body)
+        for (holder, key), text in zip(places(data), new, strict=True):
+            holder[key] = text
+        return json.dumps(data, ensure_ascii=False)
+
+    return pd.Series([write(b, t) for b, t in zip(bodies, texts, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def with_request_texts(body: pd.Series, texts: pd.Series) -> pd.Series:
+    """The body with the texts of ``request_fields`` replaced, in their order; key order stays."""
+    return _written(_request_places, body, texts)
+
+
+@F.pandas_udf(StringType())
+def with_answer_texts(body: pd.Series, texts: pd.Series) -> pd.Series:
+    """The body with the texts of ``answer_texts`` replaced, in their order; key order stays."""
+    return _written(_answer_places, body, texts)
+
+
+def answer_texts(body: Column) -> Column:
+    """Texts of an answer: ``choices[].message.content``, then ``content[].text``."""
+
+    def of(v: Column) -> Column:
+        none = F.array().cast("array<string>")
+        choices = F.transform(
+            _items(F.try_variant_get(v, "$.choices", "variant")),
+            lambda c: F.when(_mark(c) == "{", _string(F.try_variant_get(c, "$.message.content", "variant"))),
+        )
+        parts = F.transform(
+            _items(F.try_variant_get(v, "$.content", "variant")),
+            lambda p: F.when(_mark(p) == "{", _string(F.try_variant_get(p, "$.text", "variant"))),
+        )
+        return F.concat(F.coalesce(F.array_compact(choices), none), F.coalesce(F.array_compact(parts), none))
+
+    return let(F.try_parse_json(body), of)
+
+
 def untrusted_text(body: Column) -> Column:
     """All caller text of a body, joined by newlines.
 

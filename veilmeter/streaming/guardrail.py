@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import injection, pii
 from ..functions.numbers import epoch_text
-from ..functions.requests import request_fields
+from ..functions.requests import request_fields, untrusted_text, with_request_texts
 from ..functions.spans import ENTITY
 from ..functions.text import computed_once
 from ..operators.audit import build_event, spaced_json
@@ -18,9 +18,11 @@ def guard(requests: DataFrame) -> DataFrame:
     """Redact, block or pass requests: request_id, ts, tenant, body (JSON), raw_mode, raw_restore,
     injection_mode.
 
-    Personal data comes first, injection rules then see the redacted text, and a request blocked
-    for personal data is not scanned. Adds ``redacted`` (the text fields), ``mapping`` (kept only
-    when it will be restored), ``redactions``, ``kinds``, ``rules``, ``action`` and ``audit``.
+    Personal data comes first; injection rules then see all untrusted text of the redacted body, also
+    what is nested in tool results and lists; a request blocked for personal data is not scanned. The
+    body comes back redacted, and null where the request is blocked. Adds ``redacted`` (the text
+    fields), ``mapping`` (kept only when it will be restored), ``redactions``, ``kinds``, ``rules``,
+    ``action`` and ``audit``.
     """
     mode = pii.pii_mode(F.col("raw_mode"))
     fields = computed_once(requests, {
@@ -45,8 +47,10 @@ def guard(requests: DataFrame) -> DataFrame:
         "_pii": action(F.col("mode"), F.size("mapping")),
     })
     scanning = (F.coalesce(F.lower("injection_mode"), F.lit("block")) == "block") & (F.col("_pii") != "block")
+    rewritten = F.when(F.col("redactions") > 0, F.col("_texts"))
+    counted = computed_once(counted, {"_body": with_request_texts("body", rewritten)})
     scanned = computed_once(counted, {
-        "rules": F.when(scanning, injection.rules(F.array_join("_texts", "\n")))
+        "rules": F.when(scanning, injection.rules(untrusted_text(F.col("_body"))))
         .otherwise(F.array().cast("array<string>")),
     })
     final = F.when(F.size("rules") > 0, "block").otherwise(F.col("_pii"))
@@ -69,7 +73,7 @@ def guard(requests: DataFrame) -> DataFrame:
     ))
     return scanned.select(
         *[F.col(c) for c in requests.columns if c != "body"],
-        "mode", "restore", rebuilt.alias("redacted"), kept.alias("mapping"), "redactions", "kinds",
+        F.when(final != "block", F.col("_body")).alias("body"), "mode", "restore", rebuilt.alias("redacted"), kept.alias("mapping"), "redactions", "kinds",
         "rules", final.alias("action"), audit.alias("audit"),
     )
 
