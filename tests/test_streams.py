@@ -28,6 +28,31 @@ def test_a_batch_that_failed_after_its_write_adds_nothing(spark, sf_dir, tmp_pat
     assert spark.read.parquet(letters).count() == refused
 
 
+def test_a_new_checkpoint_replaces_nothing_and_stores_nothing_twice(spark, sf_dir, tmp_path):
+    records = tables.usage_raw(spark, sf_dir)
+    facts, letters = folder(tmp_path, "facts"), folder(tmp_path, "letters")
+    counts = []
+    for late in (0, 40):
+        # The second run redelivers everything with another end time, and other refused records.
+        later = F.col("fields")
+        if late:
+            shifted = F.transform_values(
+                later, lambda k, v: F.when(k == "end_time", (v.cast("double") + 86400 * late).cast("string")).otherwise(v)
+            )
+            later = F.map_concat(F.map_filter(shifted, lambda k, v: k != "team_id"), F.create_map(F.lit("team_id"), F.lit("x")))
+            later = F.when(F.pmod(F.col("stream_id").cast("int"), F.lit(7)) == 0, later).otherwise(shifted)
+        source = folder(tmp_path, "in")
+        records.withColumn("fields", later).write.parquet(source)
+        ingest.ingest_usage(
+            streams.record_files(spark, source), facts, letters, folder(tmp_path, "cp"), once=True
+        ).awaitTermination()
+        stored = ingest.read_table(spark, facts, ingest.USAGE_SCHEMA)
+        counts.append((stored.count(), stored.select("stream_id").distinct().count(), spark.read.parquet(letters).count()))
+    assert counts[0][:2] == counts[1][:2] and counts[0][0] == counts[0][1]
+    assert counts[1][2] > 2 * counts[0][2]
+    assert spark.read.parquet(letters).select("run").distinct().count() == 2
+
+
 def test_new_files_continue_the_stream(spark, sf_dir, tmp_path):
     records = tables.usage_raw(spark, sf_dir)
     source, facts = folder(tmp_path, "in"), folder(tmp_path, "facts")

@@ -76,12 +76,9 @@ def read_audit(records: DataFrame, fields: str = "fields") -> DataFrame:
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
-    """Valid events once per stream id."""
-    return (
-        events.filter(F.col("reason").isNull())
-        .dropDuplicates(["stream_id"])
-        .select("stream_id", "ts", "actor", "action", "resource", "detail")
-    )
+    """Valid events once per stream id, the earliest one."""
+    first = F.min(F.struct("ts", "actor", "action", "resource", "detail")).alias("first")
+    return events.filter(F.col("reason").isNull()).groupBy("stream_id").agg(first).select("stream_id", "first.*")
 
 
 def audit_dead_letters(events: DataFrame, fields: str = "fields") -> DataFrame:

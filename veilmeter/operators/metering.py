@@ -155,10 +155,10 @@ FACT_COLUMNS = (
 
 
 def usage_facts(parsed: DataFrame) -> DataFrame:
-    """Valid records once per stream id, with the fact table's default columns."""
-    return (
+    """Valid records once per stream id, the earliest one, with the fact table's default columns."""
+    rest = [c for c in FACT_COLUMNS if c != "stream_id"]
+    rows = (
         parsed.filter(F.col("reason").isNull())
-        .dropDuplicates(["stream_id"])
         .select(
             "*",
             F.lit(0).alias("cache_read"),
@@ -166,8 +166,9 @@ def usage_facts(parsed: DataFrame) -> DataFrame:
             F.lit(False).alias("fallback"),
             F.lit(200).cast("smallint").alias("status"),
         )
-        .select(*FACT_COLUMNS)
     )
+    first = rows.groupBy("stream_id").agg(F.min(F.struct(*rest)).alias("first"))
+    return first.select("stream_id", "first.*")
 
 
 def usage_dead_letters(parsed: DataFrame, fields: str = "fields") -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.spans import ENTITY
 from ..functions.text import computed_once
 from ..operators.audit import build_event, spaced_json
 from ..operators.pii import action
+from .ingest import batch_folder
 
 
 def guard(requests: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def write_outcomes(path: str):
         done = guard(batch).persist()
 
         def put(df: DataFrame, name: str) -> None:
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+            df.write.mode("overwrite").parquet(batch_folder(batch, f"{path}/{name}", batch_id))
 
         put(done.filter("action <> 'block'").drop("audit", "rules", "kinds", "mapping"), "passed")
         put(done.filter("action = 'block'").select("request_id", "ts", "tenant", "redactions", "kinds", "rules"),

@@ -2,8 +2,9 @@
 
 A micro-batch appends only stream ids that are not stored yet and the stored rows are their own
 receipts, so one commit covers both. A batch replayed after a lost driver or executor finds its
-rows and adds nothing. A redelivered record has the same time, hence only the days present in the
-batch are read back.
+rows and adds nothing; so does a redelivered record, whatever its time. Files are sorted by stream
+id, and ids grow with time, so the ids between the batch's least and largest are found by the files'
+statistics: what is read back follows the batch, not the table.
 """
 
 from __future__ import annotations
@@ -47,20 +48,25 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def append_once(rows: DataFrame, path: str, schema: str) -> None:
     """Append the rows whose stream id is not stored yet. There is no way to overwrite."""
-    spark = rows.sparkSession
-    dated = _dated(rows)
-    # One value per day the batch touches.
-    days = [r.day for r in dated.select("day").distinct().collect()]
-    known = read_table(spark, path, schema).filter(F.col("day").isin(days)).select("stream_id")
-    fresh = dated.join(known, "stream_id", "left_anti")
-    fresh.repartition("day", F.pmod(F.xxhash64("stream_id"), F.lit(32))).write.mode("append").partitionBy(
-        *_PARTS
-    ).parquet(path)
+    ends = rows.agg(F.min("stream_id").alias("lo"), F.max("stream_id").alias("hi")).first()
+    if ends.lo is None:
+        return
+    known = read_table(rows.sparkSession, path, schema).where(F.col("stream_id").between(ends.lo, ends.hi))
+    fresh = _dated(rows).join(known.select("stream_id"), "stream_id", "left_anti")
+    # Rebalancing makes as many files of a day as its size asks for.
+    placed = fresh.hint("rebalance", *_PARTS).sortWithinPartitions(*_PARTS, "stream_id")
+    placed.write.mode("append").partitionBy(*_PARTS).parquet(path)
 
 
-def _write_letters(letters: DataFrame, path: str, batch_id: int) -> None:
-    """Refused records of one batch; a replayed batch replaces its own folder."""
-    letters.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def batch_folder(batch: DataFrame, path: str, batch_id: int) -> str:
+    """Folder of one batch of one run. A replay writes the same folder again; a job that starts with a
+    new checkpoint counts its batches from 0 but has another run, so nothing older is replaced."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    return f"{path}/run={run}/batch_id={batch_id}"
+
+
+def _write_letters(letters: DataFrame, folder: str) -> None:
+    letters.write.mode("overwrite").parquet(folder)
 
 
 def usage_batch(facts: str, letters: str) -> Callable[[DataFrame, int], None]:
@@ -69,7 +75,7 @@ def usage_batch(facts: str, letters: str) -> Callable[[DataFrame, int], None]:
     def store(batch: DataFrame, batch_id: int) -> None:
         parsed = M.read_usage(batch).persist()
         append_once(M.usage_facts(parsed), facts, USAGE_SCHEMA)
-        _write_letters(M.usage_dead_letters(parsed), letters, batch_id)
+        _write_letters(M.usage_dead_letters(parsed), batch_folder(batch, letters, batch_id))
         parsed.unpersist()
 
     return store
@@ -81,7 +87,7 @@ def audit_batch(log: str, letters: str) -> Callable[[DataFrame, int], None]:
     def store(batch: DataFrame, batch_id: int) -> None:
         events = A.read_audit(batch).persist()
         append_once(A.audit_rows(events), log, AUDIT_SCHEMA)
-        _write_letters(A.audit_dead_letters(events), letters, batch_id)
+        _write_letters(A.audit_dead_letters(events), batch_folder(batch, letters, batch_id))
         events.unpersist()
 
     return store
