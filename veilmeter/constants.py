@@ -107,7 +107,6 @@ WINDOW_SECONDS = 60
 DEFAULT_MAX_TOKENS = 256
 TOKEN_FIELDS = ("input", "messages", "prompt", "system", "tools")
 MAPPING_TTL_SECONDS = 300
-DEAD_LETTER_KEEP = 10_000
 
 ENDPOINTS = {"aembedding": "/v1/embeddings", "anthropic_messages": "/v1/messages"}
 DEFAULT_ENDPOINT = "/v1/chat/completions"

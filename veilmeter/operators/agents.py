@@ -67,11 +67,13 @@ def needs_approval(risk: Column, overwrites: Column) -> Column:
 def approval_status(
     requests: DataFrame, tools: DataFrame, now: Column, hours: int = APPROVAL_HOURS
 ) -> DataFrame:
-    """Status of each tool request: not needed, decided, waiting or expired."""
-    joined = requests.join(tools.select(F.col("id").alias("tool"), "risk_level"), "tool")
+    """Status of each tool request: not needed, decided, waiting or expired, and unregistered for a
+    tool the register lacks, which nobody can approve."""
+    joined = requests.join(tools.select(F.col("id").alias("tool"), "risk_level"), "tool", "left")
     old = F.unix_micros(now) - F.unix_micros("requested_at") > hours * 3_600_000_000
     status = (
-        F.when(~needs_approval(F.col("risk_level"), F.col("overwrites")), "not_needed")
+        F.when(F.col("risk_level").isNull(), "unregistered")
+        .when(~needs_approval(F.col("risk_level"), F.col("overwrites")), "not_needed")
         .when(F.col("decision").isNotNull(), F.col("decision"))
         .when(old, "expired")
         .otherwise("waiting")

@@ -413,14 +413,17 @@ def next_review(reviewed: Column, tier: Column) -> Column:
 
 
 def processing_records(usecases: DataFrame, usage: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Register of processing activities: each use case with its recipients and transfers abroad."""
+    """Register of processing activities: each use case with its recipients and transfers abroad.
+
+    A recipient the catalog lacks is listed and, its place being unknown, counts as abroad.
+    """
     residency = catalog.select(F.col("id").alias("model"), "residency")
     recipients = (
         usage.groupBy("usecase_id", "model").agg(F.count(F.lit(1)).alias("calls"))
-        .join(residency, "model")
+        .join(residency, "model", "left")
         .groupBy("usecase_id")
         .agg(F.array_sort(F.collect_set("model")).alias("recipients"),
-             F.bool_or(F.col("residency") == "cloud").alias("abroad"))
+             F.bool_or(F.coalesce("residency", F.lit("cloud")) == "cloud").alias("abroad"))
     )
     return usecases.join(recipients, "usecase_id", "left").select(
         "usecase_id", "owner", "purposes", "pii_kinds",
@@ -430,9 +433,12 @@ def processing_records(usecases: DataFrame, usage: DataFrame, catalog: DataFrame
 
 
 def cross_border(usage: DataFrame, catalog: DataFrame, registry: DataFrame) -> DataFrame:
-    """Cloud use per use case against what the registry declares; either side may be alone."""
-    cloud = catalog.filter("residency = 'cloud'").select(F.col("id").alias("model"))
-    used = usage.join(cloud, "model", "left_semi").groupBy("usecase_id").agg(
+    """Cloud use per use case against what the registry declares; either side may be alone.
+
+    A model counts as cloud unless the catalog has it as local.
+    """
+    local = catalog.filter("residency <> 'cloud'").select(F.col("id").alias("model"))
+    used = usage.join(local, "model", "left_anti").groupBy("usecase_id").agg(
         F.count(F.lit(1)).alias("cloud_calls")
     )
     declared = registry.select("usecase_id", "declared_abroad")

@@ -178,9 +178,18 @@ def usage_dead_letters(parsed: DataFrame, fields: str = "fields") -> DataFrame:
     )
 
 
-def keep_newest(letters: DataFrame, at: str, keep: int) -> DataFrame:
-    """Retention of a bounded dead-letter table: the newest ``keep`` rows."""
-    return letters.orderBy(F.col(at).desc(), F.col("source_stream_id").desc()).limit(keep)
+def retention(letters: DataFrame, at: str, since: Column, most: int | None = None) -> DataFrame:
+    """Dead letters with ``kept``: received at ``since`` or later.
+
+    ``most`` is an optional bound on the kept rows, the newest first; without it age alone decides.
+    Removed letters stay in the result, so that what goes is counted before it is deleted.
+    """
+    marked = letters.withColumn("kept", F.coalesce(F.col(at) >= since, F.lit(False)))
+    if most is None:
+        return marked
+    newest = [F.col(at).desc(), F.col("source_stream_id").desc()]
+    ids = marked.where("kept").orderBy(*newest).limit(most).select("source_stream_id", at, F.lit(True).alias("_in"))
+    return marked.join(ids, ["source_stream_id", at], "left").withColumn("kept", F.col("_in").isNotNull()).drop("_in")
 
 
 def normalise_provider_usage(usage: DataFrame) -> DataFrame:
@@ -235,12 +244,18 @@ def estimate_before_call(tokens_in: Column, max_tokens: Column) -> Column:
 
 
 def check_cost(usage: DataFrame, catalog: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Compare each metered cost with tokens times rates."""
+    """Compare each metered cost with tokens times rates.
+
+    ``outcome`` is within, outside or, for a model the catalog lacks, unpriced.
+    """
     priced = usage.join(
-        catalog.select(F.col("id").alias("model"), "price_in", "price_out"), "model"
+        catalog.select(F.col("id").alias("model"), "price_in", "price_out"), "model", "left"
     )
     expected = token_cost(F.col("tokens_in"), F.col("tokens_out"))
     return priced.withColumn("expected_usd", expected.cast("decimal(18,8)")).withColumn(
         "within", F.abs(F.col("cost_usd") - F.col("expected_usd"))
         <= F.lit(str(tolerance)).cast("decimal(6,4)") * F.col("expected_usd"),
+    ).withColumn(
+        "outcome", F.when(F.col("price_in").isNull() | F.col("price_out").isNull(), "unpriced")
+        .when(F.col("within"), "within").otherwise("outside"),
     )

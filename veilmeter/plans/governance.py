@@ -273,7 +273,7 @@ def subject_keys(spark, d):
 def sightings(spark, d):
     """Where each detected identifier was seen."""
     place = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
-    return privacy.ents(spark, d).filter("kind IN ('PHONE', 'EMAIL')").select(
+    return privacy.ents(spark, d).select(
         G.subject_key(SECRET, F.col("kind"), F.col("value")).alias("subject_key"),
         T.pick(STORES, place).alias("store"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("location"),
@@ -288,7 +288,8 @@ def subject_index(spark, d):
 
 
 _SEEN = f"""(SELECT conv_id, turn, kind, value, {choose(STORES, '(conv_id + turn)')} AS store,
-    conv_id || '-' || turn AS location FROM ents WHERE kind IN ('PHONE', 'EMAIL'))"""
+    conv_id || '-' || turn AS location FROM ents)"""
+_ASKED = "kind IN ('PHONE', 'EMAIL', 'CCCD', 'BANK') AND conv_id % 5 = 0"
 
 
 @query(
@@ -303,7 +304,8 @@ def index(spark, d):
 
 
 def erasure_requests(spark, d):
-    """Every fifth conversation's person asks to be erased; two phones and an e-mail each."""
+    """Every fifth conversation's person asks to be erased; two phones, an e-mail, an
+    identity and an account number each."""
     c = T.turns(spark, d).filter(F.pmod("conv_id", F.lit(5)) == 0).select("conv_id").distinct()
 
     def key(kind, value):
@@ -314,7 +316,8 @@ def erasure_requests(spark, d):
 
     return c.select(
         F.concat(F.lit("DSR-"), F.col("conv_id").cast("string")).alias("id"),
-        F.array(key("PHONE", phone(0)), key("PHONE", phone(5_000_000)), key("EMAIL", T.known_values()["email"]))
+        F.array(key("PHONE", phone(0)), key("PHONE", phone(5_000_000)), key("EMAIL", T.known_values()["email"]),
+                key("CCCD", T.known_values()["cccd"]), key("BANK", T.known_values()["bank"]))
         .alias("subject_keys"),
         F.when(F.pmod("conv_id", F.lit(10)) == 0, key("EMAIL", T.known_values()["email"])).alias("held"),
     )
@@ -330,7 +333,7 @@ _REPORT = f"""(SELECT 'DSR-' || conv_id AS dsr_id, store, count(*) AS found,
     count(*) FILTER (kind = 'EMAIL' AND conv_id % 10 = 0) AS held, CASE store
     WHEN 'minio' THEN 'redact_version' WHEN 'usage' THEN 'anonymise' WHEN 'agent_runs' THEN 'redact'
     ELSE 'delete' END AS action, count(*) FILTER (kind = 'EMAIL' AND conv_id % 10 = 0) AS remaining
-    FROM {_SEEN} WHERE conv_id % 5 = 0 GROUP BY conv_id, store)"""
+    FROM {_SEEN} WHERE {_ASKED} GROUP BY conv_id, store)"""
 
 
 @query("v13_erasure_report", with_("ents", then=f"SELECT * FROM {_REPORT}"))
@@ -353,7 +356,7 @@ def erasure_evidence(spark, d):
     "v13_anonymised_usage",
     with_("ents", "turns", then=f"""SELECT t.conv_id, t.turn, CASE WHEN g.location IS NULL THEN
     'u' || t.conv_id END AS user_ref_hash FROM turns t LEFT JOIN (SELECT DISTINCT location FROM {_SEEN}
-      WHERE conv_id % 5 = 0 AND store = 'usage' AND NOT (kind = 'EMAIL' AND conv_id % 10 = 0)) g
+      WHERE {_ASKED} AND store = 'usage' AND NOT (kind = 'EMAIL' AND conv_id % 10 = 0)) g
     ON g.location = t.conv_id || '-' || t.turn"""),
 )
 def anonymised(spark, d):
@@ -368,7 +371,7 @@ def anonymised(spark, d):
 @query(
     "v14_restricted_requests",
     with_("ents", then="""SELECT conv_id || '-' || turn AS request_id, bool_or(conv_id % 10 = 0 AND kind = 'EMAIL')
-    AS refused FROM ents WHERE kind IN ('PHONE', 'EMAIL') GROUP BY conv_id, turn"""),
+    AS refused FROM ents GROUP BY conv_id, turn"""),
 )
 def restricted_requests(spark, d):
     carried = sightings(spark, d).select(F.col("location").alias("request_id"), "subject_key")
@@ -597,7 +600,8 @@ def records(spark, d):
         "usecase_id", F.concat(F.lit("owner-"), F.pmod("c_custkey", F.lit(9)).cast("string")).alias("owner"), "purposes",
         F.array(F.lit("PHONE"), F.lit("EMAIL")).alias("pii_kinds"), F.lit("2024-06-30").cast("date").alias("review_due"),
     )
-    return G.processing_records(registry, usage_by_usecase(spark, d), T.catalog(spark))
+    known = T.catalog(spark).filter("id <> 'mock-claude'")  # one recipient is unknown
+    return G.processing_records(registry, usage_by_usecase(spark, d), known)
 
 
 _ROPA = """SELECT 'uc-' || c_custkey AS usecase_id, 'owner-' || c_custkey % 9 AS owner,
@@ -669,7 +673,7 @@ def cross_border(spark, d):
     registry = usecases(spark, d).filter(F.pmod("c_custkey", F.lit(10)) != 0).withColumn(
         "declared_abroad", F.pmod("c_custkey", F.lit(3)) != 0
     )
-    return G.cross_border(usage_by_usecase(spark, d), T.catalog(spark), registry)
+    return G.cross_border(usage_by_usecase(spark, d), T.catalog(spark).filter("id <> 'mock-claude'"), registry)
 
 
 @query(

@@ -366,16 +366,16 @@ TOOLS = (("sql_query", "read"), ("search_docs", "read"), ("create_report", "writ
 
 @query(
     "x04_approval_status",
-    f"""SELECT event_id, CASE WHEN tool IN ('sql_query', 'search_docs')
+    f"""SELECT event_id, CASE WHEN tool = 'shell' THEN 'unregistered' WHEN tool IN ('sql_query', 'search_docs')
       OR (tool = 'create_report' AND event_id % 5 <> 0) THEN 'not_needed'
     WHEN event_id % 7 = 0 THEN 'approved' WHEN 1705320000000000 - us > 86400000000 THEN 'expired'
     ELSE 'waiting' END AS status FROM (SELECT event_id, epoch_us(ts) AS us,
-    {choose([t[0] for t in TOOLS], 'event_id')} AS tool FROM events)""",
+    {choose([*(t[0] for t in TOOLS), 'shell'], 'event_id')} AS tool FROM events)""",
 )
 def approval_status(spark, d):
     i = F.col("event_id")
     r = T.events(spark, d).select(
-        "event_id", T.pick([t[0] for t in TOOLS], i).alias("tool"), F.col("ts").alias("requested_at"),
+        "event_id", T.pick([*(t[0] for t in TOOLS), "shell"], i).alias("tool"), F.col("ts").alias("requested_at"),
         (F.pmod(i, F.lit(5)) == 0).alias("overwrites"),
         F.when(F.pmod(i, F.lit(7)) == 0, "approved").alias("decision"),
     )
