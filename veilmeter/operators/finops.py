@@ -40,23 +40,28 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def monthly_statement(facts: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Budget, spending and rates of each tenant and month, with a total row per month."""
+    """Budget, spending and rates of each tenant and month, with a total row per month.
+
+    Spending without a budget has a row too, with null budget, and counts as ``unbudgeted_usd``.
+    """
     month = F.trunc(F.col("ts"), "month")
     spent = facts.groupBy("tenant_id", month.alias("month")).agg(
         F.count(F.lit(1)).alias("requests"), F.sum("cost_usd").alias("spent_usd"),
         F.count_if("cache_hit").alias("hits"), F.count_if("fallback").alias("fallbacks"),
     )
-    joined = budgets.join(spent, ["tenant_id", "month"], "left")
+    joined = budgets.join(spent, ["tenant_id", "month"], "full").withColumn(
+        "unbudgeted_usd", F.when(F.col("limit_usd").isNull(), F.col("spent_usd"))
+    )
     rolled = joined.groupingSets(
         [[F.col("month"), F.col("tenant_id")], [F.col("month")]], "month", "tenant_id"
     ).agg(
         F.sum("limit_usd").alias("budget_usd"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
-          for c in ("spent_usd", "requests", "hits", "fallbacks")],
+          for c in ("spent_usd", "unbudgeted_usd", "requests", "hits", "fallbacks")],
     )
     return rolled.select(
         "month", F.coalesce("tenant_id", F.lit("total")).alias("tenant_id"), "budget_usd",
-        "spent_usd", percent(F.col("spent_usd"), F.col("budget_usd")).alias("used_pct"),
+        "spent_usd", "unbudgeted_usd", percent(F.col("spent_usd"), F.col("budget_usd")).alias("used_pct"),
         "requests", percent(F.col("hits"), F.col("requests")).alias("cache_hit_pct"),
         percent(F.col("fallbacks"), F.col("requests")).alias("fallback_pct"),
     )

@@ -16,7 +16,7 @@ def rate_policy(keys: DataFrame, metadata: str = "metadata", prefix: str = "") -
     """Read trusted key metadata (JSON) into tenant, rpm and tpm.
 
     ``policy`` is ``none`` unless all three are present and ``invalid`` when a limit is not a
-    positive whole number; booleans are not numbers.
+    positive whole number; booleans are not numbers, and neither is ``60.0`` a whole one.
     """
     v = F.try_parse_json(F.col(metadata))
 
@@ -24,9 +24,9 @@ def rate_policy(keys: DataFrame, metadata: str = "metadata", prefix: str = "") -
         return F.try_variant_get(v, f"$.{prefix}{name}", "variant")
 
     def limit(name: str) -> Column:
-        boolean = F.schema_of_variant(raw(name)) == "BOOLEAN"
+        whole = F.schema_of_variant(raw(name)).isin("BIGINT", "STRING")
         text = F.try_variant_get(v, f"$.{prefix}{name}", "string")
-        number = F.when(~boolean, read_int(text))
+        number = F.when(whole, read_int(text))
         return F.when(number > 0, number)
 
     is_text = F.coalesce(F.schema_of_variant(raw("tenant")) == "STRING", F.lit(False))

@@ -16,11 +16,13 @@ _PROVIDER = choose([m[1] for m in T.MODELS], "event_id")
 
 
 def budgets(spark, d, per_thousand: int = 1):
-    """Monthly budgets in thousandths of the tenants' budgets, so that test traffic reaches them."""
+    """Budgets of every month with traffic, in thousandths of the tenants' budgets, so that test
+    traffic reaches them."""
     limit = (F.col("budget_usd") * per_thousand / 1000).cast("decimal(12,4)")
-    return T.tenants(spark).select(
-        "tenant_id", F.lit("2024-01-01").cast("date").alias("month"), limit.alias("limit_usd")
-    )
+    tenants = T.tenants(spark).agg(F.collect_list(F.struct("tenant_id", limit.alias("limit_usd"))).alias("all"))
+    months = T.events(spark, d).select(F.trunc("ts", "month").alias("month")).distinct()
+    every = months.withColumn("key", F.lit(1)).join(F.broadcast(tenants.withColumn("key", F.lit(1))), "key")
+    return every.select("month", F.inline("all")).select("tenant_id", "month", "limit_usd")
 
 
 def calls(spark, d):
@@ -65,17 +67,21 @@ def cost_grouping_sets(spark, d):
 
 @query(
     "f02_monthly_statement",
-    with_("facts", "tenants", then="""SELECT '2024-01-01' AS month, coalesce(tenant_id, 'total')
+    with_("facts", "tenants", then="""SELECT strftime(month, '%Y-%m-%d') AS month, coalesce(tenant_id, 'total')
       AS tenant_id, sum(budget)::DOUBLE AS budget_usd, sum(micros) / 1000000 AS spent_usd,
+    sum(CASE WHEN budget IS NULL THEN micros ELSE 0 END) / 1000000 AS unbudgeted_usd,
     round(100 * (sum(micros) / 1000000) / sum(budget), 4) AS used_pct,
     sum(n)::BIGINT AS requests, round(100 * sum(hits) / sum(n), 4) AS cache_hit_pct,
     0.0::DOUBLE AS fallback_pct
-    FROM (SELECT t.tenant_id, budget_usd AS budget, count(*) AS n, sum(cost_micros)::BIGINT AS micros,
-      count(*) FILTER (cache_hit) AS hits FROM facts f JOIN tenants t ON t.tenant_id = f.tenant_id
-      GROUP BY ALL) GROUP BY ROLLUP (tenant_id)"""),
+    FROM (SELECT f.tenant_id, date_trunc('month', ts) AS month, budget_usd AS budget, count(*) AS n,
+      sum(cost_micros)::BIGINT AS micros, count(*) FILTER (cache_hit) AS hits FROM facts f
+      LEFT JOIN (SELECT * FROM tenants WHERE slug <> 'finance') t ON t.tenant_id = f.tenant_id
+      GROUP BY ALL) GROUP BY GROUPING SETS ((month, tenant_id), (month))"""),
 )
 def monthly_statement(spark, d):
-    return O.monthly_statement(facts(spark, d), budgets(spark, d, 1000))
+    """One tenant spends without a budget."""
+    without = T.tenants(spark).filter("slug = 'finance'").select("tenant_id")
+    return O.monthly_statement(facts(spark, d), budgets(spark, d, 1000).join(without, "tenant_id", "left_anti"))
 
 
 @query(

@@ -340,8 +340,8 @@ def key_metadata(spark, d):
     """Key metadata as JSON: limits are missing, boolean, zero, text or numbers."""
     i = F.col("event_id")
     rpm = F.get(
-        F.array(*[F.lit(x) for x in ("60", "0", "true", None, "\"30\"", "\"wrong\"", "null")]),
-        F.pmod(i, F.lit(7)).cast("int"),
+        F.array(*[F.lit(x) for x in ("60", "0", "true", None, "\"30\"", "\"wrong\"", "null", "60.0", "1e2")]),
+        F.pmod(i, F.lit(9)).cast("int"),
     )
     tenant = F.when(F.pmod(i, F.lit(5)) == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "slug"))
     body = F.concat_ws(
@@ -354,12 +354,12 @@ def key_metadata(spark, d):
 @query(
     "q01_rate_policy",
     with_("ev", then="""SELECT event_id,
-    CASE WHEN event_id % 5 = 0 OR event_id % 7 IN (3, 6) THEN 'none'
-      WHEN event_id % 7 IN (0, 4) THEN 'active' ELSE 'invalid' END AS policy,
-    CASE WHEN event_id % 5 = 0 OR event_id % 7 IN (3, 6) THEN NULL ELSE slug END AS tenant,
-    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 60 WHEN event_id % 7 = 4 THEN 30
+    CASE WHEN event_id % 5 = 0 OR event_id % 9 IN (3, 6) THEN 'none'
+      WHEN event_id % 9 IN (0, 4) THEN 'active' ELSE 'invalid' END AS policy,
+    CASE WHEN event_id % 5 = 0 OR event_id % 9 IN (3, 6) THEN NULL ELSE slug END AS tenant,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 9 = 0 THEN 60 WHEN event_id % 9 = 4 THEN 30
       END::BIGINT AS rpm,
-    CASE WHEN event_id % 5 = 0 OR event_id % 7 IN (3, 6) THEN NULL ELSE 1000 END::BIGINT AS tpm
+    CASE WHEN event_id % 5 = 0 OR event_id % 9 IN (3, 6) THEN NULL ELSE 1000 END::BIGINT AS tpm
     FROM ev"""),
 )
 def rate_policy(spark, d):

@@ -324,15 +324,16 @@ def payload_leaks(spark, d):
 
 @query(
     "p18_corpus_summary",
-    """SELECT source, 'BANK' AS kind, count(*) AS entities, count(DISTINCT doc_id % 50)
-    AS distinct_values FROM documents GROUP BY source""",
+    r"""SELECT source, kind, count(*) AS entities, count(DISTINCT value) AS distinct_values FROM (
+      SELECT source, 'BANK' AS kind, (10000000 + doc_id % 50)::VARCHAR AS value FROM documents
+      UNION ALL SELECT source, 'EMAIL', unnest(regexp_extract_all(text,
+        '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', 0)) FROM documents) GROUP BY 1, 2""",
 )
 def corpus_summary(spark, d):
-    """Documents keep their whole text; only the added account numbers are counted, because the
-    texts' own e-mail addresses have no closed form."""
+    """Whole texts with an account number added; the texts' own values are e-mail addresses."""
     number = F.concat(F.lit("\nSTK: "), (10_000_000 + F.pmod("doc_id", F.lit(50))).cast("string"))
     docs = T.read(spark, d, "documents").withColumn("text", F.concat("text", number))
-    return P.corpus_summary(P.entity_rows(docs, ["source"]), "source").filter("kind = 'BANK'")
+    return P.corpus_summary(P.entity_rows(docs, ["source"]), "source")
 
 
 # --- injection -------------------------------------------------------------------------------
