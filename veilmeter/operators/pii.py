@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LEAK_PHONE, PLACEHOLDER
 from ..functions import pii
+from ..functions.requests import answer_texts, with_answer_texts
 from ..functions.spans import DEFAULT_RECOGNISERS, Recogniser, rewrite
 from ..functions.text import computed_once
 from ..frames import skew
@@ -112,7 +113,12 @@ def restore_rows(
 
 
 def respond_rows(
-    responses: DataFrame, mapping: DataFrame, request: str, row: Sequence[str], text: str = "text"
+    responses: DataFrame,
+    mapping: DataFrame,
+    request: str,
+    row: Sequence[str],
+    text: str = "text",
+    recognisers: Sequence[Recogniser] = DEFAULT_RECOGNISERS,
 ) -> DataFrame:
     """Add ``answer``: off leaves the text alone; otherwise restore if the policy says so, then
     mask personal data that is new, leaving the request's own values visible."""
@@ -123,7 +129,7 @@ def respond_rows(
     )
     found = computed_once(
         shown.filter("mode <> 'off'").select(*keys, "restore", "_shown"),
-        {"_found": pii.entities(F.col("_shown"))},
+        {"_found": pii.entities(F.col("_shown"), recognisers)},
     ).select(*keys, "restore", F.inline("_found"))
     own = mapping.select(request, F.col("original").alias("value"), F.lit(True).alias("_own"))
     spans = (
@@ -149,6 +155,26 @@ def respond_rows(
     )
 
 
+def respond_bodies(
+    bodies: DataFrame,
+    mapping: DataFrame,
+    request: str,
+    row: Sequence[str],
+    body: str = "body",
+    recognisers: Sequence[Recogniser] = DEFAULT_RECOGNISERS,
+) -> DataFrame:
+    """Add ``answer_body``: the answer's JSON with every text in it restored and masked as
+    ``respond_rows`` does. Both answer shapes are known; a body without texts stays as it is."""
+    keys = [request, *row]
+    parts = bodies.select(*keys, "mode", "restore", F.posexplode(answer_texts(F.col(body))).alias("_part", "_text"))
+    done = respond_rows(parts, mapping, request, [*row, "_part"], "_text", recognisers)
+    texts = done.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_part", "answer"))), lambda x: x["answer"]).alias("_texts")
+    )
+    joined = bodies.join(texts, keys, "left")
+    return joined.withColumn("answer_body", with_answer_texts(F.col(body), F.col("_texts"))).drop("_texts")
+
+
 def action(mode: Column, redactions: Column) -> Column:
     """What happens to a request: masking mode sends placeholders like redact does."""
     return (
@@ -175,10 +201,10 @@ def decide(requests: DataFrame, mapping: DataFrame, request: str) -> DataFrame:
     )
 
 
-def leaks(rows: DataFrame, keys: Sequence[str], text: str = "text",
-          redacted: str = "redacted") -> DataFrame:
+def leaks(rows: DataFrame, keys: Sequence[str], text: str = "text", redacted: str = "redacted",
+          recognisers: Sequence[Recogniser] = DEFAULT_RECOGNISERS) -> DataFrame:
     """Values found in a row's text that its redacted text still shows."""
-    shown = F.filter(pii.entities(F.col(text)), lambda e: F.contains(F.col(redacted), e["value"]))
+    shown = F.filter(pii.entities(F.col(text), recognisers), lambda e: F.contains(F.col(redacted), e["value"]))
     found = computed_once(rows.select(*keys, text, redacted), {"_shown": shown})
     return found.select(*keys, F.inline("_shown")).select(*keys, "kind", "value")
 

@@ -16,7 +16,7 @@ from ..operators import policies as S
 from ..session import durable
 from ..sources import tables as T
 from .basis import with_
-from .registry import query
+from .registry import SQL, query
 
 KEY_HEX = "00112233445566778899aabbccddeeff" * 2
 
@@ -287,6 +287,36 @@ def answers(spark, d):
     )
 
 
+_ANSWERS = SQL["p14_answer_texts"]
+
+
+@query(
+    "p14_answer_bodies",
+    f"""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 THEN '{{"error": "none"}}' END AS untouched,
+    CASE WHEN conv_id % 3 < 2 THEN answer END AS first, CASE WHEN conv_id % 3 = 1 THEN answer END AS second
+    FROM ({_ANSWERS})""",
+)
+def answer_bodies(spark, d):
+    """Answers in the two shapes providers send; a third of them have no text."""
+    r = S.privacy_mode(T.responses(spark, d))
+    quoted = F.to_json(F.array("text"))
+    quoted = F.substring(quoted, 2, F.length(quoted) - 2)
+    one = F.concat(F.lit('{"id": 7, "choices": [{"index": 0, "message": {"role": "assistant", "content": '), quoted, F.lit("}}]}"))
+    two = F.concat(
+        F.lit('{"content": [{"type": "text", "text": '), quoted, F.lit('}, {"type": "tool_use", "input": 1}, {"type": "text", "text": '),
+        quoted, F.lit("}]}"),
+    )
+    shape = F.pmod("conv_id", F.lit(3))
+    body = F.when(shape == 0, one).when(shape == 1, two).otherwise('{"error": "none"}')
+    out = P.respond_bodies(r.withColumn("body", body), mapping(spark, d), "conv_id", ["turn"])
+    at = lambda path: F.get_json_object("answer_body", path)
+    return out.select(
+        "conv_id", "turn", F.when(shape == 2, F.col("answer_body")).alias("untouched"),
+        F.coalesce(at("$.choices[0].message.content"), at("$.content[0].text")).alias("first"),
+        at("$.content[2].text").alias("second"),
+    )
+
+
 @query(
     "p15_block_summary",
     with_("turns", "mapping", then=f"""SELECT conv_id, redactions AS count, kinds FROM ({_DECIDED})

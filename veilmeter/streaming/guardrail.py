@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import injection, pii
 from ..functions.numbers import epoch_text
 from ..functions.requests import request_fields, untrusted_text, with_request_texts
-from ..functions.spans import ENTITY
+from ..functions.spans import DEFAULT_RECOGNISERS, ENTITY, Recogniser
 from ..functions.text import computed_once
 from ..operators.audit import build_event, spaced_json
 from ..operators.pii import action
 from .ingest import batch_folder
 
 
-def guard(requests: DataFrame) -> DataFrame:
+def guard(requests: DataFrame, recognisers: Sequence[Recogniser] = DEFAULT_RECOGNISERS) -> DataFrame:
     """Redact, block or pass requests: request_id, ts, tenant, body (JSON), raw_mode, raw_restore,
     injection_mode.
 
@@ -34,7 +36,7 @@ def guard(requests: DataFrame) -> DataFrame:
     nothing = F.array().cast(f"array<{ENTITY}>")
     found = computed_once(fields, {
         "_found": F.transform(
-            texts, lambda t: F.when(F.col("mode") == "off", nothing).otherwise(pii.entities(t))
+            texts, lambda t: F.when(F.col("mode") == "off", nothing).otherwise(pii.entities(t, recognisers))
         ),
     })
     numbered = computed_once(found, {"_numbers": pii.numbering(F.flatten("_found"))})
