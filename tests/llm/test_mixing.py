@@ -8,24 +8,6 @@ from veilmeter.llm.mixing import DOMAINS, TARGETS, domains, fit, memberships, mi
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def fitted(p, tokens, share, most=None):
-    """The same descent on whole numpy arrays."""
-    lead = int(np.argmax(share))
-    budget = (tokens * p[:, lead]).sum() / share[lead]
-    target = share * budget
-    g = (p * tokens[:, None]).T @ p
-    r, best = np.ones(len(p)), np.inf
-    for _ in range(mx.STEPS):
-        gap = (p * (tokens * r)[:, None]).sum(axis=0) - target
-        size = np.abs(gap).max() / budget
-        if size <= mx.CLOSE or size > best * (1 - 1e-4):
-            break
-        best = size
-        r = np.maximum(0, r - p @ (np.linalg.pinv(g) @ gap))
-        r = r if most is None else np.minimum(most, r)
-    return r, target
-
-
 def frame(spark, p, tokens):
     rows = [(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p, strict=True))]
     return spark.createDataFrame(rows, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
@@ -33,20 +15,23 @@ def frame(spark, p, tokens):
 
 @pytest.mark.parametrize("most", [None, 1.0])
 @pytest.mark.parametrize("seed", [0, 1])
-def test_rates_against_numpy(spark, seed, most):
+def test_rates_meet_targets(spark, seed, most):
     rng = np.random.default_rng(seed)
     p = rng.dirichlet([0.6, 0.2, 0.3], 300)
     tokens = rng.integers(0, 500, 300)
     members = frame(spark, p, tokens)
     share = np.array([TARGETS[d] for d in DOMAINS])
+    target = share * (p[:, 0] * tokens).sum() / share[0]
     solved = solve(members, most=most)
-    want, target = fitted(p, tokens.astype(float), share, most)
     got = np.array([r.rate for r in members.withColumn("rate", mx._rate(solved["steps"], most)).orderBy("doc_id").collect()])
-    assert np.allclose(got, want, atol=1e-6) and (got >= 0).all()
+    assert (got >= 0).all() and (most is None or (got <= most).all())
     reached = (p * (tokens * got)[:, None]).sum(axis=0)
     assert np.allclose(reached, solved["expected"])
+    natural = (p * tokens[:, None]).sum(axis=0)
     if most is None:
         assert np.allclose(reached, target, rtol=1e-4)
+    else:  # out of reach without repeats, yet nearer than the natural mix
+        assert np.abs(reached - target).max() < 0.5 * np.abs(natural - target).max()
 
 
 def test_targets_and_bounds(spark):

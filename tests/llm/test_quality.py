@@ -7,7 +7,6 @@ from edge import LONG, PROSE, answer, clashing, documents
 from veilmeter.llm.quality import cleaned, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SENTENCE = "The old harbour lay quiet under the morning fog while the boats waited."
 
 
 def base(text):
@@ -38,7 +37,7 @@ def test_base_against_brute_force(spark, sf_dir):
 
 
 def long_lines(n):
-    return [f"{SENTENCE[:-1]} {i} times, and the keeper of light number {i * 7} saw {i * 11} ships pass." for i in range(n)]
+    return [f"Line {i} of the tale holds " + " ".join(f"word{i}x{j}" for j in range(14)) + "." for i in range(n)]
 
 
 @pytest.mark.parametrize(

@@ -10,8 +10,9 @@
 
        r <- max(0, r - membership . inverse(G) (expected - target))
 
-   A step needs the K domain sums only: one aggregate over the written memberships. A document's
-   rate is a fold over the steps' K numbers, so nothing but those K numbers leaves the executors.
+   G is taken over the documents whose rate is free to move; if such a step does not help, over all.
+   A step needs the K domain sums and G only: one aggregate over the written memberships. A
+   document's rate is a fold over the steps' K numbers, so nothing else leaves the executors.
 
 All of it is DataFrame functions.
 """
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import CAPITALS, count_of, word_array
+from .quality import CAPITALS, MARKS, SPACES, count_of
 from .shared import one_row, own, written
 
 DOMAINS = ("good", "poor", "toxic")
@@ -54,7 +55,7 @@ def _statistics(text: Column, words: Column) -> list[Column]:
 
     length, n = F.greatest(F.length(text), F.lit(1)), F.greatest(F.size(words), F.lit(1))
     return [
-        level("symbols", count_of(text, "#*$%&|<>") / length, 0.001, 0.02, 0.08),
+        level("symbols", count_of(text, MARKS) / length, 0.001, 0.02, 0.08),
         level("capitals", F.regexp_count(text, F.lit(CAPITALS)) / length, 0.05, 0.15, 0.33),
         level("distinct", F.size(F.array_distinct(words)) / n, 0.2, 0.35, 0.5),
         level("words", n, 10, 40, 200),
@@ -62,11 +63,14 @@ def _statistics(text: Column, words: Column) -> list[Column]:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """Add n_tokens and words; a null text counts as empty."""
+    """Add words (lower case, without punctuation), their number and statistics; a null text counts
+    as empty."""
     text = F.coalesce("text", F.lit(""))
-    low = F.translate(F.lower(text), _PUNCTUATION, " " * len(_PUNCTUATION))
-    rows = one_row(docs, words=word_array(low), t=text)
-    return one_row(rows, n_tokens=F.size(word_array(F.col("t"))).cast("bigint"), extra=F.array(*_statistics(F.col("t"), F.col("words"))))
+    apart = _PUNCTUATION + SPACES
+    low = F.translate(F.lower(text), apart, " " * len(apart))
+    rows = one_row(docs, t=text, words=F.array_remove(F.split(low, " "), ""))
+    extra = F.array(*_statistics(F.col("t"), F.col("words")))
+    return one_row(rows, n_tokens=F.size("words").cast("bigint"), extra=extra)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -146,30 +150,43 @@ def solve(
     if set(targets) != set(DOMAINS) or min(targets.values()) < 0 or not sum(targets.values()) > 0:
         raise ValueError("every domain needs a weight of at least 0, one more than 0")
     share = np.array([targets[d] for d in DOMAINS], float) / sum(targets.values())
-    p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     tokens = F.col("n_tokens").cast("double")
-    moments = [F.sum(tokens * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-    row = members.agg(*[F.sum(tokens * x) for x in p], *moments).collect()[0]
-    values = [float(v or 0.0) for v in row]
-    expected, g = np.array(values[:k]), np.zeros((k, k))
-    for v, (i, j) in zip(values[k:], [(i, j) for i in range(k) for j in range(i, k)], strict=True):
-        g[i, j] = g[j, i] = v
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected domain tokens, and the moments of the documents whose rate is free to move."""
+        rate = _rate(steps, most)
+        free = rate > 0 if most is None else (rate > 0) & (rate < float(most))
+        free = free if steps else F.lit(True)
+        moved = [F.sum(F.when(free, tokens * p[i] * p[j])) for i, j in pairs]
+        row = members.agg(*[F.sum(tokens * x * rate) for x in p], *moved).collect()[0]
+        values = [float(v or 0.0) for v in row]
+        g = np.zeros((k, k))
+        for v, (i, j) in zip(values[k:], pairs, strict=True):
+            g[i, j] = g[j, i] = v
+        return np.array(values[:k]), g
+
+    expected, whole = sums([])
     if budget is None:
         lead = int(np.argmax(share))
         budget = expected[lead] / share[lead]
-    target, inverse, steps = share * budget, np.linalg.pinv(g), []
-    scale = max(budget, 1.0)
-    best = np.inf
-    while len(steps) < STEPS and (residual := np.abs(expected - target).max() / scale) > CLOSE:
-        if residual > best * (1 - 1e-4):
-            break  # the targets are out of reach
-        best = residual
-        steps.append(inverse @ (expected - target))
-        rate = _rate(steps, most)
-        row = members.agg(*[F.sum(tokens * x * rate) for x in p]).collect()[0]
-        expected = np.array([float(v or 0.0) for v in row])
-    return {"steps": steps, "target": target, "expected": expected, "residual": float(np.abs(expected - target).max() / scale)}
+    target, scale = share * budget, max(budget, 1.0)
+    gap = lambda x: float(np.abs(x - target).max() / scale)
+    steps: list[np.ndarray] = []
+    metric, tries = whole, 0
+    while gap(expected) > CLOSE and tries < STEPS:
+        tries += 1
+        step = np.linalg.pinv(metric) @ (expected - target)
+        after, free = sums([*steps, step])
+        if gap(after) < gap(expected) * (1 - 1e-4):
+            steps, expected, metric = [*steps, step], after, free
+        elif metric is whole:
+            break  # what is left is out of reach
+        else:
+            metric = whole  # too bold; the whole metric never overshoots
+    return {"steps": steps, "target": target, "expected": expected, "residual": gap(expected)}
 
 
 def rates(
@@ -197,14 +214,13 @@ def mixed(
     and text) is taken or not, so that equal rows are treated alike.
     """
     model = fit(docs, labels)
-    members = written(memberships(own(docs, "doc_id", "text"), model).drop("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    members = written(memberships(packed, model))
     rate = _rate(solve(members, targets, budget, most)["steps"], most)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    placed = memberships(packed, model)
     times = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
     return (
-        placed.select("_row", times.alias("_times"))
+        members.select("_row", times.alias("_times"))
         .where("_times > 0")
         .select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select("_row.*")
