@@ -148,3 +148,22 @@ def test_the_published_corpus_is_found_completely(spark):
     assert all((r.precision, r.recall, r.false_positive) == (1.0, 1.0, 0) for r in rows.values())
     assert [rows[k].samples for k in ("PHONE", "CCCD", "BANK", "EMAIL", "ORDER", "NAME")] == [80] * 4 + [40] * 2
     assert evaluation.leakage(cases).filter("leaks").count() == 0
+
+
+def test_sections_of_long_texts(spark):
+    """Headings nest and close; many headings and many lines stay linear."""
+    from veilmeter.operators.retrieval import sections
+
+    lines = [("#" * (i * 7 % 6 + 1) + f" h{i}") if i % 3 == 0 else f"line {i}" for i in range(1500)]
+    out, open_, body = [], [], []
+    for line in lines:
+        if line.startswith("#"):
+            out.append((" › ".join(t for _, t in open_), "\n".join(body)))
+            level, title = len(line.split(" ")[0]), line.split(" ")[1]
+            open_, body = [h for h in open_ if h[0] < level] + [(level, title)], []
+        else:
+            body.append(line)
+    out.append((" › ".join(t for _, t in open_), "\n".join(body)))
+    df = spark.createDataFrame([("\n".join(lines),), ("",), (None,)], "t string")
+    got = [r.s for r in df.select(sections(df.t).alias("s")).collect()]
+    assert [tuple(x) for x in got[0]] == out and [tuple(x) for x in got[1]] == [("", "")]

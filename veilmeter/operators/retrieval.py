@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import computed_once
+from ..functions.text import computed_once, let
 from . import vectors
 
 CANDIDATES = 40
@@ -34,44 +34,62 @@ def normalise(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(~F.coalesce(other, F.lit(False))).unionByName(marked)
 
 
+_HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t\r]*$"
+_TITLES = "array<struct<level:int,title:string>>"
+_CHUNK = 256
+
+
+def _paths(heads: Column) -> Column:
+    """Path of all open headings at each heading. Folded in chunks: no array grows beyond its chunk."""
+
+    def step(acc: Column, head: Column) -> Column:
+        kept = F.filter(acc["open"], lambda h: h["level"] < head["level"])
+        opened = F.concat(kept, F.array(F.struct(head["level"].alias("level"), head["title"].alias("title"))))
+        path = F.array_join(F.transform(opened, lambda h: h["title"]), " › ")
+        return F.struct(opened.alias("open"), F.concat(acc["paths"], F.array(path)).alias("paths"))
+
+    def chunk_step(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["open"].alias("open"), F.array().cast("array<string>").alias("paths"))
+        return let(
+            F.aggregate(part, start, step),
+            lambda r: F.struct(r["open"].alias("open"), F.concat(acc["done"], F.array(r["paths"])).alias("done")),
+        )
+
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(heads) / _CHUNK).cast("int") - 1, F.lit(0))),
+        lambda k: F.slice(heads, k * _CHUNK + 1, F.lit(_CHUNK)),
+    )
+    zero = F.struct(F.array().cast(_TITLES).alias("open"), F.array().cast("array<array<string>>").alias("done"))
+    return F.flatten(F.aggregate(parts, zero, chunk_step, lambda acc: acc["done"]))
+
+
 def sections(text: Column) -> Column:
     """Sections of a text as (heading_path, body), split at lines of one to six ``#``.
 
     A heading closes deeper and equal ones, so the path names all open headings.
     """
-    hash_line = r"^(#{1,6})[ \t]+(.*?)[ \t\r]*$"
-
-    def step(acc: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, hash_line, 1))
-        kept = F.filter(acc["open"], lambda h: h["level"] < level)
-        title = F.struct(level.alias("level"), F.regexp_extract(line, hash_line, 2).alias("title"))
-        closed = F.concat(acc["done"], F.array(F.struct(acc["open"].alias("open"), acc["lines"].alias("lines"))))
-        return F.when(
-            level > 0,
-            F.struct(F.concat(kept, F.array(title)).alias("open"),
-                     F.array().cast("array<string>").alias("lines"), closed.alias("done")),
-        ).otherwise(
-            F.struct(acc["open"].alias("open"), F.concat(acc["lines"], F.array(line)).alias("lines"),
-                     acc["done"].alias("done"))
-        )
 
-    heading = "array<struct<level:int,title:string>>"
-    zero = F.struct(
-        F.array().cast(heading).alias("open"), F.array().cast("array<string>").alias("lines"),
-        F.array().cast(f"array<struct<open:{heading},lines:array<string>>>").alias("done"),
-    )
+    def head(line: Column, i: Column) -> Column:
+        level = F.length(F.regexp_extract(line, _HEADING, 1))
+        title = F.regexp_extract(line, _HEADING, 2)
+        return F.struct(i.alias("at"), level.alias("level"), title.alias("title"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["open"].alias("open"), acc["lines"].alias("lines"))))
+    def cut(lines: Column, heads: Column, paths: Column) -> Column:
+        def section(k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(heads, k - 1)["at"] + 1)
+            end = F.coalesce(F.get(heads, k)["at"], F.size(lines))
+            return F.struct(
+                F.when(k == 0, F.lit("")).otherwise(F.get(paths, k - 1)).alias("heading_path"),
+                F.array_join(F.slice(lines, begin + 1, end - begin), "\n").alias("body"),
+            )
 
-    parts = F.aggregate(F.split(text, "\n"), zero, step, finish)
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            F.array_join(F.transform(p["open"], lambda h: h["title"]), " › ").alias("heading_path"),
-            F.array_join(p["lines"], "\n").alias("body"),
-        ),
-    )
+        return F.transform(F.sequence(F.lit(0), F.size(heads)), section)
+
+    def of(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, head), lambda h: h["level"] > 0)
+        return let(heads, lambda h: let(_paths(h), lambda p: cut(lines, h, p)))
+
+    return let(F.split(text, "\n"), of)
 
 
 def chunk(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
