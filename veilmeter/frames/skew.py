@@ -1,26 +1,20 @@
 """Exact ranks, running sums and as-of lookups that stay spread out when one group is huge.
 
-A plain window sends a whole group to one task. Here groups above ``hot_rows`` are cut into
-ordered slices: cut points are order keys of a hashed row sample, so a row's slice depends on the
-row alone and the plan stays deterministic and lazy. Slice totals give every slice its offset;
-the window then runs per slice. Where no group is hot, adaptive execution drops those branches and
-only a count per group is left of the extra work.
-
-Sizes: at most rows / hot_rows groups are hot, and together they have about rows / sample_every
-cut points and slices. With the defaults a trillion rows give a million of each, some tens of
-megabytes, so these tables are broadcast.
+A plain window sends a whole group to one task. Where a group may be large, the caller names a slice:
+an expression that never falls along the order, such as the minute of a time. Totals per group and
+slice are map-side combined, a window over a group's slices turns them into offsets, and the rows
+themselves only meet within their slice. The plan is the same for every size; the input is read
+twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 20_000_000
-SAMPLE_EVERY = 1_000_000
-
 
 def running(
     df: DataFrame,
@@ -28,61 +22,42 @@ def running(
     order: Sequence[str],
     sums: dict[str, Column] | None = None,
     rank: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    sample_every: int = SAMPLE_EVERY,
+    slice: Column | None = None,
 ) -> DataFrame:
     """Add the position (``rank``) and running ``sums`` of each row within its group.
 
-    ``order`` must be a total order within a group. Rows with a NULL key are never cut.
+    ``order`` must be a total order within a group, and ``slice`` must not fall along it. Without a
+    slice a group is one window: only for groups that are small by nature. NULL keys are a group.
     """
     sums = dict(sums or {})
-    keys = list(keys)
-    at = F.struct(*[F.col(c) for c in order])
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys)
-    )
-    sampled = F.pmod(F.xxhash64(*order), F.lit(sample_every)) == 0
-    cuts = (
-        df.filter(sampled)
-        .join(F.broadcast(hot), keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(at)).alias("_cuts"))
-    )
-
-    def sliced(how: str) -> DataFrame:
-        passed = F.size(F.filter("_cuts", lambda c: c <= at))
-        tagged = df.join(F.broadcast(cuts), keys, how)
-        return tagged.withColumn("_slice", F.coalesce(passed, F.lit(0))).drop("_cuts")
-
-    measures = {f"_sum_{name}": value for name, value in sums.items()}
+    columns = [F.col(c) for c in df.columns]
+    by = [*keys, "_slice"]
+    df = df.withColumn("_slice", F.lit(0) if slice is None else slice)
+    here = Window.partitionBy(*by).orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {name: F.sum(value).over(upto) for name, value in sums.items()}
     if rank:
-        measures["_rows"] = F.lit(1).cast("bigint")
-    totals = (
-        sliced("inner")
-        .groupBy(*keys, "_slice")
-        .agg(*[F.sum(v).alias(name) for name, v in measures.items()])
+        found[rank] = F.row_number().over(here).cast("bigint")
+    local = df.select("*", *[c.alias(f"_at_{name}") for name, c in found.items()])
+    if slice is None:
+        return local.select(*columns, *[F.col(f"_at_{name}").alias(name) for name in found])
+    totals = df.groupBy(*by).agg(
+        *[F.sum(value).alias(f"_all_{name}") for name, value in sums.items()],
+        *([F.count(F.lit(1)).alias(f"_all_{rank}")] if rank else []),
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_slice", *[F.sum(name).over(before).alias(name) for name in measures]
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+        *[F.sum(f"_all_{name}").over(before).alias(f"_off_{name}") for name in found],
     )
-    here = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {f"_at_{name}": F.sum(value).over(upto) for name, value in sums.items()}
-    if rank:
-        added["_at_rank"] = F.row_number().over(here).cast("bigint")
-    local = sliced("left").select("*", *[c.alias(name) for name, c in added.items()])
-    out = local.join(F.broadcast(offsets), [*keys, "_slice"], "left")
-    columns = [F.col(c) for c in df.columns]
-    for name in sums:
-        shift = F.coalesce(F.col(f"_sum_{name}"), F.lit(0))
-        columns.append((F.col(f"_at_{name}") + shift).alias(name))
-    if rank:
-        columns.append((F.col("_at_rank") + F.coalesce("_rows", F.lit(0))).alias(rank))
-    return out.select(*columns)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    # A sum of nothing but NULLs stays NULL; an offset alone is a sum.
+    whole = {
+        name: F.when(F.col(f"_at_{name}").isNull(), F.col(f"_off_{name}"))
+        .otherwise(F.col(f"_at_{name}") + F.coalesce(F.col(f"_off_{name}"), F.lit(0)))
+        for name in found
+    }
+    return local.join(offsets, same).select(*columns, *[c.alias(name) for name, c in whole.items()])
 
 
 def latest_within(

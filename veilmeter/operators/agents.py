@@ -18,6 +18,8 @@ TRANSITIONS = (
 # Limits of a run.
 MAX_STEPS, MAX_COST_USD, SAME_CALL_REPEAT, APPROVAL_HOURS = 12, 0.20, 3, 24
 
+STEPS_PER_SLICE = 1000
+
 
 def illegal_transitions(spark: SparkSession, steps: DataFrame) -> DataFrame:
     """State changes that are not allowed. ``steps`` holds run_id, step (1, 2, ...), state.
@@ -38,7 +40,9 @@ def illegal_transitions(spark: SparkSession, steps: DataFrame) -> DataFrame:
 def loop_stops(steps: DataFrame, repeat: int = SAME_CALL_REPEAT) -> DataFrame:
     """Step at which each run is stopped for calling one tool with the same arguments too often."""
     calls = steps.select("run_id", "step", "tool", sha256(F.col("arguments")).alias("_args"))
-    numbered = skew.running(calls, ["run_id", "tool", "_args"], ["step"], rank="_n")
+    numbered = skew.running(
+        calls, ["run_id", "tool", "_args"], ["step"], rank="_n", slice=F.floor(F.col("step") / STEPS_PER_SLICE)
+    )
     return numbered.filter(F.col("_n") == repeat).groupBy("run_id").agg(
         F.min("step").alias("stop_step"), F.min_by("tool", "step").alias("tool")
     )
@@ -48,7 +52,10 @@ def limit_stops(
     steps: DataFrame, max_steps: int = MAX_STEPS, max_cost_usd: float = MAX_COST_USD
 ) -> DataFrame:
     """First step of each run beyond its number of steps or its cost."""
-    spent = skew.running(steps, ["run_id"], ["step"], sums={"spent_usd": F.col("cost_usd")})
+    spent = skew.running(
+        steps, ["run_id"], ["step"], sums={"spent_usd": F.col("cost_usd")},
+        slice=F.floor(F.col("step") / STEPS_PER_SLICE),
+    )
     over_steps = F.col("step") > max_steps
     over_cost = F.col("spent_usd") > F.lit(str(max_cost_usd)).cast("decimal(12,6)")
     return (

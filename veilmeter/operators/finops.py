@@ -99,7 +99,8 @@ def budget_crossings(
     )
     inside = timed.join(crossed, [*keys, "second"])
     exact = skew.running(
-        inside, [*keys, "level"], ["us", order], sums={"_within": F.col("cost_usd")}
+        inside, [*keys, "level"], ["us", order], sums={"_within": F.col("cost_usd")},
+        slice=F.floor(F.col("us") / 1000),
     ).withColumn("total", F.col("before") + F.col("_within"))
     return (
         exact.filter("total >= at_usd")
@@ -152,7 +153,7 @@ def minute_percentile(calls: DataFrame, by: list[str], value: str, p: float = 0.
 def slo_streaks(calls: DataFrame, by: list[str], value: str, slo: float, minutes: int = 10):
     """Runs of at least ``minutes`` consecutive minutes whose p95 is above the objective."""
     high = minute_percentile(calls, by, value).filter(F.col("p") > slo).select(*by, "minute")
-    numbered = skew.running(high, by, ["minute"], rank="n")
+    numbered = skew.running(high, by, ["minute"], rank="n", slice=F.floor(F.col("minute") / 1440))
     return (
         numbered.groupBy(*by, (F.col("minute") - F.col("n")).alias("_run"))
         .agg(F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"),

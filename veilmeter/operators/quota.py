@@ -61,18 +61,17 @@ def replay(
     bucket: str = "bucket",
     order: tuple[str, ...] = ("ts", "request_id"),
     tokens: str = "tokens",
-    hot_rows: int = skew.HOT_ROWS,
-    sample_every: int = skew.SAMPLE_EVERY,
+    slice: Column | None = None,
 ) -> DataFrame:
     """Decide every request of a log that carries its tenant's ``rpm`` and ``tpm``.
 
     A refused request stays counted, so the request limit is a rank and the token limit a running
     sum. Only requests that passed the rank add tokens and at most ``rpm`` of them share a
-    minute, so the second window is small even when a minute is huge.
+    minute, so the second window is small even when a minute is huge. ``slice`` cuts a minute along
+    ``order``, e.g. by the second, for tenants whose minute is too large for one task.
     """
     ranked = skew.running(
-        requests, [tenant, bucket], order, rank="rpm_count",
-        hot_rows=hot_rows, sample_every=sample_every,
+        requests, [tenant, bucket], order, rank="rpm_count", slice=slice
     )
     passed = F.col("rpm_count") <= F.col("rpm")
     upto = (

@@ -303,7 +303,7 @@ _REPLAY = """SELECT *, sum(CASE WHEN rpm_count <= 4 THEN tokens END)
     rpm_count <= 4 AND tpm_running <= 2000 AS admitted FROM ({_REPLAY})"""),
 )
 def quota_replay(spark, d):
-    return Q.replay(quota_requests(spark, d)).select(
+    return Q.replay(quota_requests(spark, d), slice=F.floor(F.col("ts") / 1_000_000)).select(
         "request_id", "bucket", "rpm_count", "tpm_count", "reason", "admitted"
     )
 
@@ -316,7 +316,7 @@ def quota_replay(spark, d):
     GROUP BY slug, bucket"""),
 )
 def rpm_counts(spark, d):
-    return Q.replay(quota_requests(spark, d)).groupBy("tenant", "bucket").agg(
+    return Q.replay(quota_requests(spark, d), slice=F.floor(F.col("ts") / 1_000_000)).groupBy("tenant", "bucket").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("rpm_count") <= F.col("rpm")).alias("passed_rpm"),
         F.count_if("admitted").alias("admitted"),
@@ -330,7 +330,7 @@ def rpm_counts(spark, d):
       AS outcome, count(*) AS requests, sum(tokens)::BIGINT AS tokens FROM ({_REPLAY}) GROUP BY 1, 2"""),
 )
 def tpm_counts(spark, d):
-    out = Q.replay(quota_requests(spark, d))
+    out = Q.replay(quota_requests(spark, d), slice=F.floor(F.col("ts") / 1_000_000))
     return out.groupBy("tenant", F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens")
     )

@@ -152,7 +152,7 @@ _REDACTED = f"""text || CASE WHEN k.turn % 2 = 0 THEN ' SĐT <PHONE_' || {_N} ||
 
 def redacted(spark, d):
     texts = T.requests_pii(spark, d)
-    found = durable(P.entity_rows(texts, ["conv_id", "turn"]))
+    found = P.entity_rows(texts, ["conv_id", "turn"])  # never written: these are raw values
     m = mapping(spark, d, found)
     return P.redact_rows(texts, found, m, "conv_id", ["turn"])
 
@@ -198,7 +198,7 @@ def restore(spark, d):
 )
 def round_trip(spark, d):
     texts = T.requests_pii(spark, d)
-    found = durable(P.entity_rows(texts, ["conv_id", "turn"]))
+    found = P.entity_rows(texts, ["conv_id", "turn"])  # never written: these are raw values
     m = mapping(spark, d, found)
     safe = P.redact_rows(texts, found, m, "conv_id", ["turn"]).select("conv_id", "turn", "redacted")
     return P.restore_rows(safe, m, "conv_id", ["turn"], "redacted").select(

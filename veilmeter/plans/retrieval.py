@@ -8,7 +8,6 @@ from ..operators import agents as X
 from ..operators import cache as C
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..session import durable
 from ..sources import tables as T
 from .basis import choose, with_
 from .registry import query
@@ -315,7 +314,7 @@ def agent_steps(spark, d):
     from ..frames import skew
 
     e = T.events(spark, d).select("event_id", "user_id", "us", "event_type", "cost_micros")
-    steps = skew.running(e, ["user_id"], ["us", "event_id"], rank="step")
+    steps = skew.running(e, ["user_id"], ["us", "event_id"], rank="step", slice=F.floor(F.col("us") / 3_600_000_000))
     return steps.select(
         F.col("user_id").alias("run_id"), "step", "event_id",
         T.pick(STATES, F.col("step") - 1 + F.when(F.pmod("event_id", F.lit(9)) == 0, 1).otherwise(0)).alias("state"),
@@ -337,7 +336,7 @@ _PAIRS = ", ".join(f"('{a or 'START'}', '{b}')" for a, b in X.TRANSITIONS)
       state AS to_state FROM {_STEPS}) WHERE (from_state, to_state) NOT IN ({_PAIRS})"""),
 )
 def illegal_transitions(spark, d):
-    return X.illegal_transitions(spark, durable(agent_steps(spark, d)))
+    return X.illegal_transitions(spark, agent_steps(spark, d))
 
 
 @query(
@@ -347,7 +346,7 @@ def illegal_transitions(spark, d):
     WHERE n = 3 GROUP BY run_id"""),
 )
 def loop_stops(spark, d):
-    return X.loop_stops(durable(agent_steps(spark, d)))
+    return X.loop_stops(agent_steps(spark, d))
 
 
 @query(
@@ -358,7 +357,7 @@ def loop_stops(spark, d):
     GROUP BY run_id"""),
 )
 def limit_stops(spark, d):
-    return X.limit_stops(durable(agent_steps(spark, d)))
+    return X.limit_stops(agent_steps(spark, d))
 
 
 TOOLS = (("sql_query", "read"), ("search_docs", "read"), ("create_report", "write"), ("send_email", "external"))
