@@ -2,6 +2,7 @@
 
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def test_chunk_size_does_not_change_the_answer(spark, size):
     known = {"<PHONE_1>": "0912 345 678", "<ORDER_2>": "#A12<3"}
     rows = [("c", i, p, i == len(parts) - 1, known) for i, p in reversed(list(enumerate(parts)))]
     df = spark.createDataFrame(rows, "call_id string, seq bigint, text string, last boolean, mapping map<string,string>")
-    out = queries.through(df, "sizes", restore.restore_chunks).orderBy("seq").collect()
+    out = queries.through(df, "sizes", lambda c: restore.restore_chunks(c, None)).orderBy("seq", "part").collect()
     assert "".join(r.text for r in out) == text.replace("<PHONE_1>", "0912 345 678").replace("<ORDER_2>", "#A12<3")
     assert all("PHONE_1" not in r.text for r in out)
 
@@ -91,3 +92,44 @@ def test_live_quota_continues_over_batches(spark, sf_dir, tmp_path):
     want = replay(requests).select("request_id", "admitted", "reason")
     got = spark.read.parquet(out).select("request_id", "admitted", "reason")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_held_text_is_sent_after_its_wait():
+    """A timeout sends the tail restored, behind the chunk it ended, and drops the state."""
+    from types import SimpleNamespace
+
+    class State(SimpleNamespace):
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+    state = State(exists=False, hasTimedOut=False, get=None)
+    handle = restore._stateful(restore._chunk, 1000)
+    rows = pd.DataFrame({"seq": [4], "text": ["call <PHONE_1> or <PHO"], "last": [False], "mapping": [{"<PHONE_1>": "09"}]})
+    first = list(handle(("c",), iter([rows]), state))[0]
+    assert first.values.tolist() == [["c", 4, 0, "call 09 or "]] and state.wait == 1000
+    state.hasTimedOut = True
+    assert list(handle(("c",), iter([]), state))[0].values.tolist() == [["c", 4, 1, "<PHO"]]
+    assert not state.exists
+
+
+def test_quota_counts_outlive_a_backlog(spark, tmp_path):
+    """A minute's counts stay until event time has passed, whatever the wall clock, and then go."""
+    source, out, checkpoint = folder(tmp_path, "in"), folder(tmp_path, "out"), folder(tmp_path, "cp")
+    schema = ("request_id bigint, tenant string, bucket bigint, ts bigint, tokens bigint, rpm bigint, tpm bigint, "
+              "event_time timestamp")
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    for part in ([(1, 0), (2, 5)], [(3, 30)], [(4, 100_000)], [(5, 100_010)], [(6, 20)]):
+        rows = [(i, "t", s // 60, s, 1, 10, 100, at(s)) for i, s in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        live = quota.admit(streams.record_files(spark, source, schema))
+        live.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    counts = {r.request_id: r.rpm_count for r in spark.read.parquet(out).collect()}
+    assert counts == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2}  # the last one is a day late

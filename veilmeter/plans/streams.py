@@ -28,25 +28,30 @@ def staged(df: DataFrame, name: str) -> str:
     return path
 
 
-def through(df: DataFrame, name: str, job=None, mode: str = "append") -> DataFrame:
-    """Send records through a streaming job into Parquet and read the result."""
+def through(df: DataFrame, name: str, job=None, closing: DataFrame | None = None) -> DataFrame:
+    """Send records through a streaming job into Parquet and read the result.
+
+    ``closing`` records come after a restart from the checkpoint; a later time in them moves the
+    watermark past what is still open.
+    """
     spark = df.sparkSession
-    source = streams.record_files(spark, staged(df, name), df.schema)
-    out = job(source) if job else source
-    path, checkpoint = fresh(spark, f"{name}-out"), fresh(spark, f"{name}-cp")
-    writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        running = writer.format("parquet").option("path", path).start()
-    else:
-        # Each micro-batch holds the whole result so far.
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-
-        running = writer.outputMode("complete").foreachBatch(replace).start()
-    running.awaitTermination()
+    source, path, checkpoint = (fresh(spark, f"{name}-{part}") for part in ("in", "out", "cp"))
+    for part in (df, closing):
+        if part is not None:
+            part.select(df.columns).write.mode("append").parquet(source)
+            records = streams.record_files(spark, source, df.schema)
+            out = job(records) if job else records
+            writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            writer.format("parquet").option("path", path).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
 
 
+def closing_record(df: DataFrame, **values) -> DataFrame:
+    """One record a year after all others."""
+    later = df.agg((F.max("ts") + F.expr("INTERVAL 1 YEAR")).alias("ts"))
+    return later.select("ts", *[F.lit(v).alias(k) for k, v in values.items()])
+
+
 def stored_usage(spark, d, times: int = 1) -> tuple[DataFrame, str]:
     """Usage facts after the stream was taken in ``times`` times from its start."""
     path = staged(metering.T.usage_raw(spark, d), "usage")
@@ -145,7 +150,7 @@ def answer_chunks(spark, d):
 
 def joined_calls(out: DataFrame) -> DataFrame:
     """The whole answer of each call."""
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "part", "text")))
     return out.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("answer"),
@@ -159,7 +164,7 @@ def joined_calls(out: DataFrame) -> DataFrame:
     SELECT k.*, {privacy._REDACTED} AS redacted FROM {privacy._ALL} k)"""),
 )
 def restore_stream(spark, d):
-    out = through(answer_chunks(spark, d), "chunks", restore.restore_chunks)
+    out = through(answer_chunks(spark, d), "chunks", lambda c: restore.restore_chunks(c, None))
     return joined_calls(out).select("call_id", F.sha2("answer", 256).alias("digest"), "chunks")
 
 
@@ -186,7 +191,7 @@ _PHONE = "'09' || lpad((conv_id + CASE WHEN turn % 4 = 2 THEN 5000000 ELSE 0 END
     (2 - turn % 2)::BIGINT AS chunks FROM turns"""),
 )
 def flush(spark, d):
-    return joined_calls(through(cut_tails(spark, d), "tails", restore.restore_chunks))
+    return joined_calls(through(cut_tails(spark, d), "tails", lambda c: restore.restore_chunks(c, None)))
 
 
 def event_frames(spark, d):
@@ -214,7 +219,7 @@ def event_frames(spark, d):
     FROM turns"""),
 )
 def frames(spark, d):
-    return through(event_frames(spark, d), "frames", restore.restore_frames)
+    return through(event_frames(spark, d), "frames", lambda f: restore.restore_frames(f, None)).drop("part")
 
 
 # --- live counters, alerts, quotas and the guardrail chain ---------------------------------------
@@ -224,21 +229,23 @@ def minute_counters(spark, d):
     requests = T.events(spark, d).select(
         "ts", F.col("slug").alias("tenant"), F.col("tokens_in").alias("tokens")
     )
-    out = through(requests, "counters", reports.minute_counters, "complete")
+    closing = closing_record(requests, tenant="none", tokens=0).withColumn("tokens", F.lit(0).cast(requests.schema["tokens"].dataType))
+    out = through(requests, "counters", reports.minute_counters, closing)
     return out.select(F.col("tenant").alias("slug"), F.col("window.start").alias("minute"), "requests", "tokens")
 
 
 @query("t06_error_alerts_stream", SQL["f05_error_rate_alerts"])
 def error_alerts(spark, d):
     calls = finops.calls(spark, d).select("ts", "provider", "failed")
-    out = through(calls, "alerts", reports.error_alerts, "complete")
+    out = through(calls, "alerts", reports.error_alerts, closing_record(calls, provider="none", failed=False))
     last_minute = F.floor(F.unix_seconds("window.end") / 60) - 1
     return out.select("provider", last_minute.alias("window_end"), "calls", "errors")
 
 
 @query("q07_live_quota", SQL["q06_quota_replay"])
 def live_quota(spark, d):
-    out = through(metering.quota_requests(spark, d), "quota", lambda r: quota.admit(r, None))
+    requests = metering.quota_requests(spark, d).withColumn("event_time", F.timestamp_micros("ts"))
+    out = through(requests, "quota", lambda r: quota.admit(r, late="40 days"))
     return out.select("request_id", "bucket", "rpm_count", "tpm_count", "reason", "admitted")
 
 

@@ -14,9 +14,11 @@ DECISIONS = (
     "reason string, admitted boolean"
 )
 _COUNTERS = "requests bigint, tokens bigint"
+#: Event time a counter outlives its last request, once the watermark has passed that.
+KEEP_MS = 120_000
 
 
-def _admitting(forget_after_ms: int | None):
+def _admitting(event_time: str | None):
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -28,8 +30,9 @@ def _admitting(forget_after_ms: int | None):
         spent = tokens + np.cumsum(np.where(passed, rows["tokens"].to_numpy(), 0))
         fits = passed & (spent <= rows["tpm"].to_numpy())
         state.update((int(count[-1]), int(spent[-1])))
-        if forget_after_ms:
-            state.setTimeoutDuration(forget_after_ms)
+        if event_time:
+            seen = int(pd.to_datetime(rows[event_time]).max().value // 1_000_000)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + KEEP_MS)
         yield pd.DataFrame({
             "request_id": rows["request_id"].to_numpy(),
             "tenant": key[0],
@@ -43,14 +46,17 @@ def _admitting(forget_after_ms: int | None):
     return handle
 
 
-def admit(requests: DataFrame, forget_after_ms: int | None = 120_000) -> DataFrame:
-    """Decide a stream of requests: request_id, tenant, bucket, ts, tokens, rpm, tpm.
+def admit(requests: DataFrame, event_time: str | None = "event_time", late: str = "10 minutes") -> DataFrame:
+    """Decide a stream of requests: request_id, tenant, bucket, ts, tokens, rpm, tpm, event_time.
 
-    Counters live per tenant and minute, so a busy tenant spreads over the minutes. They are
-    dropped ``forget_after_ms`` after their last request; pass None for a run that ends once its
-    input is read, because waiting for a timeout never ends.
+    Counters live per tenant and minute, so a busy tenant spreads over the minutes. They are dropped
+    in event time, once requests are more than ``late`` past them: a backlog or a request up to that
+    late meets its minute's counts. A request later than that gets no decision, which the caller takes
+    as refused. ``event_time`` names a timestamp; None keeps every counter and decides everything.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    if event_time:
+        requests = requests.withWatermark(event_time, late)
     return requests.groupBy("tenant", "bucket").applyInPandasWithState(
-        _admitting(forget_after_ms), DECISIONS, _COUNTERS, "append", timeout
+        _admitting(event_time), DECISIONS, _COUNTERS, "append", timeout
     )

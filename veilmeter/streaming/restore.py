@@ -19,8 +19,10 @@ from ..constants import MAX_PLACEHOLDER
 _HELD = re.compile(r"<[^<>]{0,%d}\Z" % (MAX_PLACEHOLDER - 2))
 _PLACEHOLDER = re.compile(r"<[A-Z]+_\d+>")
 
-CHUNK_OUT = "call_id string, seq bigint, text string"
-_PENDING = "pending string"
+CHUNK_OUT = "call_id string, seq bigint, part int, text string"
+_WAITING = "pending string, seq bigint, mapping string"
+#: How long held text waits for its continuation.
+WAIT_MS = 600_000
 
 
 def _restored(text: str, mapping: dict[str, str]) -> str:
@@ -58,11 +60,11 @@ def _chunk(text: str, pending: str, mapping: dict[str, str]) -> tuple[str, str]:
 
 def _stateful(step: Callable, timeout_ms: int | None):
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = state.get[0] if state.exists else ""
+        pending, at, kept = state.get if state.exists else ("", 0, "{}")
         if state.hasTimedOut:
             state.remove()
-            if pending:
-                yield pd.DataFrame({"call_id": [key[0]], "seq": [-1], "text": [pending]})
+            tail = _restored(pending, json.loads(kept))
+            yield pd.DataFrame({"call_id": [key[0]], "seq": [at], "part": [1], "text": [tail]})
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
         out, mapping = [], {}
@@ -75,14 +77,14 @@ def _stateful(step: Callable, timeout_ms: int | None):
                 sent, pending = step(text, pending, mapping)
             if last and pending and step is _chunk:
                 sent, pending = (sent or "") + _restored(pending, mapping), ""
-            out.append((key[0], seq, sent))
+            out.append((key[0], seq, 0, sent))
         if pending:
-            state.update((pending,))
+            state.update((pending, int(rows["seq"].iloc[-1]), json.dumps(mapping)))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["call_id", "seq", "text"])
+        yield pd.DataFrame(out, columns=["call_id", "seq", "part", "text"])
 
     return handle
 
@@ -90,18 +92,20 @@ def _stateful(step: Callable, timeout_ms: int | None):
 def _restore(chunks: DataFrame, step: Callable, timeout_ms: int | None) -> DataFrame:
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return chunks.groupBy("call_id").applyInPandasWithState(
-        _stateful(step, timeout_ms), CHUNK_OUT, _PENDING, "append", timeout
+        _stateful(step, timeout_ms), CHUNK_OUT, _WAITING, "append", timeout
     )
 
 
-def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+def restore_chunks(chunks: DataFrame, timeout_ms: int | None = WAIT_MS) -> DataFrame:
     """Restore a stream of chunks: call_id, seq, text, last, mapping.
 
-    Chunks of a call may come in any order within a micro-batch, and in order across them.
+    Chunks of a call may come in any order within a micro-batch, and in order across them. Held text
+    whose continuation does not come within ``timeout_ms`` is sent as part 1 of the chunk it ended,
+    and its state goes; sort by seq and part. Pass None for a run that ends once its input is read.
     """
     return _restore(chunks, _chunk, timeout_ms)
 
 
-def restore_frames(frames: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+def restore_frames(frames: DataFrame, timeout_ms: int | None = WAIT_MS) -> DataFrame:
     """The same for captured event frames, with the frame as ``text``."""
     return _restore(frames, _frame, timeout_ms)
