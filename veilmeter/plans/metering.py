@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..constants import USAGE_FIELDS
 from ..functions.jsontext import request_tokens
+from ..functions.numbers import epoch_text
 from ..operators import metering as M
 from ..operators import quota as Q
 from ..sources import tables as T
-from .basis import with_
+from .basis import choose, with_
 from .registry import query
 
 
@@ -413,3 +416,110 @@ def minute_counters(spark, d):
     return T.events(spark, d).groupBy("slug", w).agg(
         F.count(F.lit(1)).alias("requests"), F.sum("tokens_in").alias("tokens")
     ).select("slug", F.col("window.start").alias("minute"), "requests", "tokens")
+
+
+# --- one field of a usage record at a time -----------------------------------------------------
+
+def one_field(spark, d, name: str, options, **others):
+    """Valid usage records of all events, but for field ``name``, which takes the options in turn."""
+    i, us = F.col("event_id"), F.col("us")
+    values = {
+        "call_id": F.concat(F.lit("call-"), i.cast("string")), "trace_id": F.lit("trace"), "team_id": F.col("tenant_id"),
+        "model": F.col("model"), "call_type": F.lit("acompletion"), "tokens_in": F.lit("1"), "tokens_out": F.lit("2"),
+        "cost_usd": F.lit("0.5"), "cache_hit": F.lit("False"), "start_time": epoch_text(us - 1_000_000),
+        "end_time": epoch_text(us), **others,
+    }
+    given = F.get(F.array(*[o if isinstance(o, Column) else F.lit(o).cast("string") for o in options]),
+                  F.pmod(i, F.lit(len(options))).cast("int"))
+    fields = F.create_map(*[x for k, v in (values | {name: given}).items() for x in (F.lit(k), v)])
+    records = T.events(spark, d).select(
+        i.cast("string").alias("stream_id"), F.map_filter(fields, lambda k, v: v.isNotNull()).alias("fields"), "event_id", "us"
+    )
+    return M.read_usage(records)
+
+
+def _expected(value: str, results, reasons) -> str:
+    """SQL: the value and reason of each option in turn."""
+    return with_("ev", then=f"""SELECT event_id, {choose(results, 'event_id')} AS {value},
+    {choose(reasons, 'event_id')} AS reason FROM ev""")
+
+
+def _shown(df, name: str, value):
+    return df.select("event_id", F.when(F.col("reason").isNull(), value).alias(name), "reason")
+
+
+_NOT, _NEG = "tokens_in" + C.MSG_NOT_INT, "tokens_in" + C.MSG_NEGATIVE
+
+
+@query("m03_whole_numbers", _expected(
+    "tokens_in", (12, 7, 0, None, None, None, None, None, 5),
+    (None, None, None, _NOT, _NEG, _NOT, _NOT, _NOT, None)))
+def whole_numbers(spark, d):
+    df = one_field(spark, d, "tokens_in", ("12", " 7 ", None, "", "-3", "1.5", "x", "1_0", "+5"))
+    return _shown(df, "tokens_in", F.col("tokens_in"))
+
+
+@query("m04_costs", _expected(
+    "cost_micros", (250000, 1000, 0, None, None, None, None, 2000000),
+    (None, None, None, "cost_usd" + C.MSG_INVALID, "cost_usd" + C.MSG_INVALID, "cost_usd" + C.MSG_INVALID,
+     "cost_usd" + C.MSG_NOT_NUMBER, None)))
+def costs(spark, d):
+    df = one_field(spark, d, "cost_usd", ("0.25", "1e-3", None, "-1", "nan", "inf", "abc", " 2 "))
+    return _shown(df, "cost_micros", (F.col("cost_usd") * 1_000_000).cast("bigint"))
+
+
+@query("m05_truth", with_("ev", then="SELECT event_id, event_id % 8 IN (0, 1, 2, 6) AS cache_hit FROM ev"))
+def truth(spark, d):
+    df = one_field(spark, d, "cache_hit", ("True", "1", "yes", "no", "", None, " TRUE ", "t"))
+    return df.select("event_id", "cache_hit")
+
+
+@query("m06_event_time", with_("ev", then=f"""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN us END AS ts_us,
+    {choose((None, C.MSG_END_INVALID, C.MSG_END_INVALID, C.MSG_MISSING + 'end_time', C.MSG_MISSING + 'end_time',
+             C.MSG_END_NOT_TS, C.MSG_END_INVALID), 'event_id')} AS reason FROM ev"""))
+def event_time(spark, d):
+    df = one_field(spark, d, "end_time", (epoch_text(F.col("us")), "0", "-5", "", None, "abc", "nan"))
+    return _shown(df, "ts_us", F.unix_micros("ts"))
+
+
+@query("m07_latency", _expected("latency_ms", (1250, 0, None, None), (None, None, C.MSG_LATENCY, C.MSG_LATENCY)))
+def latency(spark, d):
+    us = F.col("us")
+    df = one_field(spark, d, "start_time", (epoch_text(us - 1_250_000), epoch_text(us + 3_000_000), "x", None))
+    return _shown(df, "latency_ms", F.col("latency_ms"))
+
+
+@query("m08_endpoints", with_("ev", then=f"""SELECT event_id, {choose(
+    ('/v1/embeddings', '/v1/messages', *['/v1/chat/completions'] * 3), 'event_id')} AS endpoint,
+    NULL::VARCHAR AS reason FROM ev"""))
+def endpoints(spark, d):
+    df = one_field(spark, d, "call_type", ("aembedding", "anthropic_messages", "acompletion", "", None))
+    return _shown(df, "endpoint", F.col("endpoint"))
+
+
+@query("m10_trace_ids", with_("ev", then=f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 't'
+    WHEN event_id % 2 = 0 THEN 'call-' || event_id END AS trace_id,
+    CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 1 THEN '{C.MSG_MISSING}call_id' END AS reason FROM ev"""))
+def trace_ids(spark, d):
+    i = F.col("event_id")
+    call = F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit("call-"), i.cast("string"))).otherwise(" ")
+    return _shown(one_field(spark, d, "trace_id", ("t", "", None), call_id=call), "trace_id", F.col("trace_id"))
+
+
+@query("m09_every_refusal", with_("ev", then=f"""SELECT unnest([{', '.join(f"'{m}'" for m in (
+    C.MSG_TEAM, C.MSG_MISSING + 'end_time', C.MSG_END_NOT_TS, C.MSG_END_INVALID, C.MSG_MISSING + 'model',
+    'tokens_in' + C.MSG_NOT_INT, 'tokens_in' + C.MSG_NEGATIVE, 'tokens_out' + C.MSG_NOT_INT, 'tokens_out' + C.MSG_NEGATIVE,
+    'cost_usd' + C.MSG_NOT_NUMBER, 'cost_usd' + C.MSG_INVALID, C.MSG_LATENCY, C.MSG_MISSING + 'call_id'))}]) AS reason,
+    count(*) AS records FROM ev"""))
+def every_refusal(spark, d):
+    """All thirteen reasons, each over all events."""
+    none = F.lit(None).cast("string")
+    wrong = (("team_id", "x"), ("end_time", ""), ("end_time", "x"), ("end_time", "0"), ("model", " "), ("tokens_in", "x"),
+             ("tokens_in", "-1"), ("tokens_out", "x"), ("tokens_out", "-1"), ("cost_usd", "x"), ("cost_usd", "-1"),
+             ("start_time", "x"), ("trace_id", None))
+    out = None
+    for name, value in wrong:
+        others = {"call_id": F.lit(" ")} if name == "trace_id" else {}
+        part = one_field(spark, d, name, (none if value is None else value,), **others).select("reason")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
