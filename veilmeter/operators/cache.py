@@ -48,8 +48,8 @@ def exact_hits(requests: DataFrame, ttl_seconds: int, key: str = "cache_key", id
     return joined.select(*[F.col(c) for c in requests.columns], hit.alias("hit"))
 
 
-def _earlier(left: pd.DataFrame, row: pd.Series):
-    return (left["at"] < row["at"]).to_numpy(bool)
+def _earlier(left: pd.DataFrame, rows: pd.DataFrame):
+    return left["at"].to_numpy()[:, None] < rows["at"].to_numpy()[None, :]
 
 
 def semantic_hits(requests: DataFrame, at_least: float = 0.95) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,9 +130,21 @@ def visible_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.filter(~F.col("quarantined"))
 
 
-def _readable(left: pd.DataFrame, query: pd.Series):
-    groups = set(query["groups"])
-    return left["acl_groups"].map(lambda acl: not groups.isdisjoint(acl)).to_numpy(bool)
+def _membership(lists: pd.Series, place: dict) -> np.ndarray:
+    """A row for each list, a column for each known group."""
+    sizes = lists.map(len).to_numpy()
+    rows = np.repeat(np.arange(len(lists)), sizes)
+    columns = pd.Series([g for one in lists for g in one], dtype=object).map(place)
+    known = columns.notna().to_numpy()
+    out = np.zeros((len(lists), len(place)), np.float32)
+    out[rows[known], columns[known].astype(int).to_numpy()] = 1
+    return out
+
+
+def _readable(left: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    """Chunks and questions that share a group, as a product of two memberships."""
+    place = {g: i for i, g in enumerate(dict.fromkeys(g for one in queries["groups"] for g in one))}
+    return _membership(left["acl_groups"], place) @ _membership(queries["groups"], place).T > 0
 
 
 def vector_branch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -229,13 +242,12 @@ def conflict_candidates(chunks: DataFrame, at_least: float = 0.85, k: int | None
     one = vectors.distinct_vectors(chunks, ["collection"], "document_id")
     columns = ["collection", "id", "vector", "first_document", "last_document"]
 
-    def other(left: pd.DataFrame, row: pd.Series):
-        same = (
-            (left["first_document"] == row["first_document"])
-            & (left["last_document"] == row["first_document"])
-            & (row["last_document"] == row["first_document"])
-        )
-        return ~same.to_numpy(bool)
+    def other(left: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
+        """Not both wholly from one and the same document."""
+        whole = (left["first_document"] == left["last_document"]).to_numpy()
+        single = (rows["first_document"] == rows["last_document"]).to_numpy()
+        same = left["first_document"].to_numpy()[:, None] == rows["first_document"].to_numpy()[None, :]
+        return ~(same & whole[:, None] & single[None, :])
 
     found = vectors.best_partners(
         one.select(*columns), one.select(*columns), ["collection"], k, at_least, other

@@ -40,28 +40,34 @@ def _meeting(allowed, k: int | None, at_least: float | None, keys: list[str]):
         if left.empty or right.empty:
             return pd.DataFrame({n: [] for n in names})
         a, b = _matrix(left["vector"]), _matrix(right["vector"])
-        left_ids = left["id"].to_numpy()
-        found = []
+        left_ids, right_ids = left["id"].to_numpy(), right["id"].to_numpy()
+        lefts, rights, scores = [], [], []
         for start in range(0, len(b), step):
-            rough = a @ b[start : start + step].T
-            for c in range(rough.shape[1]):
-                r = start + c
-                ok = np.ones(len(a), bool) if allowed is None else allowed(left, right.iloc[r])
-                if at_least is not None:
-                    ok &= rough[:, c] >= at_least - margin
-                at = np.flatnonzero(ok)
-                if k is not None and len(at) > k:
-                    kth = np.partition(rough[at, c], len(at) - k)[len(at) - k]
-                    at = at[rough[at, c] >= kth - margin]
-                score = np.round(np.einsum("ij,j->i", a[at], b[r]), 9)
-                if at_least is not None:
-                    at, score = at[score >= at_least], score[score >= at_least]
-                best = np.lexsort((left_ids[at], -score))[:k]
-                found.append(pd.DataFrame({
-                    "right_id": right["id"].iloc[r], "left_id": left_ids[at[best]],
-                    "score": score[best],
-                }))
-        out = pd.concat(found, ignore_index=True)
+            part = slice(start, start + step)
+            rough = a @ b[part].T
+            if allowed is not None:
+                rough[~allowed(left, right.iloc[part])] = -np.inf
+            floor = np.full(rough.shape[1], -2.0 if at_least is None else at_least - margin)
+            if k is not None and len(a) > k:
+                # The k-th best of every right row at once; what is not allowed ranks last.
+                floor = np.maximum(floor, np.partition(rough, len(a) - k, axis=0)[len(a) - k] - margin)
+            at, row = np.nonzero(rough >= floor)
+            score = np.round(np.einsum("ij,ij->i", a[at], b[part][row]), 9)
+            if at_least is not None:
+                good = score >= at_least
+                at, row, score = at[good], row[good], score[good]
+            order = np.lexsort((left_ids[at], -score, row))
+            at, row, score = at[order], row[order], score[order]
+            if k is not None:
+                first = np.searchsorted(row, row)
+                best = np.arange(len(row)) - first < k
+                at, row, score = at[best], row[best], score[best]
+            lefts.append(left_ids[at])
+            rights.append(right_ids[part][row])
+            scores.append(score)
+        out = pd.DataFrame(
+            {"right_id": np.concatenate(rights), "left_id": np.concatenate(lefts), "score": np.concatenate(scores)}
+        )
         for name in keys:
             out[name] = left[name].iloc[0]
         return out[names]
@@ -82,8 +88,8 @@ def best_partners(
 
     Without ``k`` every left row of at least the limit is a partner and no rank is added.
 
-    Both sides hold ``keys``, ``id``, ``vector`` and whatever ``allowed(left_block, right_row)``
-    reads to mask left rows. Ties go to the smaller id. Scores are rounded to nine digits.
+    Both sides hold ``keys``, ``id``, ``vector`` and whatever ``allowed(left_block, right_rows)``
+    reads to say which pairs count, as a matrix of a row for each left row. Ties go to the smaller id. Scores are rounded to nine digits.
     """
     keys = list(keys)
     # Fresh column identities, because both sides may be the same table.
