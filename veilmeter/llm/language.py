@@ -59,14 +59,16 @@ def counts(text: str | None) -> np.ndarray | None:
         letter = _is_letter(codes)
         any_letter = any_letter or bool(letter.any())
         codes = np.where(letter, codes, 32).astype(np.uint64)
-        c = np.concatenate([tail, codes])
+        c, seen = np.concatenate([tail, codes]), len(tail)
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
         if at + _PIECE >= len(text) and c[-1] != 32:
             c = np.append(c, np.uint64(32))
+        # Grams that end behind what earlier pieces have counted.
         pair = c[:-1] * np.uint64(0x110000) + c[1:]
-        grams = [c[1:] + np.uint64(1), pair + np.uint64(1 << 42), pair[:-1] * np.uint64(0x1F3D5B79) + c[2:] + np.uint64(1 << 50)]
+        triple = pair[:-1] * np.uint64(0x1F3D5B79) + c[2:] + np.uint64(1 << 50)
+        grams = [c[seen:] + np.uint64(1), pair[seen - 1 :] + np.uint64(1 << 42), triple[max(seen - 2, 0) :]]
         total += np.bincount(_hashed(np.concatenate(grams)), minlength=FEATURES)
-        tail = c[-1:]
+        tail = c[-2:]
     return total if any_letter else None
 
 
