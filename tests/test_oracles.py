@@ -7,6 +7,8 @@ from compare import compare, database
 from veilmeter import plans
 
 QUERIES, SQL = plans.QUERIES, plans.SQL
+#: Queries that find nothing in the smallest tables.
+EMPTY = {"f06_slo_streaks"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     problem, _, _ = compare(spark, con, name, QUERIES[name], SQL[name], sf_dir)
-    assert problem in (None, "no rows"), problem
+    assert problem is None or (problem == "no rows" and name in EMPTY), problem
 
 
 def test_entry_runs(spark):
