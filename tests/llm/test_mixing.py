@@ -34,6 +34,36 @@ def test_rates_meet_targets(spark, seed, most):
         assert np.abs(reached - target).max() < 0.5 * np.abs(natural - target).max()
 
 
+def exact(p, tokens, target, most):
+    """Bounded least squares over the documents, by plain coordinate descent."""
+    a, r = p * tokens[:, None], np.ones(len(p))
+    gap = a.sum(axis=0) - target
+    for _ in range(3000):
+        for i in range(len(p)):
+            if tokens[i]:
+                new = min(most, max(0.0, r[i] - a[i] @ gap / (a[i] @ a[i])))
+                gap, r[i] = gap + (new - r[i]) * a[i], new
+    return gap + target
+
+
+@pytest.mark.parametrize("soft", [0.0, 0.02])
+@pytest.mark.parametrize("toxic", [5, 11])
+def test_a_scarce_domain_keeps_no_other_from_its_target(spark, toxic, soft):
+    """Hardly any poor document: its gap is fixed, and the largest one if toxic ones are few."""
+    n = 100
+    hard = np.zeros((n, 3))
+    hard[:toxic, 2] = hard[toxic + 1 :, 0] = hard[toxic, 1] = 1
+    p = (1 - soft) * hard + soft * np.random.default_rng(toxic).dirichlet([1, 1, 1], n)
+    tokens = np.full(n, 100)
+    tokens[toxic] = 1
+    target = np.array([0.9, 0.08, 0.02]) * (p[:, 0] * tokens).sum() / 0.9
+    found = solve(frame(spark, p, tokens), most=1.0)
+    assert np.allclose(found["expected"], exact(p, tokens, target, 1.0), atol=2e-4 * target.sum())
+    got = np.array([r.rate for r in frame(spark, p, tokens).withColumn("rate", mx._rate(found["steps"], 1.0)).orderBy("doc_id").collect()])
+    assert (got[toxic + 1 :] == 1).all() and got[toxic] == 1
+    assert abs(found["expected"][2] / found["target"][2] - 1) < (0.05 if soft else 1e-4)
+
+
 def test_targets_and_bounds(spark):
     p = np.array([[0.9, 0.1, 0.0], [0.2, 0.8, 0.0], [0.5, 0.5, 0.0]])
     solved = solve(frame(spark, p, [10, 20, 30]))  # no toxic membership: out of reach, ends, and says so

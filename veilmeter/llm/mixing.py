@@ -3,16 +3,19 @@
 1. A naive Bayes classifier learns from the labelled table: the presence of ``WORDS`` selected words
    and binned text statistics. It gives every document soft memberships of the domains. It is fitted
    on a bounded sample, the ``SAMPLE`` labelled documents with the least hashes of doc_id.
-2. Rates r >= 0, one for each document, minimise the distance of the expected domain tokens
-   ``sum(tokens * membership * rate)`` from the targets, by projected gradient descent from r = 1.
-   The metric weights a document by its tokens and the residual by the inverse of the memberships'
-   moment matrix G, in which the step size is one:
+2. Rates r in [0, most], one for each document, minimise the squared distance of the expected
+   domain tokens ``E = sum(tokens * membership * rate)`` from the targets, by one projected gradient
+   step from r = 1 whose gradient is taken where it ends:
 
-       r <- max(0, r - membership . inverse(G) (expected - target))
+       r = clip(1 - membership . y),   y = (E(r) - target) / m
 
-   G is taken over the documents whose rate is free to move; if such a step does not help, over all.
-   A step needs the K domain sums and G only: one aggregate over the written memberships. A
-   document's rate is a fold over the steps' K numbers, so nothing else leaves the executors.
+   That is the exact minimum of the squared distance plus m times the squared, token-weighted change
+   of the rates, so as m falls to ``LAST`` it becomes the bounded least squares' own; a domain out of
+   reach keeps its distance and does not keep the others from their targets. y, K numbers, is the
+   minimum of a smooth convex function (the dual), found by Newton steps with the memberships'
+   moments over the documents whose rate is free to move; a few step lengths are tried at once.
+   A step needs K domain sums, the moments and the function's value: one aggregate over the written
+   memberships. A document's rate follows from y, so nothing else leaves the executors.
 
 All of it is DataFrame functions.
 """
@@ -31,7 +34,8 @@ from .shared import one_row, own, written
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 SAMPLE, WORDS, LEAST_SEEN = 8000, 200, 5
-STEPS, CLOSE = 50, 1e-6
+STEPS, CLOSE = 30, 1e-6
+FIRST, LAST, SHRINK, LENGTHS = 1e-2, 1e-9, 0.03, (1.0, 0.4, 0.1)
 _PUNCTUATION = ".,;:!?\"'()[]"
 
 
@@ -128,12 +132,12 @@ def memberships(docs: DataFrame, model: dict) -> DataFrame:
     )
 
 
-def _rate(steps: list[np.ndarray], most: float | None) -> Column:
-    """Rate of a document after the given steps, at most ``most``."""
+def _rate(steps: list[np.ndarray], most: float | None, floor: bool = True) -> Column:
+    """Rate of a document after the given steps, at least 0 (if ``floor``) and at most ``most``."""
     rate = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p_{d}") * float(step[i]) for i, d in enumerate(DOMAINS) if i), F.col(f"p_{DOMAINS[0]}") * float(step[0]))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(0.0), rate - move) if floor else rate - move
         rate = rate if most is None else F.least(F.lit(float(most)), rate)
     return rate
 
@@ -141,7 +145,7 @@ def _rate(steps: list[np.ndarray], most: float | None) -> Column:
 def solve(
     members: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, most: float | None = None
 ) -> dict:
-    """Steps of the projected gradient over written memberships, with the residual they reach.
+    """The projected gradient step over written memberships, with the residual it reaches.
 
     ``budget`` is the wanted number of tokens; by default the domain of the largest weight stays
     whole. ``most`` bounds the rates, e.g. 1 to repeat no document. What cannot be reached, for that
@@ -155,38 +159,64 @@ def solve(
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     tokens = F.col("n_tokens").cast("double")
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected domain tokens, and the moments of the documents whose rate is free to move."""
-        rate = _rate(steps, most)
-        free = rate > 0 if most is None else (rate > 0) & (rate < float(most))
-        free = free if steps else F.lit(True)
-        moved = [F.sum(F.when(free, tokens * p[i] * p[j])) for i, j in pairs]
-        row = members.agg(*[F.sum(tokens * x * rate) for x in p], *moved).collect()[0]
-        values = [float(v or 0.0) for v in row]
-        g = np.zeros((k, k))
-        for v, (i, j) in zip(values[k:], pairs, strict=True):
-            g[i, j] = g[j, i] = v
-        return np.array(values[:k]), g
-
-    expected, whole = sums([])
+    def sums(steps: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each step: expected domain tokens, moments of the free documents, and the sum of the
+        antiderivative of the rate."""
+        rows = own(members, "n_tokens", *[f"p_{d}" for d in DOMAINS])
+        bare = {f"_z{j}": _rate([y], None, floor=False) for j, y in enumerate(steps)}
+        rows = one_row(rows, **bare)
+        wanted = []
+        for z in map(F.col, bare):
+            rate = F.greatest(F.lit(0.0), z) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), z))
+            free = z > 0 if most is None else (z > 0) & (z < float(most))
+            # Half the square inside, straight beyond the bound.
+            value = rate * (z - rate / 2)
+            wanted += [F.sum(tokens * x * rate) for x in p]
+            wanted += [F.sum(F.when(free, tokens * p[i] * p[j])) for i, j in pairs]
+            wanted += [F.sum(tokens * value)]
+        found = np.array([float(v or 0.0) for v in rows.agg(*wanted).collect()[0]]).reshape(len(steps), -1)
+        out = []
+        for row in found:
+            g = np.zeros((k, k))
+            for v, (i, j) in zip(row[k:], pairs, strict=False):
+                g[i, j] = g[j, i] = v
+            out.append((row[:k], g, float(row[-1])))
+        return out
+
+    y = np.zeros(k)
+    expected, g, value = sums([y])[0]
     if budget is None:
         lead = int(np.argmax(share))
         budget = expected[lead] / share[lead]
     target, scale = share * budget, max(budget, 1.0)
     gap = lambda x: float(np.abs(x - target).max() / scale)
-    steps: list[np.ndarray] = []
-    metric, tries = whole, 0
-    while gap(expected) > CLOSE and tries < STEPS:
-        tries += 1
-        step = np.linalg.pinv(metric) @ (expected - target)
-        after, free = sums([*steps, step])
-        if gap(after) < gap(expected) * (1 - 1e-4):
-            steps, expected, metric = [*steps, step], after, free
-        elif metric is whole:
+    m = FIRST * scale
+    if most is not None and most <= 1:  # at r = 1 no document is inside the bounds, yet all may come down
+        g = sums([np.full(k, 1 - most / 2)])[0][1]
+    while gap(expected) > CLOSE:
+        for _ in range(STEPS):
+            slope = m * y - (expected - target)
+            if np.abs(slope).max() <= CLOSE / 10 * scale:
+                break
+            step = np.linalg.solve(m * np.eye(k) + g, -slope)
+            level = m / 2 * y @ y + y @ target + value
+            better = None
+            for shorter in (1.0, 0.02, 4e-4):
+                tried = [y + shorter * a * step for a in LENGTHS]
+                found = sums(tried)
+                levels = [m / 2 * x @ x + x @ target + f[2] for x, f in zip(tried, found, strict=True)]
+                best = int(np.argmin(levels))
+                after = np.linalg.norm(m * tried[best] - (found[best][0] - target))
+                if levels[best] < level or after < np.linalg.norm(slope):
+                    better = tried[best], *found[best]
+                    break
+            if better is None:
+                break  # no further in double precision
+            y, expected, g, value = better
+        if m <= LAST * scale:
             break  # what is left is out of reach
-        else:
-            metric = whole  # too bold; the whole metric never overshoots
-    return {"steps": steps, "target": target, "expected": expected, "residual": gap(expected)}
+        m = max(m * SHRINK, LAST * scale)
+    return {"steps": [y], "target": target, "expected": expected, "residual": gap(expected)}
 
 
 def rates(
