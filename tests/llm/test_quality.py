@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -59,6 +60,35 @@ def test_line_rules(spark, lines, kept):
     assert got.kept == kept and not got.base_failed
 
 
+def test_wrapped_copies_of_clean_texts(spark):
+    """Lines broken at 72 columns are judged as the paragraph they belong to."""
+    folder = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1 and toxic = 0")
+    rows = quality(spark.read.parquet(f"{folder}/documents.parquet").join(good, "doc_id", "left_semi"))
+    texts = [r.clean_text for r in rows.where("kept and n_lost_lines = 0").limit(100).collect()]
+    copies = [(i, "\n".join(textwrap.fill(x, 72) for x in t.split("\n"))) for i, t in enumerate(texts)]
+    got = quality(spark.createDataFrame(copies, "doc_id long, text string"))
+    assert len(texts) == 100
+    assert [(r.doc_id, r.clean_text) for r in got.where("kept").orderBy("doc_id").collect()] == copies
+
+
+def test_paragraphs_and_marks_of_other_scripts(spark):
+    plain = " ".join(f"word{i}" for i in range(10))
+    nouns = textwrap.fill("Gestern ging der alte Mann mit seinem Hund durch den Wald bei Bonn und sah dort viele Vögel, die sangen. " * 2, 36)
+    texts = [
+        plain + "\n\nand a paragraph of its own.",  # parted by a blank line
+        plain + "\n- and an item of a list.",
+        plain + "\nAnother sentence, not wrapped.",
+        plain + "\nHOME NEWS SPORT AND WEATHER\nand so on.",  # parted by a failing line
+        plain + "\nand so on.",
+        nouns,
+        *[plain + mark for mark in ("।", "؟", "۔", "！", "？")],
+        f"{plain}：{plain}",
+    ]
+    got = quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_lost_lines for r in got] == [1, 1, 1, 2, 0, 0, 0, 0, 0, 0, 0, 0]
+
+
 def test_cleaned_text(spark):
     lines = long_lines(6)
     noisy = [lines[0], "Home | News | Sport | Weather", *lines[1:4], "Click here to subscribe", *lines[4:]]

@@ -6,7 +6,13 @@ A line with a word fails if it
 - navigates: three or more separators, ``MENU`` percent of its characters at least;
 - is symbols: three or more of ``# * $ % & | < >``, ``SYMBOLS`` percent of its characters at least;
 - is boilerplate: names a phrase of ``BOILERPLATE`` and has at most ``SHORT`` words;
-- has no punctuation: no word in it ends a clause, and it has more than ``HEADING`` words.
+- has no punctuation: it has more than ``HEADING`` words, and no word of the paragraph it stands in
+  ends a clause.
+
+A line goes on in the next one, in the same paragraph, if that begins with a small letter or one
+without case. Where at least ``FLOWING`` percent of the line breaks are such, the text is wrapped, and
+there a line goes on whatever the next one begins with. Blank lines, bullets and lines that fail by
+another rule part paragraphs always.
 
 Failing lines go. A document that loses more than ``LOSS`` percent of its words, or that fails the
 base rules (too few words, too many in repeated runs of five), is rejected. Everything is computed
@@ -23,8 +29,13 @@ from .shared import one_row, own
 SPACES = "\t\n\x0b\f\r"
 CAPITALS = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"
 MARKS, SEPARATORS = "#*$%&|<>", "|»›•·"
-CLAUSE_END = "[.!?:;…。][\"')\\]”’»]*([ \\t\\x0b\\f\\r]|$)"
-SHOUT, MENU, SYMBOLS, SHORT, HEADING, LOSS = 33, 4, 10, 25, 8, 30
+#: Full-width marks end a clause wherever they stand, as no space follows them.
+CLAUSE_END = "[.!?:;…。।॥؟۔؛።፧။։‽][\"')\\]”’»]*([ \\t\\x0b\\f\\r]|$)|[。！？；：．｡]"
+GOES_ON = r"^[ \t\x0b\f\r]*[\p{Ll}\p{Lo}]"
+BULLET = r"^[ \t]*([-*•·–—▪◦‣+>#|]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])[ \t]"
+FILLED = r"[^\x20\x09-\x0D]"
+SHOUT, MENU, SYMBOLS, SHORT, HEADING, LOSS, FLOWING = 33, 4, 10, 25, 8, 30, 25
+ENDS, BARE = 1, 2
 RUN, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 # Fixed phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -46,21 +57,60 @@ def count_of(text: Column, characters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
-def line_fails(line: Column, marked: Column, furnished: Column) -> Column:
-    """``marked``, ``furnished``: whether the text has three symbols or separators, or a phrase, at all."""
+def line_marks(line: Column, marked: Column, furnished: Column) -> Column:
+    """Of a line: ``bad``, it fails by itself; ``kind``, ENDS a clause, or BARE: it does not, and has
+    more words than a heading.
+
+    ``marked``, ``furnished``: whether the text has three symbols or separators, or a phrase, at all.
+    """
     words = F.size(word_array(line))
     length = F.length(line)
     separators, symbols = count_of(line, SEPARATORS), count_of(line, MARKS)
     shouts = (F.regexp_count(line, F.lit(CAPITALS)) * 100 >= length * SHOUT) & (words >= 3)
     navigates = (separators >= 3) & (separators * 100 >= length * MENU)
     symbolic = (symbols >= 3) & (symbols * 100 >= length * SYMBOLS)
-    unpunctuated = ~F.rlike(line, F.lit(CLAUSE_END)) & (words > HEADING)
-    return (
-        (marked & (navigates | symbolic))
-        | shouts
-        | unpunctuated
-        | (furnished & has_phrase(F.lower(line)) & (words <= SHORT))
+    bad = (marked & (navigates | symbolic)) | shouts | (furnished & has_phrase(F.lower(line)) & (words <= SHORT))
+    kind = F.when(F.rlike(line, F.lit(CLAUSE_END)), ENDS).when(words > HEADING, BARE).otherwise(0)
+    return F.struct(bad.alias("bad"), kind.alias("kind"))
+
+
+def _paragraph_starts(lines: Column, marks: Column) -> Column:
+    """Places of the lines that do not go on with a paragraph."""
+    join = F.transform(  # to the line before: 2 by its first letter, 1 if the text is wrapped
+        lines,
+        lambda x, i: F.when(i == 0, 0)
+        .when(F.get(marks, i)["bad"] | F.get(marks, i - 1)["bad"], 0)
+        .when(~F.rlike(F.get(lines, i - 1), F.lit(FILLED)) | ~F.rlike(x, F.lit(FILLED)) | F.rlike(x, F.lit(BULLET)), 0)
+        .when(F.rlike(x, F.lit(GOES_ON)), 2)
+        .otherwise(1),
+    )
+    zero = F.struct(F.lit(0).alias("small"), F.lit(0).alias("all"))
+    wrapped = F.aggregate(
+        join,
+        zero,
+        lambda n, x: F.struct((n["small"] + (x == 2).cast("int")).alias("small"), (n["all"] + (x > 0).cast("int")).alias("all")),
+        lambda n: (n["small"] > 0) & (100 * n["small"] >= FLOWING * n["all"]),
+    )
+    least = F.struct(F.when(wrapped, 1).otherwise(2).alias("least"), join.alias("join"))
+    # A one-element array, so that the joins are worked out once.
+    starts = F.transform(
+        F.array(least),
+        lambda y: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(y["join"], i) < y["least"]),
     )
+    return F.get(starts, F.lit(0))
+
+
+def _fails(marks: Column, starts: Column) -> Column:
+    """Failing lines, where paragraphs begin at ``starts``."""
+
+    def paragraph(begin: Column, k: Column) -> Column:
+        part = F.slice(marks, begin + 1, F.coalesce(F.get(starts, k + 1), F.size(marks)) - begin)
+        ends = F.exists(part, lambda m: m["kind"] == ENDS)
+        return F.when(ends, F.transform(part, lambda m: m["bad"])).otherwise(
+            F.transform(part, lambda m: m["bad"] | (m["kind"] == BARE))
+        )
+
+    return F.flatten(F.transform(starts, paragraph))
 
 
 def has_phrase(low: Column) -> Column:
@@ -125,9 +175,13 @@ def _judged(rows: DataFrame, carried: str) -> DataFrame:
     rows = one_row(
         rows,
         grams=F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")),
-        filled=F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
-        fails=F.transform("lines", lambda x: line_fails(x, F.col("marked"), F.col("furnished"))),
+        filled=F.filter("lines", lambda x: F.rlike(x, F.lit(FILLED))),
+        marks=F.transform("lines", lambda x: line_marks(x, F.col("marked"), F.col("furnished"))),
     )
+    bare = F.exists("marks", lambda m: m["kind"] == BARE)
+    rows = one_row(rows, starts=F.when(bare, _paragraph_starts(F.col("lines"), F.col("marks"))))
+    each = F.transform("marks", lambda m: m["bad"])
+    rows = one_row(rows, fails=F.when(F.col("starts").isNull(), each).otherwise(_fails(F.col("marks"), F.col("starts"))))
     rows = one_row(rows, failed=F.filter("lines", lambda x, i: F.get("fails", i)))
     pairs = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     nothing = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -162,6 +216,8 @@ def _judged(rows: DataFrame, carried: str) -> DataFrame:
     )
 
 
+#: The same for texts whose lines end where their sentences do, as in the given tables: every line is a
+#: paragraph, and no marks of other scripts.
 QUALITY_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
