@@ -42,6 +42,26 @@ CASES = {
 }
 
 
+WRAPPED = {
+    "article named by its state": f"<article class='post comments-open'>{BODY}</article>",
+    "article named by its category": f"<article class='hentry category-social'>{BODY}</article>",
+    "page class": f"<div class='page no-ads'><div>{BODY}</div></div>",
+    "main with share": f"<main class='with-share'>{BODY}</main>",
+    "form around the page": f"<form action='x'><input><div>{BODY}</div></form>",
+    "form around the article": f"<form><article>{BODY}</article></form>",
+    "a title is no attribute name": f"<article data-title='The hidden life of trees'>{BODY}</article>",
+    "nor is a value a class": f"<article data-x=\"a class='ad' id=popup\">{BODY}</article>",
+    "named comments beside an article": f"<article>{BODY}</article><ol class='list'><li><article class='comment-body'><p>{'Me too. ' * 90}</p></article></ol>",
+    "long comments inside an article": f"<article>{BODY}<section id='comments'><p>{'Me too. ' * 90}</p></section></article>",
+    "small form beside the text": f"<div>{BODY}</div><form><label>Your mail address</label><input></form>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_names_and_forms_around_the_article(name):
+    assert main_text(page(MENU + WRAPPED[name])).split("\n") == LINES
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_case(name):
     source, lines = CASES[name]

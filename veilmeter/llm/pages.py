@@ -26,20 +26,20 @@ from .shared import own
 
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | set("head nav footer aside form button select input svg canvas object dialog menu map audio video".split())
+DROPPED = RAW | set("head nav footer aside button select input svg canvas object dialog menu map audio video".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th"
     " thead tr ul".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words of class and id names: these are never part of an article ...
+# Words of class and id names: an element so named is no part of an article ...
 NOISE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal"
     " comment comments disqus reply replies newsletter subscribe share sharing social related recommended"
     " breadcrumb breadcrumbs pagination pager login signup notice notices notification".split()
 )
-# ... and these are not, unless the element holds the article or a main heading.
+# ... nor is one named so, both unless it holds the article, as a form or a role does too.
 FRAME = set("sidebar nav navbar navigation menu header footer masthead banner widget widgets search toolbar aside".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th"}}
@@ -50,7 +50,7 @@ _TOKEN = re.compile(
     r"""|</?([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+\Z""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -119,39 +119,72 @@ class Tree:
                 return
 
     def noise(self) -> list[bool]:
-        """Elements that are no article text, themselves or by an ancestor."""
+        """Elements that are no article text, themselves or by an ancestor.
+
+        What a name, role or form tag says does not count for an element that is or holds the
+        article: an article or main not named so itself, a first-level heading, or, on a page with
+        no such article or main, any article or main or the larger part of the text outside links.
+        """
         n = len(self.tag)
-        holds = [False] * n  # an article, main or first-level heading
+        marks = [_marks(a) if a.strip() else (False, False, False) for a in self.attributes]
+        plain = any(self.tag[i] in ("article", "main") and not (marks[i][0] or marks[i][1]) for i in range(1, n))
+        holds = [False] * n
         for i in range(n - 1, 0, -1):
-            if self.tag[i] in ("article", "main", "h1"):
+            if self.tag[i] == "h1" or (self.tag[i] in ("article", "main") and not (plain and (marks[i][0] or marks[i][1]))):
                 holds[i] = True
             if holds[i]:
                 holds[self.parent[i]] = True
+        unlinked: list[int] = []
         inside = [False] * n  # an article
         out = [False] * n
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             inside[i] = inside[up] or tag == "article"
+            hidden, named, framed = marks[i]
             out[i] = out[up] or tag in DROPPED or (tag == "header" and not inside[up])
-            if not out[i] and tag != "body" and self.attributes[i].strip():
-                out[i] = self._named(self.attributes[i], holds[i])
+            if out[i] or tag == "body":
+                continue
+            out[i] = hidden
+            if not hidden and (named or framed or tag == "form") and not holds[i]:
+                if not plain and not unlinked:
+                    unlinked = self._unlinked(marks)
+                out[i] = plain or 2 * unlinked[i] <= unlinked[0]
         return out
 
-    def _named(self, attributes: str, holds: bool) -> bool:
-        for m in _ATTRIBUTE.finditer(attributes):
-            what, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
-            if what in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
-                if words & NOISE or (words & FRAME and not holds):
-                    return True
-            elif (
-                (what == "role" and value in ROLES and not holds)
-                or (what == "aria-hidden" and value == "true")
-                or what == "hidden"
-                or (what == "style" and _HIDDEN.search(value))
-            ):
-                return True
-        return False
+    def _unlinked(self, marks: list[tuple[bool, bool, bool]]) -> list[int]:
+        """Characters of text outside links, menus and hidden elements, for each element."""
+        n = len(self.tag)
+        skip, size = [False] * n, [0] * n
+        for i in range(1, n):
+            skip[i] = skip[self.parent[i]] or self.tag[i] in DROPPED or self.tag[i] == "a" or marks[i][0]
+        for node, text in self.texts:
+            if not skip[node]:
+                size[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        return size
+
+
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden; named as noise; named or by its role part of the frame."""
+    hidden = named = framed = False
+    seen = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        what = m[1].lower()
+        if what in seen or what not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        seen.add(what)  # of a repeated attribute the first counts
+        value = html.unescape((m[2] or "").strip("\"'")).lower()
+        if what in ("class", "id"):
+            words = set(re.split(r"[^a-z]+", value))
+            named = named or bool(words & NOISE)
+            framed = framed or bool(words & FRAME)
+        elif what == "role":
+            framed = framed or value in ROLES
+        else:
+            hidden = hidden or what == "hidden" or (what == "aria-hidden" and value == "true")
+            hidden = hidden or bool(what == "style" and _HIDDEN.search(value))
+    return hidden, named, framed
 
 
 def main_text(source: str | None) -> str:
