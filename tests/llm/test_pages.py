@@ -62,6 +62,37 @@ def test_names_and_forms_around_the_article(name):
     assert main_text(page(MENU + WRAPPED[name])).split("\n") == LINES
 
 
+PART = [f"<p>Part {i} holds a good many words of the main text, told in several sentences. It goes on.</p>" for i in range(6)]
+TOLD = [p[3:-4] for p in PART]
+LINKS = "<div>" + "".join(f"<div><a href='/{i}'>Read the story number {i} of this very day</a></div>" for i in range(12)) + "</div>"
+SPREAD = {
+    "sibling articles": "".join(f"<article><h2>Head {i}</h2>{PART[i]}</article>" for i in range(6)),
+    "nested article": f"<article><h2>Head</h2>{PART[0]}{PART[1]}<article>{''.join(PART[2:])}</article><h2>End</h2></article>",
+    "nested and long": f"<article><h2>Head</h2>{PART[0]}<article>{PART[1] * 8}</article>{PART[2]}</article>",
+    "links in main": f"<main><h2>Head</h2><div>{''.join(PART)}</div>{LINKS}</main>",
+    "links in an article": f"<article><h2>Head</h2><div>{''.join(PART)}</div>{LINKS}</article>",
+}
+TEXTS = {
+    "sibling articles": [x for i in range(6) for x in (f"Head {i}", TOLD[i])],
+    "nested article": ["Head", *TOLD, "End"],
+    "nested and long": ["Head", TOLD[0], *[TOLD[1]] * 8, TOLD[2]],
+    "links in main": ["Head", *TOLD],
+    "links in an article": ["Head", *TOLD],
+}
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_density_decides_pages_with_articles(name):
+    assert main_text(page(MENU + SPREAD[name])).split("\n") == TEXTS[name]
+    if "nested" in name:
+        return  # without the tags only the densest part reaches the threshold
+    divs = SPREAD[name]
+    for tag in ("article", "main"):
+        divs = divs.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    got = main_text(page(MENU + divs)).split("\n")
+    assert [x for x in got if not x.startswith(("Head", "End"))] == [x for x in TEXTS[name] if x in TOLD]
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_case(name):
     source, lines = CASES[name]

@@ -7,10 +7,11 @@ characters in T tags below it, of which LC and LT are in links,
     density = C/T * log_b(C/LC * T/LT),   b = ln(C/(C-LC) * LC + LC_body/C_body * C + e)
 
 (no link characters or tags count as one). The density sum of a node adds up its children's
-densities. The node of the greatest sum is the article's core; an enclosing ``article`` or ``main``
-is taken whole, since what doesn't belong there is already out. Elsewhere the least density on the
-path from that node to the body is the threshold: every node that reaches it contributes the
-subtree of greatest density sum below it.
+densities. The node of the greatest sum is the article's core, and the least density on the path from
+it to the body is the threshold: every node that reaches it contributes the subtree of greatest
+density sum below it. This decides every page. The outermost ``article`` around a contributed node, or
+``main`` where there is none, then adds what is too short to be dense, titles and short blocks; a
+block of several links that make up the larger part of its text is not added.
 """
 
 from __future__ import annotations
@@ -231,46 +232,49 @@ def main_text(source: str | None) -> str:
             sums[tree.parent[i]] += dense[i]
             leaf[tree.parent[i]] = False
     core = max(range(n), key=lambda i: (sums[i], -i))
-    root = _article(tree, out, chars, core)
+    threshold, i = dense[core], core
+    while i > 0 and tree.tag[i] != "body":
+        i = tree.parent[i]
+        threshold = min(threshold, dense[i])
+    best = list(range(n))  # subtree of greatest sum at or below each node
+    for i in range(n - 1, 0, -1):
+        up = tree.parent[i]
+        if not out[i] and sums[best[i]] > sums[best[up]]:
+            best[up] = best[i]
     chosen = [False] * n
-    if root is not None:
-        chosen[root] = True
-    else:
-        threshold, i = dense[core], core
-        while i > 0 and tree.tag[i] != "body":
-            i = tree.parent[i]
-            threshold = min(threshold, dense[i])
-        best = list(range(n))  # subtree of greatest sum at or below each node
-        for i in range(n - 1, 0, -1):
-            up = tree.parent[i]
-            if not out[i] and sums[best[i]] > sums[best[up]]:
-                best[up] = best[i]
-        for i in range(n):
-            if not out[i] and chars[i] and dense[i] >= threshold:
-                chosen[best[i]] = True
+    for i in range(n):
+        if not out[i] and chars[i] and dense[i] >= threshold:
+            chosen[best[i]] = True
     for i in range(1, n):
         chosen[i] = not out[i] and (chosen[i] or chosen[tree.parent[i]])
+    _add_short(tree, out, chars, links, link_tags, chosen)
     return "\n".join(_blocks(tree, texts, chosen))
 
 
-def _article(tree: Tree, out: list[bool], chars: list[int], core: int) -> int | None:
-    """The article or main element around ``core``, or the only one inside it."""
-    i, found = core, None
-    while i > 0:
-        if tree.tag[i] in ("article", "main"):
-            found = i
-            if tree.tag[i] == "article":
-                break
-        i = tree.parent[i]
-    if found is not None:
-        return found
-    under = []
-    inside = [False] * len(tree.tag)
-    for i in range(len(tree.tag)):
-        inside[i] = i == core or (i > 0 and inside[tree.parent[i]])
-        if inside[i] and not out[i] and chars[i] and tree.tag[i] in ("article", "main"):
-            under.append(i)
-    return under[0] if len(under) == 1 else None
+def _add_short(
+    tree: Tree, out: list[bool], chars: list[int], links: list[int], link_tags: list[int], chosen: list[bool]
+) -> None:
+    """Add to ``chosen`` the rest of the article and main elements that hold chosen text, without
+    blocks of links."""
+    n = len(tree.tag)
+    article, main = [0] * n, [0] * n  # the outermost around each element
+    for i in range(1, n):
+        up, tag = tree.parent[i], tree.tag[i]
+        article[i] = article[up] or (i if tag == "article" else 0)
+        main[i] = main[up] or (i if tag == "main" else 0)
+    with_text = {node for node, text in tree.texts if text.strip()}
+    hold = {article[i] or main[i] for i in with_text if chosen[i]} - {0}
+    added = [False] * n
+    for i in range(1, n):
+        if out[i]:
+            continue
+        of_links = tree.tag[i] in BLOCKS and link_tags[i] > 1 and 2 * links[i] > chars[i]
+        added[i] = i in hold or (added[tree.parent[i]] and not of_links)
+        # A main holds what is in it but not in an article; its articles answer for themselves.
+        if tree.tag[i] == "article" and article[i] == i and i not in hold:
+            added[i] = False
+    for i in range(1, n):
+        chosen[i] = chosen[i] or added[i]
 
 
 def _blocks(tree: Tree, texts: list[tuple[int, str]], chosen: list[bool]) -> list[str]:
