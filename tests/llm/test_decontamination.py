@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -100,3 +101,33 @@ def test_masks():
     changed[2] = 99  # ignored by the first mask at place 0
     assert dc._hashes(w, 0)[0] == dc._hashes(changed, 0)[0]
     assert dc._hashes(w, 1)[0] != dc._hashes(changed, 1)[0]
+
+
+def missed(n, k):
+    """Ways to replace k of n words that leave no seed of the item whole."""
+    placed = {tuple(at + o for o in dc.SEEDS[s]) for s in dc.seeds_of(n) for at in range(n - dc._length(s) + 1)}
+    bits = np.array([sum(1 << o for o in places) for places in placed])
+    return sum((bits & sum(1 << o for o in gone) != 0).all() for gone in itertools.combinations(range(n), k))
+
+
+def test_every_pattern_of_replaced_words_is_hit():
+    for n in range(dc.LONGER, dc.VERIFY + 1):
+        assert missed(n, n - -(-dc.AGREE * n // 100)) == 0, n
+    assert [missed(10, 1), missed(10, 2), missed(11, 1), missed(11, 2)] == [2, 24, 0, 7]  # as documented
+
+
+def test_hashes_by_difference():
+    words = np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)
+    for s, h in dc._every_hash(words, list(range(len(dc.SEEDS)))):
+        assert (h == dc._hashes(words, s)).all()
+
+
+def test_short_items_with_replaced_words(spark):
+    """Every placement of two replaced words in an item of 12 words, inside a longer text."""
+    item = [f"i{k}" for k in range(12)]
+    docs = []
+    for i, replaced in enumerate(itertools.combinations(range(12), 2)):
+        w = [f"x{k}" if k in replaced else x for k, x in enumerate(item)]
+        docs.append((i, " ".join([f"a{k}" for k in range(30)] + w + [f"b{k}" for k in range(30)])))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], ITEMS))
+    assert sorted((r.doc_id, r.n_equal, r.at) for r in got.collect()) == [(i, 10, 30) for i in range(66)]
