@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from edge import answer
@@ -68,5 +69,24 @@ def test_edge_rows(spark):
     assert nameless == [(0, 2), (2**62, 1)]
 
 
+def test_crowded_numbers_are_cut_by_place(spark):
+    """Thousands of turns without a number, without a conversation, or that reuse a number."""
+    rows = [(None, None, "user", f"nameless {i}") for i in range(3000)]
+    rows += [(1, i % 2, ("user", "tool")[i % 3 == 0], f"reused {i}") for i in range(3000)]
+    rows += [(2, None, "user", f"open {i}") for i in range(700)] + [(2, 0, "user", "first")]
+    rows += [(3, i, "user", f"plain {i}") for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    assert {r.conv_id: r.n_turns for r in maximal(df).collect()} == {None: 3000, 1: 3000, 2: 701, 3: 700}
+    parts = sorted(chats(df).collect(), key=lambda r: (repr(r.conv_id), r.part))
+    assert all(r.n_turns <= ch.BLOCK for r in parts)
+    assert [(r.part, r.n_turns) for r in parts if r.conv_id == 2] == [(0, 512), (1, 189)]
+    assert [(r.part, r.n_turns) for r in parts if r.conv_id == 3] == [(0, 512), (1, 188)]
+    for c in (None, 1, 2, 3):
+        mine = [(t, r, x) for k, t, r, x in rows if k == c]
+        mine.sort(key=lambda m: (2**62 if m[0] is None else m[0], m[1], hashlib.md5(m[2].encode()).hexdigest()))
+        want = "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in mine)
+        assert "".join(r.chat for r in parts if r.conv_id == c) == want
+
+
 def test_empty_table(spark):
     assert chats(spark.createDataFrame([], SCHEMA)).count() == 0

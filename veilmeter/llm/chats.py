@@ -6,8 +6,11 @@ last hash occurs inside a longer one is a snapshot of it and goes, and of equal
 smallest conv_id stays.
 
 The rolling hash is the exclusive or of 64-bit hashes of (place, turn), twice with different seeds:
-it adds up over blocks of ``BLOCK`` turns, so a conversation that holds a large part of all rows is
-cut into blocks for numbering and hashing, and into parts of as many turn numbers for rendering.
+it adds up over blocks of ``BLOCK`` turns by place, so a conversation that holds a large part of all
+rows is hashed block by block. Places come from counts of ever smaller slices along the order (turn
+numbers, number and role, the first digits of the text's digest), so rows meet only inside the
+smallest, whether or not turns are numbered. Rendered text is cut into parts of ``BLOCK`` turn
+numbers, or of as many turns where a number is used too often for that.
 """
 
 from __future__ import annotations
@@ -38,24 +41,46 @@ def _turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _distinct(conversations: DataFrame) -> DataFrame:
+    rows = _turns(conversations).select("conv_id", "turn", "part", "role", F.md5("text").alias("digest")).distinct()
+    return rows.withColumn("number", F.coalesce("turn", F.lit(2**62)))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys``; conv_id may be null, role and the others may not."""
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    added = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *added)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Distinct rows with their place in the conversation, from 1 on."""
+    slices = [["conv_id"], ["part"], ["number", "role"], ["first"]]
+    rows = rows.withColumn("first", F.substring("digest", 1, 3))
+    keys = [sum(slices[: k + 1], []) for k in range(len(slices))]
+    totals = rows.withColumn("n", F.lit(1))
+    tables = []
+    for k in range(len(slices) - 1, 0, -1):
+        totals = totals.groupBy(*keys[k]).agg(F.sum("n").alias("n"))
+        before = Window.partitionBy(*keys[k - 1]).orderBy(*slices[k]).rowsBetween(Window.unboundedPreceding, -1)
+        tables.append(totals.select(*keys[k], F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"skip{k}")))
+    skips = tables[0]
+    for k, table in zip(range(len(slices) - 2, 0, -1), tables[1:], strict=True):
+        skips = _same(skips, table, keys[k])
+    skip = sum((F.col(f"skip{k}") for k in range(2, len(slices))), F.col("skip1"))
+    inside = Window.partitionBy(*keys[-1]).orderBy("digest")
+    rows = rows.withColumn("in_slice", F.row_number().over(inside).cast("bigint"))
+    rows = _same(rows, skips.select(*keys[-1], skip.alias("skip")), keys[-1])
+    return rows.withColumn("place", F.col("skip") + F.col("in_slice")).drop("skip", "in_slice", "first")
+
+
 def prefixes(conversations: DataFrame) -> DataFrame:
     """(conv_id, place, one, two): a hash of every turn with all turns before it."""
-    rows = (
-        _turns(conversations)
-        .select("conv_id", "turn", "part", "role", F.md5("text").alias("text"))
-        .distinct()
-        .withColumn("number", F.coalesce("turn", F.lit(2**62)))
-    )
-    inside = Window.partitionBy("conv_id", "part").orderBy("number", "role", "text")
-    rows = rows.withColumn("in_part", F.row_number().over(inside).cast("bigint"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    sizes = sizes.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    same_part = lambda other: (
-        F.col("l.conv_id").eqNullSafe(F.col(f"{other}.conv_id")) & (F.col("l.part") == F.col(f"{other}.part"))
-    )
-    placed = rows.alias("l").join(sizes.alias("s"), same_part("s")).select(
-        "l.conv_id", "l.part", (F.col("skip") + F.col("in_part")).alias("place"), "role", "text"
+    placed = _placed(_distinct(conversations)).select(
+        "conv_id", F.floor((F.col("place") - 1) / BLOCK).alias("part"), "place", "role", F.col("digest").alias("text")
     )
     hashed = placed.select(
         "conv_id", "part", "place",
@@ -68,8 +93,8 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     totals = totals.select(
         "conv_id", "part", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("t1", "t2")]
     )
-    return run.alias("l").join(totals.alias("t"), same_part("t")).select(
-        "l.conv_id", "place", F.col("one").bitwiseXOR(F.col("t1")).alias("one"), F.col("two").bitwiseXOR(F.col("t2")).alias("two")
+    return _same(run, totals, ["conv_id", "part"]).select(
+        "conv_id", "place", F.col("one").bitwiseXOR(F.col("t1")).alias("one"), F.col("two").bitwiseXOR(F.col("t2")).alias("two")
     )
 
 
@@ -101,14 +126,23 @@ def chats(conversations: DataFrame) -> DataFrame:
     Turns go by number, those without one last, ties by role and text; a row repeated exactly counts
     once. Rows without conv_id make one conversation. A conversation of up to ``BLOCK`` turn numbers
     is one row (part 0 if it starts at 0); a longer one has a row for each ``BLOCK`` numbers, to be
-    joined by part. ``n_turns`` counts the row's turns. Other columns are ignored.
+    joined by part. If more than ``BLOCK`` turns share such numbers, or have none, the conversation
+    is cut by place instead, ``BLOCK`` turns to a part. ``n_turns`` counts the row's turns. Other
+    columns are ignored.
     """
     kept = written(maximal(conversations).select(F.col("conv_id").alias("kept_id")))
-    turns = _turns(conversations)
+    turns = _turns(conversations).withColumn("digest", F.md5("text"))
     turns = turns.join(small(kept), turns["conv_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    piece = F.struct(
-        F.coalesce("turn", F.lit(2**62)).alias("number"), "role", F.md5("text").alias("digest"), "text"
-    )
+    turns = turns.withColumn("number", F.coalesce("turn", F.lit(2**62)))
+    crowded = _distinct(conversations).groupBy("conv_id", "part").count().where(F.col("count") > BLOCK)
+    crowded = written(crowded.select(F.col("conv_id").alias("crowded_id")).distinct())
+    of_these = turns["conv_id"].eqNullSafe(F.col("crowded_id"))
+    common = turns.join(small(crowded), of_these, "left_anti")
+    rows = ["conv_id", "part", "number", "role", "digest", "text"]
+    cut = turns.join(small(crowded), of_these, "left_semi").dropDuplicates(["conv_id", "turn", "role", "digest"])
+    cut = _placed(cut.select(*rows)).withColumn("part", F.floor((F.col("place") - 1) / BLOCK))
+    turns = common.select(*rows).unionByName(cut.select(*rows))
+    piece = F.struct("number", "role", "digest", "text")
     parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(piece)).alias("turns"))
     return parts.select(
         "conv_id",
@@ -118,6 +152,7 @@ def chats(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: The same where no part holds more than BLOCK turns, as in the given tables.
 CHATS_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
