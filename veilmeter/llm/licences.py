@@ -1,12 +1,15 @@
 """Licences by recognised sentences and ordered rules (operator 3).
 
-1. A text that mentions no word of ``HINT`` is left alone; others are cut into sentences.
+1. A text that matches no part of ``HINT``, as every known sentence does, is left alone; others
+   are cut into sentences.
 2. A sentence is normalised (lower case, letters, digits and ``.+-`` only, one space between words) and
    mapped to the identifier of a known licence sentence, by expression. Unknown sentences that speak
    of licences become ``?``, all others vanish.
 3. The document's identifiers, in order, are matched against the rules in their order. A rule is a
    sequence of identifiers; what it matches is consumed, so that a later and weaker rule (a licence's
-   name alone) does not see it again.
+   name alone) does not see it again. ``?`` between two identifiers of a rule is skipped and consumed.
+
+An SPDX line names every licence of its expression; the exceptions after WITH are no licences.
 
 Everything happens inside the row, without shuffle.
 """
@@ -18,7 +21,15 @@ from pyspark.sql import functions as F
 
 from .shared import one_row, own
 
-HINT = "licen[cs]|copyright|permission is hereby|redistribution|spdx|warrant|public domain"
+#: A sentence that speaks of licences.
+SPEAKS = "licen[cs]|copyright|permission is hereby|redistribution|spdx|warrant|public domain"
+_GAP = "[^a-z0-9.+-]+"
+#: Matched by the raw text of every known sentence, however its words are parted, but for AllRights:
+#: "all rights reserved" without any word of licences is page furniture (LICENCES_SQL has it so).
+HINT = "|".join((
+    "licen[cs]|copyright|redistribution|spdx|warrant|cc0", f"permission{_GAP}is{_GAP}hereby",
+    f"public{_GAP}domain", f"software{_GAP}is{_GAP}provided", f"neither{_GAP}the{_GAP}name{_GAP}of",
+))
 
 # Known sentences of public licences, after normalising. First match wins.
 SENTENCES = (
@@ -67,12 +78,24 @@ RULES = (
 #: A new line ends a sentence if the next one is empty or starts with a capital.
 _BREAK = r"\n([ \t]*[\nA-Z(])"
 _CUT = r"\x01|[.;]+[ \t\n]+|[!?]+"
+#: An SPDX expression ends with its line.
+_SPDX_LINE = r"(?i)(spdx-license-identifier[^\n]*)\n"
+_SPDX = r"^spdx-license-identifier ([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"
 
 
-def rule_pattern(rule: str) -> str:
+def rule_pattern(rule: str, skipped: str = r"(?: \? )*") -> str:
     """Identifiers stand between spaces of their own, so a sequence is a plain concatenation."""
     parts = [(e[:-1], "?") if e.endswith("?") and e != r"\?" else (e, "") for e in rule.split(" ")]
-    return "".join(f"(?: {name} ){mark}" for name, mark in parts)
+    if not skipped:
+        return "".join(f"(?: {name} ){mark}" for name, mark in parts)
+    out = ""
+    for k, (name, mark) in enumerate(parts):
+        if mark and not any(not m for _, m in parts[:k]):
+            out += f"(?:(?: {name} ){skipped})?"  # before the first one that may not be missing
+        else:
+            before = skipped if any(not m for _, m in parts[:k]) else ""
+            out += f"(?:{before} {name} ){mark}"
+    return out
 
 
 def normalised(sentence: Column) -> Column:
@@ -82,10 +105,13 @@ def normalised(sentence: Column) -> Column:
 
 def identifier(sentence: Column) -> Column:
     """Identifier of a normalised sentence, or null."""
-    found = F.when(F.rlike(sentence, F.lit(HINT)), F.lit("?"))
+    found = F.when(F.rlike(sentence, F.lit(SPEAKS)), F.lit("?"))
     for name, pattern in reversed(SENTENCES):
         value = F.lit(name)
-        if name.endswith("$1"):
+        if name == "SPDX:$1":
+            names = F.regexp_replace(F.regexp_extract(sentence, _SPDX, 1), " with [a-z0-9.+-]+", "")
+            value = F.concat(F.lit("SPDX:"), F.regexp_replace(names, " (and|or) ", "  SPDX:"))
+        elif name.endswith("$1"):
             part = F.translate(F.trim(F.regexp_extract(sentence, pattern, 1)), " ", "-")
             value = F.concat(F.lit(name[:-2]), part)
         found = F.when(F.rlike(sentence, F.lit(pattern)), value).otherwise(found)
@@ -106,7 +132,8 @@ def licences(docs: DataFrame) -> DataFrame:
     rows = own(docs, "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     hinted = F.rlike(F.lower(text), F.lit(HINT))
-    sentences = F.transform(F.split(F.regexp_replace(text, _BREAK, "\x01$1"), _CUT), normalised)
+    lines = F.regexp_replace(F.regexp_replace(text, _SPDX_LINE, "$1\x01"), _BREAK, "\x01$1")
+    sentences = F.transform(F.split(lines, _CUT), normalised)
     known = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
     nothing = F.array().cast("array<string>")
     rows = one_row(rows.select("doc_id", "text"), ids=F.when(hinted, known).otherwise(nothing))
@@ -125,12 +152,13 @@ def licences(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_sentences"),
-        F.array_join("ids", " ").alias("sentences"),
+        F.replace(F.array_join("ids", " "), F.lit("  "), F.lit(" ")).alias("sentences"),
         F.when(F.size("ids") > 0, listed).otherwise("").alias("licences"),
     )
 
 
 def _sql() -> str:
+    """The same for the given tables: no SPDX expressions, and SPEAKS finds every text that counts."""
     cases = []
     for name, pattern in SENTENCES:
         value = f"'{name}'"
@@ -139,7 +167,7 @@ def _sql() -> str:
         cases.append(f"WHEN regexp_matches(s, '{pattern}') THEN {value}")
     steps, found = ["r0 AS (SELECT r, doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS t0 FROM i)"], []
     for k, (name, rule) in enumerate(RULES):
-        pattern = rule_pattern(rule)
+        pattern = rule_pattern(rule, "")
         if name in ("CC", "SPDX"):
             prefix = rule.partition(":")[0]
             hit = f"list_transform(regexp_extract_all(t{k}, ' {prefix}:([a-z0-9.+-]+) ', 1), lambda x: '{name}:' || x)"
@@ -152,10 +180,10 @@ def _sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 x AS (SELECT r, string_split_regex(regexp_replace(t, '{_BREAK}', chr(1) || '\1', 'g'), '{_CUT}') AS l
-      FROM d WHERE regexp_matches(lower(t), '{HINT}')),
+      FROM d WHERE regexp_matches(lower(t), '{SPEAKS}')),
 n AS (SELECT r, k, regexp_replace(regexp_replace(lower(l[k]), '[^a-z0-9.+-]+', ' ', 'g'), '^[ -]+|[ .-]+$', '', 'g') AS s
       FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS k FROM x)),
-c AS (SELECT r, k, CASE {" ".join(cases)} WHEN regexp_matches(s, '{HINT}') THEN '?' END AS id FROM n),
+c AS (SELECT r, k, CASE {" ".join(cases)} WHEN regexp_matches(s, '{SPEAKS}') THEN '?' END AS id FROM n),
 g AS (SELECT r, list(id ORDER BY k) AS ids FROM c WHERE id IS NOT NULL GROUP BY r),
 i AS (SELECT r, doc_id, coalesce(ids, []) AS ids FROM d LEFT JOIN g USING (r)),
 {", ".join(steps)},
