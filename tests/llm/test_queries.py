@@ -1,4 +1,4 @@
-"""Every operator's query: against its SQL where it has one, and registered for all ten."""
+"""Every operator's query: against its SQL where it has one, and registered for all thirteen."""
 
 import pytest
 
@@ -9,7 +9,7 @@ from veilmeter.llm.queries import QUERIES, SQL
 
 def test_all_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) < set(names) and "pipeline" in names
     assert set(SQL) <= set(entry.oracle_sql())
 

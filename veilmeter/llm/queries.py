@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chats import CHATS_SQL, chats
 from .decontamination import leaks
+from .filters import FILTERS_SQL, filter_orders
 from .language import languages
 from .licences import LICENCES_SQL, licences
 from .mixing import rates
@@ -83,3 +84,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing_rates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_filter_orders", FILTERS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
