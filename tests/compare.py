@@ -12,7 +12,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 PLAIN = {"BIGINT", "INTEGER", "VARCHAR", "BOOLEAN", "DOUBLE"}
-SPARK = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+SPARK = {"bigint": "BIGINT", "int": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
 def database(sf_dir):
