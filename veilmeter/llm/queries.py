@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chats import CHATS_SQL, chats
 from .decontamination import leaks
+from .divergence import DIVERGENCE_SQL, divergences
 from .filters import FILTERS_SQL, filter_orders
 from .language import languages
 from .licences import LICENCES_SQL, licences
@@ -89,3 +90,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_orders", FILTERS_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
