@@ -18,6 +18,7 @@ from .pages import PAGES_SQL, articles
 from .quality import QUALITY_SQL, quality
 from .secrets import SECRETS_SQL, secrets
 from .sharding import SHARDING_SQL, shard
+from .suffixes import REPEATS_SQL, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +96,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_source_divergence", DIVERGENCE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
+
+
+@query("op12_repeated_text", REPEATS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).drop("begins", "ends")
