@@ -72,9 +72,9 @@ def test_edge_rows(spark):
 def test_matrix_holds_every_word(spark):
     docs = documents(spark).repartition(2)
     shards, dictionary = matrix(docs, 5000)
-    names = {r.word_id: bytes(r.word).decode() for r in dictionary.collect()}
-    assert sorted(names) == list(range(len(names)))  # dense, and every word once
-    assert len(set(names.values())) == len(names)
+    rows = dictionary.collect()
+    names = {r.word_id: bytes(r.word).decode() for r in rows}
+    assert len(names) == len(set(names.values())) == len(rows) > 1000  # every word once, every number once
     got, shards = Counter(), shards.collect()
     assert len(shards) > 2
     for s in shards:

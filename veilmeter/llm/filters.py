@@ -2,7 +2,7 @@
 
 The documents become a sparse document-term matrix. A pass cuts the table into shards of about
 ``SHARD_BYTES`` of text and numbers each shard's own words; the shards' vocabularies make one global
-dictionary, which gives every different word a dense number; each shard then takes its global
+dictionary, which gives every different word a number; each shard then takes its global
 numbers and is a CSR matrix (starts, columns, counts) over all words. Its row sums and its numbers
 of non-zero cells are the word counts and different words that filters A and B ask for. Filters C
 and D are marks of the text, E needs the least id of every different text. Rows are counted by part,
@@ -30,8 +30,10 @@ LEAST_WORDS = 200  # A fails below
 LEAST_DISTINCT = 50  # B fails below so many different words in a hundred
 MOST_CAPITALS = 3  # C fails above so many capitals in a hundred characters
 SYMBOLS = b"#$%&*|"  # D fails with any of them
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
+BUCKETS = 1 << 16  # of the dictionary: a task orders the words of one
 _PIECE = 1 << 20
+_NTH_BITS, _PLACE_BITS = 11, 26  # of a task's shards, and of a shard's words, in a 64-bit number
 _CAPITALS = bytes(range(65, 91))
 _INSIDE = bytes(range(0x80, 0xC0))  # bytes that begin no character
 
@@ -58,6 +60,17 @@ def _marks(text: bytes) -> int:
     return 4 * (100 * capitals > MOST_CAPITALS * characters) + 8 * (len(text.translate(None, SYMBOLS)) < len(text))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers as four byte planes, compressed: what a shard moves and stores is mostly these."""
+    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 class _Shard:
     """CSR rows over the shard's own words, until it is full."""
 
@@ -84,15 +97,15 @@ class _Shard:
         columns = {
             "shard": pa.array([number], pa.int64()), "doc_ids": cell(self.ids, kind), "langs": cell(self.langs, pa.string()),
             "digests": cell(self.digests, pa.binary()), "marks": cell(self.marks, pa.int32()),
-            "starts": cell(self.starts, pa.int64()), "places": cell(np.array(self.places, np.int32), pa.int32()),
-            "counts": cell(np.array(self.counts, np.int64), pa.int64()), "words": cell(list(self.words), pa.binary()),
+            "starts": cell(self.starts, pa.int64()), "places": pa.array([_packed(np.array(self.places, np.int32))], pa.binary()),
+            "counts": pa.array([_packed(np.array(self.counts, np.int32))], pa.binary()), "words": cell(list(self.words), pa.binary()),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _to_shards(size: int):
     def run(batches):
-        first, made, shard, kind = TaskContext.get().partitionId() << 32, 0, _Shard(), pa.int64()
+        first, made, shard, kind = TaskContext.get().partitionId() << _NTH_BITS, 0, _Shard(), pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             texts = batch.column("text").cast(pa.large_binary())
@@ -113,12 +126,15 @@ _ROWS = "shard bigint, doc_ids array<{0}>, langs array<string>, digests array<bi
 def _global(shard: pa.Table, known: pa.Table) -> pa.Table:
     """One shard with the dictionary's numbers for its own."""
     numbers = np.empty(known.num_rows, np.int64)
-    numbers[known.column("place").to_numpy()] = known.column("word_id").to_numpy()
-    places = shard.column("places").combine_chunks()
-    columns = pa.array(numbers[places.flatten().to_numpy()], pa.int64())
-    offsets = pa.array([0, len(columns)], pa.int32())
-    at = shard.schema.get_field_index("places")
-    return shard.set_column(at, "columns", pa.ListArray.from_arrays(offsets, columns)).combine_chunks()
+    numbers[known.column("cell").to_numpy() & ((1 << _PLACE_BITS) - 1)] = known.column("word_id").to_numpy()
+    n = shard.column("starts")[0].values[-1].as_py()
+    offsets = pa.array([0, n], pa.int32())
+    cells = {
+        "columns": pa.array(numbers[_unpacked(shard.column("places")[0].as_py(), n)]),
+        "counts": pa.array(_unpacked(shard.column("counts")[0].as_py(), n)),
+    }
+    whole = {name: shard.column(name) for name in shard.schema.names if name not in ("places", "counts")}
+    return pa.table(whole | {name: pa.ListArray.from_arrays(offsets, c) for name, c in cells.items()})
 
 
 def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -130,21 +146,16 @@ def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     """
     rows = own(docs, "doc_id", "text", "lang")
     head = _ROWS.format(rows.schema["doc_id"].dataType.simpleString())
-    shards = written(rows.mapInArrow(_to_shards(shard_bytes), head + "places array<int>, counts array<bigint>, words array<binary>"), 500)
-    words = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    # Dense numbers without a sort: the place inside the partition after the partitions before it.
-    at = F.monotonically_increasing_id()
-    found = written(
-        words.groupBy("word").agg(F.count(F.lit(1)).alias("n_shards"))
-        .select("word", "n_shards", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
-    )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each shuffle partition
-    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    dictionary = found.join(F.broadcast(offsets), "part").select("word", (F.col("offset") + F.col("nth")).alias("word_id"), "n_shards")
-    known = words.join(dictionary, "word").select(F.col("shard").alias("of"), "place", "word_id")
-    csr = shards.drop("words").groupBy("shard").cogroup(known.groupBy("of"))
-    return csr.applyInArrow(_global, head + "columns array<bigint>, counts array<bigint>"), dictionary
+    shards = written(rows.mapInArrow(_to_shards(shard_bytes), head + "places binary, counts binary, words array<binary>"), 500)
+    words = shards.select((F.shiftleft("shard", _PLACE_BITS)).alias("base"), F.posexplode("words").alias("place", "word"))
+    words = words.select((F.col("base") + F.col("place")).alias("cell"), "word")
+    # A word's number: its rank in the bucket of its hash, the buckets' numbers interleaved.
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("bigint")
+    known = words.withColumn("bucket", bucket).select("cell", "word", ((rank - 1) * BUCKETS + F.col("bucket")).alias("word_id"))
+    dictionary = known.groupBy("word", "word_id").agg(F.count(F.lit(1)).alias("n_shards"))
+    csr = shards.drop("words").groupBy("shard").cogroup(known.drop("word").groupBy(F.shiftright("cell", _PLACE_BITS).alias("of")))
+    return csr.applyInArrow(_global, head + "columns array<bigint>, counts array<int>"), dictionary
 
 
 def _row_marks(batches):
@@ -153,7 +164,7 @@ def _row_marks(batches):
         for i in range(batch.num_rows):
             shard = {name: batch.column(name)[i].values for name in batch.schema.names if name != "shard"}
             starts, counts = shard["starts"].to_numpy(), shard["counts"].to_numpy()
-            total = np.concatenate([[0], np.cumsum(counts)])
+            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             words, distinct = np.diff(total[starts]), np.diff(starts)
             mask = (words < LEAST_WORDS) * 1 + (100 * distinct < LEAST_DISTINCT * words) * 2 + shard["marks"].to_numpy()
             yield pa.RecordBatch.from_arrays(
