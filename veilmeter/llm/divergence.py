@@ -28,9 +28,10 @@ from .tokens import texts_of
 LEAST_DOCUMENTS = 10  # of a language, for a term to be kept
 TOP_TERMS = 10
 SCALE, ADDED = 1_000_000_000, 2
-BLOCK = 16 << 20  # bytes of text sorted at a time
+BLOCK = 8 << 20  # bytes of text sorted at a time
 _ROWS = 50_000  # documents in a block at most: groups are numbered in 16 bits
-_ENTRIES = 1 << 18  # (source, term) counts in a block of the pair sums, about
+_ENTRIES = 1 << 15  # (source, term) counts in a block of the pair sums, about; as many as it has pairs, if that is more
+_MOST_ENTRIES = 1 << 22
 _STRIPE = 512  # sources whose pairs one task sums
 _CELLS = 1 << 20
 
@@ -254,9 +255,11 @@ def divergences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = Window.partitionBy("lang")
     groups = written(groups.select(
         "*", nth.cast("bigint").alias("nth"), F.count(F.lit(1)).over(whole).alias("sources"),
-        F.greatest(F.ceil(F.sum("entries").over(whole) / _ENTRIES), F.lit(1)).alias("blocks"),
+        F.sum("entries").over(whole).alias("all_entries"),
         _share("0", "total", "v").alias("p0"),
-    ))
+    ).withColumn("blocks", F.expr(
+        f"greatest(1, ceil(all_entries / least({_MOST_ENTRIES}, greatest({_ENTRIES}, sources * sources))))"
+    )))
     of_group = small(groups.select("lang", "source", F.col("nth").alias("at"), "total", "v", "total_lang", "blocks", "sources"))
     entries = used.join(of_group, ["lang", "source"]).select(
         "lang", "source", "term", "at", "blocks", "sources", _share("n", "total", "v").alias("p"), _share("n_lang", "total_lang", "v").alias("q"),
