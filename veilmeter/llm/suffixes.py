@@ -8,7 +8,7 @@ counting that symbol above the old ones, and passes over the transform once, in
 documents that takes as many passes as the longest has bytes, over everything; so the collections
 are cut to what a window can need, by content, and equal windows always meet:
 
-1. *Sparse anchors.* Of all windows' grams of 200 bytes, the one of least hash in each window. Where a
+1. *Sparse anchors.* Of all windows' grams of GRAM bytes, the one of least hash in each window. Where a
    window repeats, so does its anchor. Texts whose anchors occur once are done after this count.
 2. *Cores.* Each window left is owned by the place of its least gram of LENGTH - SPAN + 1 bytes, its
    core, which lies in all the SPAN windows around it. A core with at most SPAN - 1 bytes on either
@@ -39,7 +39,7 @@ from .tokens import _POWERS, mix, texts_of
 
 LENGTH = 400
 SPAN = 32  # windows that may share a core
-GRAM = 200  # bytes of a sparse anchor
+GRAM = 320  # bytes of a sparse anchor
 STRINGS = 8192  # in a block, about
 _BLOCK = 1 << 20  # bytes looked at in one go; places in a block take 20 bits
 _TEXT_BITS, _GRAM_BITS = 26, 27
@@ -131,14 +131,27 @@ def _sparse(sent, length: int, gram: int):
     return run
 
 
-def _cores(sent, grams, length: int, span: int, gram: int):
+_STRING = "c1 bigint, c2 bigint, w1 bigint, w2 bigint"
+_PLACED = f"{_STRING}, d1 bigint, d2 bigint, lo bigint, more bigint"
+_FLANKS = "w1 bigint, w2 bigint, left binary, right binary"
+
+
+def _digests(values: list[bytes]) -> np.ndarray:
+    """128-bit digests as two columns of numbers."""
+    joined = b"".join(hashlib.blake2b(v, digest_size=16).digest() for v in values)
+    return np.frombuffer(joined, "<i8").reshape(-1, 2)
+
+
+def _strings(sent, grams, length: int, span: int, gram: int, flanks=None):
+    """Every core's string around the windows whose anchor repeats: digests of core and string, and its text,
+    first window and number of further ones; or, where ``flanks`` has its place, what lies beside the core."""
     size = length - span + 1
 
     def run(batches):
         for batch in batches:
             batch = _texts(batch, sent and sent.value, False)
             data, offsets, _ = texts_of(batch.column("text"))
-            digests, out = batch.column("digest"), []
+            d1, d2 = (batch.column(c).to_numpy() for c in ("d1", "d2"))
             for b, rows, starts, base in _pieces(data, offsets, length):
                 h, _, first, last = owners(b, starts, gram, length)
                 again = passes(grams.value, (h >> np.uint64(64 - _GRAM_BITS)).astype(np.int64))
@@ -148,31 +161,26 @@ def _cores(sent, grams, length: int, span: int, gram: int):
                 np.add.at(wanted, first[again], 1)
                 np.add.at(wanted, last[again] + 1, -1)
                 _, place, first, last = owners(b, starts, size, length, np.cumsum(wanted[:-1]) > 0)
-                text = np.searchsorted(starts, first, side="right") - 1
                 raw = b.tobytes()
-                for p, lo, hi, t in zip(place.tolist(), first.tolist(), last.tolist(), text.tolist(), strict=True):
-                    core = hashlib.blake2b(raw[p : p + size], digest_size=16).digest()
-                    left, right = raw[lo:p], raw[p + size : hi + length]
-                    whole = hashlib.blake2b(core + bytes([len(left)]) + left + right, digest_size=16).digest()
-                    out.append((core, whole, left, right, digests[rows[t]].as_py(), lo - int(starts[t]) + int(base[t])))
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                # The string holds the core; where it lies in it is its first byte here.
+                whole = _digests([bytes([p - lo]) + raw[lo : hi + length] for p, lo, hi in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)])
+                if flanks is not None:
+                    hit = np.flatnonzero(passes(flanks.value, (whole[:, 0].view(np.uint64) >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)))
+                    hit = hit[np.unique(whole[hit], axis=0, return_index=True)[1]]
+                    left = [raw[first[i] : place[i]] for i in hit.tolist()]
+                    right = [raw[place[i] + size : last[i] + length] for i in hit.tolist()]
+                    columns = [pa.array(whole[hit, 0]), pa.array(whole[hit, 1]), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "left", "right"])
+                    continue
+                core = _digests([raw[p : p + size] for p in place.tolist()])
+                text = np.searchsorted(starts, first, side="right") - 1
+                columns = [*core.T, *whole.T, d1[rows[text]], d2[rows[text]], first - starts[text] + base[text], last - first]
+                names = [c.split()[0] for c in _PLACED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
 
     return run
 
 
-_CORE = "core binary, whole binary, left binary, right binary, digest binary, lo bigint"
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.binary()] * 5 + [pa.int64()]
-    names = [c.split()[0] for c in _CORE.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
 def _least(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(a[low:high]) for many non-empty ranges: by least values of blocks and their doublings."""
     block = 32
@@ -249,8 +257,8 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _columns(span: int):
-    """Windows of a block's strings that occur twice in it, as (core, whole, low, high) offsets of windows;
-    and for cores dealt out over several blocks each different window's digest."""
+    """Windows of a block's strings that occur twice in it, as offsets ``low`` to ``high``; and for cores dealt
+    out over several blocks each different window's digest."""
 
     def run(table: pa.Table) -> pa.Table:
         n, mid = table.num_rows, span - 1
@@ -259,8 +267,8 @@ def _columns(span: int):
         for i, (a, b) in enumerate(zip(left, right, strict=True)):
             symbols[i, mid - len(a) : mid] = np.frombuffer(a, np.uint8)
             symbols[i, mid + 1 : mid + 1 + len(b)] = np.frombuffer(b, np.uint8)
-        cores = table.column("core").combine_chunks()
-        symbols[:, mid] = 256 + cores.dictionary_encode().indices.to_numpy()
+        cores = np.stack([table.column(c).to_numpy() for c in ("c1", "c2")], axis=1)
+        symbols[:, mid] = 256 + np.unique(cores, axis=0, return_inverse=True)[1].ravel()
         string, column, common = transform(symbols)
         length = np.array([len(a) for a in left]), np.array([len(b) for b in right])
         windows = length[0] + length[1] - mid + 1  # of each string
@@ -273,17 +281,17 @@ def _columns(span: int):
         edges = np.diff(np.pad(marks, ((0, 0), (1, 0))), axis=1)
         who, low = np.nonzero(edges == 1)
         high = np.nonzero(edges == -1)[1] - 1
-        core, whole = table.column("core").to_pylist(), table.column("whole").to_pylist()
-        rows = [(core[i], whole[i], lo, hi, None) for i, lo, hi in zip(who.tolist(), low.tolist(), high.tolist(), strict=True)]
+        w1, w2 = (table.column(c).to_pylist() for c in ("w1", "w2"))
+        rows = [(w1[i], w2[i], lo, hi, None) for i, lo, hi in zip(who.tolist(), low.tolist(), high.tolist(), strict=True)]
         # Of equal windows one stands for all.
         parts = table.column("parts").to_numpy()[string] > 1
         for k in np.flatnonzero(window & parts & ~alike[:-1]).tolist():
             i, o = int(string[k]), int(offset[k])
             a = left[i][o:]
-            text = core[i] + bytes([len(a)]) + a + right[i][: mid - len(a)]
-            rows.append((core[i], whole[i], o, o, hashlib.blake2b(text, digest_size=16).digest()))
-        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["core", "whole", "low", "high", "window"]
+            text = cores[i].tobytes() + bytes([len(a)]) + a + right[i][: mid - len(a)]
+            rows.append((w1[i], w2[i], o, o, hashlib.blake2b(text, digest_size=16).digest()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["w1", "w2", "low", "high", "window"]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -297,7 +305,7 @@ def _removed(length: int):
         for batch in batches:
             out = []
             texts = batch.column("text").cast(pa.large_binary())
-            for digest, text, spans in zip(batch.column("digest").to_pylist(), texts, batch.column("spans"), strict=True):
+            for d1, d2, text, spans in zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), texts, batch.column("spans"), strict=True):
                 spans = spans.values
                 low, high = (spans.field(i).to_numpy() for i in (0, 1))
                 order = np.argsort(low, kind="stable")
@@ -309,10 +317,10 @@ def _removed(length: int):
                     kept.update(text[at:b])
                     at = e
                 kept.update(text[at:])
-                out.append((digest, int((end - begin).sum()), kept.hexdigest(), begin.tolist(), end.tolist()))
-            names, many = ["digest", "n_removed", "kept_sha256", "begins", "ends"], pa.list_(pa.int64())
-            kinds = [pa.binary(), pa.int64(), pa.string(), many, many]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                out.append((d1, d2, int((end - begin).sum()), kept.hexdigest(), begin.tolist(), end.tolist()))
+            names, many = ["d1", "d2", "n_removed", "kept_sha256", "begins", "ends"], pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), many, many]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
@@ -329,62 +337,62 @@ def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text"))
-    sized = rows.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    sha = F.sha2("text", 256)
+    # A text is known by 120 bits of its digest, as two numbers.
+    key = [F.conv(F.substring(sha, i, 15), 16, 10).cast("bigint").alias(c) for i, c in ((1, "d1"), (16, "d2"))]
+    sized = rows.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"), sha.alias("sha"), *key)
     every = written(sized.drop("text"))
-    copies = written(
-        every.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    )
-    seen = BitTable(copies.select(place_of(F.col("digest"), _TEXT_BITS)), _TEXT_BITS).sent
+    copies = every.where(F.col("n_bytes") >= length).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    copies = written(copies.where("n > 1").select("d1", "d2"))
+
+    def text_bits(df: DataFrame):
+        return BitTable(df.select(place_of(F.col("d1"), _TEXT_BITS)), _TEXT_BITS).sent
+
+    seen = text_bits(copies)
     # Texts that surely occur once are read where they lie; of the others one copy is written.
-    long = sized.where(F.col("n_bytes") >= length).select("digest", "text", place_of(F.col("digest"), _TEXT_BITS).alias("place"))
+    long = sized.where(F.col("n_bytes") >= length).select("d1", "d2", "text", place_of(F.col("d1"), _TEXT_BITS).alias("place"))
     once = written(
-        long.mapInArrow(_repeated_texts(seen), long.schema).groupBy("digest").agg(F.first("text").alias("text"), F.first("place").alias("place"))
+        long.mapInArrow(_repeated_texts(seen), long.schema).groupBy("d1", "d2").agg(F.first("text").alias("text"), F.first("place").alias("place"))
     )
-    sides = [(long, seen), (once, None)]
 
     def over(function, schema: str) -> DataFrame:
-        a, b = (df.mapInArrow(function(sent), schema) for df, sent in sides)
-        return a.unionByName(b)
+        return long.mapInArrow(function(seen), schema).unionByName(once.mapInArrow(function(None), schema))
+
+    def hash_bits(df: DataFrame, name: str):
+        return BitTable(df.select(F.shiftrightunsigned(name, 64 - _GRAM_BITS).alias("place")), _GRAM_BITS).sent
 
     grams = over(lambda sent: _sparse(sent, length, gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    bits = BitTable(grams.where("n > 1").select(F.shiftrightunsigned("gram", 64 - _GRAM_BITS).alias("place")), _GRAM_BITS).sent
-    found = written(over(lambda sent: _cores(sent, bits, length, span, gram), _CORE))
-    one = written(
-        found.groupBy("core", "whole").agg(
-            F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"),
-            F.min(F.struct("digest", "lo")).alias("place"),
-        )
-    )
-    shared = one.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("n").alias("least")).where("strings > 1 AND least = 1")
-    shared = shared.select("core", F.ceil(F.col("strings") / strings).cast("int").alias("parts"))
-    dealt = written(one.join(shared, "core").select("core", "whole", "left", "right", "parts", F.pmod(F.xxhash64("whole"), "parts").alias("part")))
-    blocks = max(1, -(-dealt.count() // strings))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("core", "part"), F.lit(blocks)))
-    marked = written(
-        dealt.groupBy("block").applyInArrow(_columns(span), "core binary, whole binary, low int, high int, window binary")
-    )
+    bits = hash_bits(grams.where("n > 1"), "gram")
+    found = written(over(lambda sent: _strings(sent, bits, length, span, gram), _PLACED))
+    string, one_of = ["c1", "c2", "w1", "w2"], ["d1", "d2", "lo"]
+    # The place is read of strings that occur once only, where all least values are of one row.
+    one = written(found.groupBy(*string).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in one_of]))
+    shared = one.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("strings"), F.min("n").alias("least")).where("strings > 1 AND least = 1")
+    shared = shared.select("c1", "c2", F.ceil(F.col("strings") / strings).cast("int").alias("parts"))
+    asked = written(one.join(shared, ["c1", "c2"]).select(*string, "parts", F.pmod(F.xxhash64("w1"), "parts").alias("part")))
+    blocks = max(1, -(-asked.count() // strings))
+    beside = over(lambda sent, at=hash_bits(asked, "w1"): _strings(sent, bits, length, span, gram, at), _FLANKS)
+    beside = beside.groupBy("w1", "w2").agg(F.first("left").alias("left"), F.first("right").alias("right"))
+    dealt = asked.join(beside, ["w1", "w2"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2", "part"), F.lit(blocks)))
+    marked = written(dealt.groupBy("block").applyInArrow(_columns(span), "w1 bigint, w2 bigint, low int, high int, window binary"))
     between = marked.where("window IS NOT NULL")
     met = between.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    marked = marked.where("window IS NULL").unionByName(between.join(met, "window", "left_semi"), allowMissingColumns=True)
-    single = one.where("n = 1").select("core", "whole", "place")
-    ranges = marked.join(single, ["core", "whole"]).select(
-        "place.digest", (F.col("place.lo") + F.col("low")).alias("low"), (F.col("place.lo") + F.col("high")).alias("high")
-    )
-    last = F.col("lo") + F.octet_length("left") + F.octet_length("right") - (span - 1)
-    again = found.join(one.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi")
-    ranges = ranges.unionByName(again.select("digest", F.col("lo").alias("low"), last.alias("high")))
-    ranges = ranges.join(copies, "digest", "left_anti")
-    spans = written(ranges.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
-    cut = BitTable(spans.select(place_of(F.col("digest"), _TEXT_BITS)), _TEXT_BITS).sent
-    touched = long.mapInArrow(_repeated_texts(cut), long.schema).drop("place").join(spans, "digest")
+    marked = marked.where("window IS NULL").unionByName(between.join(met, "window", "left_semi"))
+    single = one.where("n = 1").select("w1", "w2", *one_of)
+    ranges = marked.join(single, ["w1", "w2"]).select("d1", "d2", (F.col("lo") + F.col("low")).alias("low"), (F.col("lo") + F.col("high")).alias("high"))
+    again = found.join(one.where("n > 1").select("w1", "w2"), ["w1", "w2"], "left_semi")
+    ranges = ranges.unionByName(again.select("d1", "d2", F.col("lo").alias("low"), (F.col("lo") + F.col("more")).alias("high")))
+    ranges = ranges.join(copies, ["d1", "d2"], "left_anti")
+    spans = written(ranges.groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    touched = long.mapInArrow(_repeated_texts(text_bits(spans)), long.schema).drop("place").join(spans, ["d1", "d2"])
     done = written(
-        touched.mapInArrow(_removed(length), "digest binary, n_removed bigint, kept_sha256 string, begins array<bigint>, ends array<bigint>")
+        touched.mapInArrow(_removed(length), "d1 bigint, d2 bigint, n_removed bigint, kept_sha256 string, begins array<bigint>, ends array<bigint>")
     )
-    everything = every.join(copies.withColumn("copied", F.lit(True)), "digest", "left").join(done, "digest", "left")
+    everything = every.join(copies.withColumn("copied", F.lit(True)), ["d1", "d2"], "left").join(done, ["d1", "d2"], "left")
     copied = F.coalesce(F.col("copied"), F.lit(False))
     begins = F.when(copied, F.array(F.lit(0).cast("bigint"))).otherwise(F.coalesce("begins", F.array().cast("array<bigint>")))
     ends = F.when(copied, F.array("n_bytes")).otherwise(F.coalesce("ends", F.array().cast("array<bigint>")))
-    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest"))))
+    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha"))
     return everything.select(
         "doc_id", "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.size(begins).cast("bigint").alias("n_spans"), kept.alias("kept_sha256"), begins.alias("begins"), ends.alias("ends"),
