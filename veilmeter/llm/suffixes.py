@@ -38,7 +38,7 @@ from .shared import BitTable, own, passes, place_of, written
 from .tokens import _POWERS, mix, texts_of
 
 LENGTH = 400
-SPAN = 32  # windows that may share a core
+SPAN = 64  # windows that may share a core; a string has at most 2 * SPAN - 1 symbols, which 8 bits count
 GRAM = 320  # bytes of a sparse anchor
 STRINGS = 8192  # in a block, about
 _BLOCK = 1 << 20  # bytes looked at in one go; places in a block take 20 bits
@@ -332,7 +332,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int =
     Null text counts as empty; texts shorter than ``length`` lose nothing. Every row is a document, so
     rows with equal texts of ``length`` bytes or more lose everything, whatever their doc_id. A null
     doc_id stays null; other columns play no part. Both grams must fit a window: ``span`` and ``gram``
-    below ``length``.
+    below ``length``, and ``span`` is 64 at most.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
