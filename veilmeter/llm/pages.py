@@ -12,6 +12,14 @@ it to the body is the threshold: every node that reaches it contributes the subt
 density sum below it. This decides every page. The outermost ``article`` around a contributed node, or
 ``main`` where there is none, then adds what is too short to be dense, titles and short blocks; a
 block of several links that make up the larger part of its text is not added.
+
+Pages without either tag grow the same way from what the densities chose: short blocks between its
+parts belong to it; the element around it takes in its other children while they are text rather
+than links; and where they are not, or the page itself is reached, what stands between the nearest
+heading before it and the text, title and lead, is added.
+
+A class or id speaks of furniture by any word in it, but inside an ``article`` or ``main`` only if it
+says nothing else: there ``social-history`` or ``search-for-life`` name a subject.
 """
 
 from __future__ import annotations
@@ -42,6 +50,13 @@ NOISE = set(
 )
 # ... nor is one named so, both unless it holds the article, as a form or a role does too.
 FRAME = set("sidebar nav navbar navigation menu header footer masthead banner widget widgets search toolbar aside".split())
+# Words that may stand beside those in a name without naming a subject.
+FILLER = set(
+    "area bar block body bottom box button buttons card column container content footer form grid header inline inner item items"
+    " label left line link links list main module more outer panel post posts primary right row secondary section site slot"
+    " stories story top unit wrap wrapper zone".split()
+)
+HEADINGS = {"h1", "h2", "h3"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -127,7 +142,7 @@ class Tree:
         no such article or main, any article or main or the larger part of the text outside links.
         """
         n = len(self.tag)
-        marks = [_marks(a) if a.strip() else (False, False, False) for a in self.attributes]
+        marks = [_marks(a) if a.strip() else (False, False, False, False) for a in self.attributes]
         plain = any(self.tag[i] in ("article", "main") and not (marks[i][0] or marks[i][1]) for i in range(1, n))
         holds = [False] * n
         for i in range(n - 1, 0, -1):
@@ -136,12 +151,15 @@ class Tree:
             if holds[i]:
                 holds[self.parent[i]] = True
         unlinked: list[int] = []
-        inside = [False] * n  # an article
+        inside, told = [False] * n, [False] * n  # of an article; of an article or main
         out = [False] * n
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             inside[i] = inside[up] or tag == "article"
-            hidden, named, framed = marks[i]
+            told[i] = told[up] or tag in ("article", "main")
+            hidden, named, framed, only = marks[i]
+            if told[up] and not only:
+                named = framed = False
             out[i] = out[up] or tag in DROPPED or (tag == "header" and not inside[up])
             if out[i] or tag == "body":
                 continue
@@ -152,7 +170,7 @@ class Tree:
                 out[i] = plain or 2 * unlinked[i] <= unlinked[0]
         return out
 
-    def _unlinked(self, marks: list[tuple[bool, bool, bool]]) -> list[int]:
+    def _unlinked(self, marks: list[tuple[bool, bool, bool, bool]]) -> list[int]:
         """Characters of text outside links, menus and hidden elements, for each element."""
         n = len(self.tag)
         skip, size = [False] * n, [0] * n
@@ -166,9 +184,10 @@ class Tree:
         return size
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is hidden; named as noise; named or by its role part of the frame."""
-    hidden = named = framed = False
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is hidden; named as noise; named or by its role part of the frame; and whether a
+    name says only that: an id of that one word, a class of such words."""
+    hidden = named = framed = only = False
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         what = m[1].lower()
@@ -180,12 +199,16 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             words = set(re.split(r"[^a-z]+", value))
             named = named or bool(words & NOISE)
             framed = framed or bool(words & FRAME)
+            for token in value.split():
+                said = set(re.split(r"[^a-z0-9]+", token)) - {""}
+                meant = said & (NOISE | FRAME)
+                only = only or bool(meant and (said <= NOISE | FRAME | FILLER if what == "class" else said == meant and len(said) == 1))
         elif what == "role":
-            framed = framed or value in ROLES
+            framed, only = framed or value in ROLES, only or value in ROLES
         else:
             hidden = hidden or what == "hidden" or (what == "aria-hidden" and value == "true")
             hidden = hidden or bool(what == "style" and _HIDDEN.search(value))
-    return hidden, named, framed
+    return hidden, named, framed, only
 
 
 def main_text(source: str | None) -> str:
@@ -264,6 +287,9 @@ def _add_short(
         main[i] = main[up] or (i if tag == "main" else 0)
     with_text = {node for node, text in tree.texts if text.strip()}
     hold = {article[i] or main[i] for i in with_text if chosen[i]} - {0}
+    if not hold:
+        _grow(tree, out, chars, links, link_tags, chosen)
+        return
     added = [False] * n
     for i in range(1, n):
         if out[i]:
@@ -277,6 +303,47 @@ def _add_short(
         chosen[i] = chosen[i] or added[i]
 
 
+def _grow(
+    tree: Tree, out: list[bool], chars: list[int], links: list[int], link_tags: list[int], chosen: list[bool]
+) -> None:
+    """Add to ``chosen`` what belongs to it on a page whose article no tag marks. Elements are in page
+    order, so the elements inside one follow it."""
+    n = len(tree.tag)
+    in_links, end = [False] * n, list(range(1, n + 1))
+    for i in range(1, n):
+        in_links[i] = in_links[tree.parent[i]] or (tree.tag[i] in BLOCKS and link_tags[i] > 1 and 2 * links[i] > chars[i])
+    for i in range(n - 1, 0, -1):
+        end[tree.parent[i]] = max(end[tree.parent[i]], end[i])
+
+    def picked() -> set[int]:
+        return {node for node, words in tree.texts if chosen[node] and words.strip()}
+
+    def add(low: int, high: int) -> None:
+        for i in range(low, high):
+            chosen[i] = chosen[i] or not (out[i] or in_links[i])
+
+    found = picked()
+    if not found:
+        return
+    low, high = min(found), max(found)
+    add(low, high)
+    around = low
+    while end[around] <= high:
+        around = tree.parent[around]
+    while around > 0 and tree.tag[tree.parent[around]] not in ("body", "html"):
+        up = tree.parent[around]
+        others = chars[up] - chars[around]
+        if 2 * (links[up] - links[around]) > others:
+            break
+        if others:
+            add(up, end[up])
+        around = up
+    low = min(picked())
+    heads = [i for i in range(n) if tree.tag[i] in HEADINGS and chars[i] and not (out[i] or in_links[i]) and i <= low]
+    if heads and not chosen[heads[-1]] and not any(in_links[i] and chars[i] and not out[i] for i in range(heads[-1], low)):
+        add(heads[-1], low)
+
+
 def _blocks(tree: Tree, texts: list[tuple[int, str]], chosen: list[bool]) -> list[str]:
     """Texts of the chosen elements; a new block starts wherever the innermost block element changes."""
     block = [0] * len(tree.tag)
