@@ -60,6 +60,22 @@ def running(
     return local.join(offsets, same).select(*columns, *[c.alias(name) for name, c in whole.items()])
 
 
+def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice: Column) -> DataFrame:
+    """Add ``before``: the ``values`` of the row before each row of its group, as a struct; NULL for the first.
+
+    Numbers of ``order`` may have gaps of any length. ``slice`` must not fall along it.
+    """
+    by = [*keys, "_slice"]
+    sliced = df.withColumn("_slice", slice)
+    row = F.struct(*values)
+    local = sliced.withColumn("_local", F.lag(row).over(Window.partitionBy(*by).orderBy(*order)))
+    ends = sliced.groupBy(*by).agg(F.max_by(row, F.struct(*order)).alias("_end"))
+    passed_on = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice"))
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], passed_on.alias("_passed_on"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    return local.join(ends, same).select(*[F.col(c) for c in df.columns], F.coalesce("_local", "_passed_on").alias("before"))
+
+
 def latest_within(
     asked: DataFrame,
     known: DataFrame,

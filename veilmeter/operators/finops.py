@@ -214,8 +214,8 @@ def breaker_intervals(
     It opens at the first second whose last ``window_s`` seconds reach the error share, stays open
     for ``cooldown_s`` and may open again after that. That is sequential, but what an hour passes
     on is only how long the breaker stays open into the next hour. Each hour is therefore solved
-    for every such value at once, the few hours of a provider are linked, and each hour then
-    lists its openings.
+    for every such value at once; 24 hours make a day's answer for every value, the days of a
+    provider are linked, then the hours of each day, and each hour lists its openings.
     """
     hour_s = 3600
     s = F.floor(F.unix_micros("ts") / 1_000_000)
@@ -245,25 +245,41 @@ def breaker_intervals(
 
     passed_on = F.transform(F.sequence(F.lit(0), F.lit(cooldown_s - 1)), left_over)
 
-    def link(acc: Column, h: Column) -> Column:
-        carried = F.when(h["hour"] == acc["hour"] + 1, acc["carry"]).otherwise(0)
-        return F.struct(
-            h["hour"].alias("hour"),
-            F.get(h["passed_on"], carried).alias("carry"),
-            F.concat(acc["seen"], F.array(F.struct(h["hour"].alias("hour"), carried.alias("carried"))))
-            .alias("seen"),
+    def through(parts: str, before: Column, carry: Column):
+        """What each of the ``parts`` gets, and what the last passes on, if they start after ``before`` with ``carry``."""
+
+        def link(acc: Column, p: Column) -> Column:
+            carried = F.when(p["no"] == acc["no"] + 1, acc["carry"]).otherwise(0)
+            return F.struct(
+                p["no"].alias("no"), F.get(p["passed_on"], carried).alias("carry"),
+                F.concat(acc["seen"], F.array(F.struct(p["no"].alias("no"), carried.alias("carried")))).alias("seen"),
+            )
+
+        start = F.struct(
+            before.cast("bigint").alias("no"), carry.cast("int").alias("carry"),
+            F.array().cast("array<struct<no:bigint,carried:int>>").alias("seen"),
         )
+        return F.aggregate(parts, start, link)
 
-    start = F.struct(
-        F.lit(-2).cast("bigint").alias("hour"), F.lit(0).alias("carry"),
-        F.array().cast("array<struct<hour:bigint,carried:int>>").alias("seen"),
-    )
-    linked = (
-        hours.select(by, "hour", passed_on.alias("passed_on"))
-        .groupBy(by)
-        .agg(F.array_sort(F.collect_list(F.struct("hour", "passed_on"))).alias("_hours"))
-        .select(by, F.inline(F.aggregate("_hours", start, link, lambda a: a["seen"])))
+    day_of = F.floor(F.col("hour") / 24)
+    days = hours.select(by, day_of.alias("day"), F.struct(F.col("hour").cast("bigint").alias("no"), passed_on.alias("passed_on")).alias("_part")).groupBy(
+        by, "day"
+    ).agg(F.array_sort(F.collect_list("_part")).alias("_hours"))
+
+    def over_day(carry: Column) -> Column:
+        end = through("_hours", F.col("day") * 24 - 1, carry)
+        return F.when(end["no"] == F.col("day") * 24 + 23, end["carry"]).otherwise(0)
+
+    day_parts = days.select(
+        by, F.struct(F.col("day").cast("bigint").alias("no"), F.transform(F.sequence(F.lit(0), F.lit(cooldown_s - 1)), over_day).alias("passed_on")).alias("_part")
     )
+    # A number for each day and value in a provider's row: 22,000 a year.
+    carried_days = day_parts.groupBy(by).agg(F.array_sort(F.collect_list("_part")).alias("_days")).select(
+        by, F.inline(through("_days", F.lit(-2), F.lit(0))["seen"])
+    ).select(by, F.col("no").alias("day"), "carried")
+    linked = days.join(carried_days, [by, "day"]).select(
+        by, F.inline(through("_hours", F.col("day") * 24 - 1, F.col("carried"))["seen"])
+    ).select(by, F.col("no").alias("hour"), "carried")
 
     def open_at(acc: Column, at: Column) -> Column:
         opened = F.struct((at + cooldown_s).alias("until"), F.concat(acc["opens"], F.array(at)).alias("opens"))

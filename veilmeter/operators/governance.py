@@ -10,6 +10,7 @@ from ..functions import pii
 from ..functions.crypto import hmac_sha256, sha256
 from ..functions.numbers import ascii_digits
 from ..functions.text import computed_once
+from ..frames import skew
 from ..frames.skew import latest_within
 
 # Rules that suggest a label, and kinds of personal data per tag.
@@ -311,7 +312,7 @@ def expired(records: DataFrame, rules: DataFrame, holds: DataFrame, now: Column)
     ``holds``: scope. A record is held by its own scope.
     """
     kept_until = F.col("ts") + F.make_interval(months="months", days="days", hours="hours")
-    due = records.join(F.broadcast(rules), ["kind", "label"]).filter(kept_until < now)
+    due = records.join(rules, ["kind", "label"]).filter(kept_until < now)
     return due.join(holds.select("scope"), "scope", "left_anti").select(*records.columns)
 
 
@@ -378,14 +379,12 @@ def key_gate(status: Column, key_kind: Column, label: Column, days_overdue: Colu
 def major_changes(versions: DataFrame) -> DataFrame:
     """Versions of a use case that need a new review, with the reasons.
 
-    Each version meets the one before it by an equality join on the version number.
+    Each version is compared with the last earlier one, whatever numbers lie between.
     """
-    old = versions.select(
-        "usecase_id", (F.col("version") + 1).alias("version"), F.col("cloud_models").alias("_models"),
-        F.col("max_label").alias("_label"), F.col("pii_kinds").alias("_pii"),
-        F.col("external_tools").alias("_tools"),
-    )
-    both = versions.join(old, ["usecase_id", "version"])
+    compared = ("cloud_models", "max_label", "pii_kinds", "external_tools")
+    both = skew.before(versions, ["usecase_id"], ["version"], compared, F.floor(F.col("version") / 1000)).where("before IS NOT NULL")
+    old = dict(zip(compared, ("_models", "_label", "_pii", "_tools"), strict=True))
+    both = both.select("*", *[F.col(f"before.{c}").alias(a) for c, a in old.items()])
 
     def added(new: str, before: str) -> Column:
         return F.size(F.array_except(new, before)) > 0

@@ -77,6 +77,10 @@ def latency_ms(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0.0), F.rint((end - start) * 1000)).cast("bigint")
 
 
+#: Largest count of the fact table's 32-bit columns.
+MOST_TOKENS = 2**31 - 1
+
+
 def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
     """Read string records; ``reason`` holds the first refusal, NULL for a valid record."""
 
@@ -111,6 +115,8 @@ def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
     def missing(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
 
+    # What the fact table can hold; a cost beyond it is refused instead of stored as NULL.
+    stored_usd = F.col("_usd").try_cast("decimal(12,6)")
     checks = [
         (F.col("tenant_id").isNull(), MSG_TEAM),
         (
@@ -123,11 +129,12 @@ def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
     ]
     for name in ("tokens_in", "tokens_out"):
         checks += [
-            (F.col(name).isNull(), name + MSG_NOT_INT), (F.col(name) < 0, name + MSG_NEGATIVE)
+            (F.col(name).isNull(), name + MSG_NOT_INT), (F.col(name) < 0, name + MSG_NEGATIVE),
+            (F.col(name) > MOST_TOKENS, name + MSG_INVALID),
         ]
     checks += [
         (F.col("_usd").isNull() & ~is_number(F.col("_cost")), "cost_usd" + MSG_NOT_NUMBER),
-        (~missing(F.col("_usd") >= 0), "cost_usd" + MSG_INVALID),
+        (~missing((F.col("_usd") >= 0) & stored_usd.isNotNull()), "cost_usd" + MSG_INVALID),
         (F.col("_began").isNull(), MSG_LATENCY),
         (F.col("_id").isNull(), MSG_MISSING + "call_id"),
     ]
@@ -141,7 +148,7 @@ def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
         "model",
         "tokens_in",
         "tokens_out",
-        F.col("_usd").try_cast("decimal(12,6)").alias("cost_usd"),
+        stored_usd.alias("cost_usd"),
         latency_ms(F.col("_began"), F.col("_ended")).alias("latency_ms"),
         read_bool(F.col("_hit")).alias("cache_hit"),
         F.col("_id").alias("trace_id"),

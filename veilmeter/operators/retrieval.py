@@ -141,7 +141,7 @@ def _membership(lists: pd.Series, place: dict) -> np.ndarray:
     return out
 
 
-def _readable(left: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+def readable(left: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     """Chunks and questions that share a group, as a product of two memberships."""
     place = {g: i for i, g in enumerate(dict.fromkeys(g for one in queries["groups"] for g in one))}
     return _membership(left["acl_groups"], place) @ _membership(queries["groups"], place).T > 0
@@ -155,7 +155,7 @@ def vector_branch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
     """
     left = visible_chunks(chunks).select("tenant_id", "id", "vector", "acl_groups")
     right = queries.select("tenant_id", "id", "vector", "groups")
-    found = vectors.best_partners(left, right, ["tenant_id"], k, allowed=_readable)
+    found = vectors.best_partners(left, right, ["tenant_id"], k, allowed=readable)
     return found.select(
         F.col("right_id").alias("query_id"), F.col("left_id").alias("chunk_id"), "score", "rank"
     )

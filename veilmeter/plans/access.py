@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numbers import epoch_text
@@ -9,6 +11,8 @@ from ..operators import audit as A
 from ..operators import policies as S
 from ..operators import routing as R
 from ..schemas import violations
+from ..session import shared_dir
+from ..sources import isolation
 from ..sources import tables as T
 from .basis import choose, with_
 from .registry import query
@@ -209,6 +213,28 @@ def acl_filter(spark, d):
     )
 
 
+@query(
+    "g08_visible_in_sql",
+    f"""SELECT tenant_id, id, acl_group FROM (SELECT tenant_id, doc_id AS id, grp AS acl_group FROM {_DOCS}
+    WHERE doc_id % 17 <> 0 AND grp IN ('ke-toan', 'quan-ly')) WHERE tenant_id <> '{T.TENANTS[2][1]}'""",
+)
+def visible_in_sql(spark, d):
+    """Plain SQL over the table function: two tenants in turn, a third without groups, and nobody."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    T.read(spark, d, "documents").select(
+        T.pick([t[1] for t in T.TENANTS], F.floor(i / 3)).alias("tenant_id"), i.alias("id"), (F.pmod(i, F.lit(17)) == 0).alias("quarantined"),
+        F.array(T.pick(("nhan-vien", "quan-ly", "ke-toan"), i)).alias("acl_groups"),
+    ).write.parquet(path)
+    isolation.install(spark, path)
+    out = None
+    for tenant, groups in [(t[1], ("ke-toan", "quan-ly")) for t in T.TENANTS[:2]] + [(T.TENANTS[2][1], ()), (None, ("ke-toan",))]:
+        isolation.act_as(spark, tenant, groups)
+        seen = spark.sql("SELECT tenant_id, id, acl_groups[0] AS acl_group FROM visible_chunks()")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 @query(
     "g09_api_key_checks",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'unknown'

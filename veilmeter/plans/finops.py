@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import finops as O
+from ..operators import sketches as K
+from ..session import durable
 from ..sources import tables as T
 from .basis import choose, with_
 from .metering import facts
@@ -286,6 +288,32 @@ def latency_summary(spark, d):
     return E.latency_summary(calls(spark, d), ["provider"], "latency_ms")
 
 
+@query(
+    "e05_sketch_summary",
+    with_("ev", then=f"""SELECT provider, count(*) AS count, round(sum(latency_ms) / count(*), 2) AS mean,
+    TRUE AS p50_within, TRUE AS p95_within, TRUE AS users_within FROM {_CALLS} GROUP BY provider"""),
+)
+def sketch_summary(spark, d):
+    """The summary from a stored row a minute, and whether it keeps its error bounds against the calls."""
+    every = calls(spark, d)
+    stored = durable(K.minute_sketches(every, ["provider"], "latency_ms", "user_id"))
+    said = K.summary(stored, ["provider"])
+    x = F.col("latency_ms")
+    true = every.join(F.broadcast(said), "provider").groupBy("provider").agg(
+        *[F.avg((x < F.col(q)).cast("double")).alias(f"{q}_below") for q in ("p50", "p95")],
+        *[F.avg((x <= F.col(q)).cast("double")).alias(f"{q}_upto") for q in ("p50", "p95")],
+        F.countDistinct("user_id").alias("true_users"),
+    )
+
+    def within(q: str, share: float):
+        return (F.col(f"{q}_below") <= share + K.RANK_ERROR) & (F.col(f"{q}_upto") >= share - K.RANK_ERROR)
+
+    close = F.abs(F.col("users") - F.col("true_users")) <= F.ceil(K.USER_ERROR * F.col("true_users"))
+    return said.join(true, "provider").select(
+        "provider", "count", "mean", within("p50", 0.5).alias("p50_within"), within("p95", 0.95).alias("p95_within"), close.alias("users_within")
+    )
+
+
 @query(
     "e06_overhead",
     with_("ev", then=f"""WITH s AS (SELECT provider, round(quantile_cont(latency_ms, 0.5), 2) AS a,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import LEVELS
+from ..operators import erasure as S
 from ..operators import governance as G
+from ..operators import lineage as N
 from ..sources import files
 from ..sources import tables as T
-from ..session import shared_dir
+from ..session import durable, shared_dir
 from . import privacy
 from .basis import choose, with_
 from .registry import query
@@ -235,6 +239,60 @@ def lineage(spark, d):
     return G.lineage_edges(provenance(spark, d))
 
 
+def lineage_graph(spark, d):
+    """Source -> use case -> output -> tool, and tools that write documents again: cycles over four hops."""
+    used = G.lineage_edges(provenance(spark, d)).select(F.col("source").alias("src"), F.col("usecase_id").alias("dst"))
+    e = T.events(spark, d).where("event_id % 10 <> 0")
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    usecase, output = text("uc-", F.col("user_id") % 20), text("out-", F.col("user_id") % 40)
+    tool = F.concat(F.lit("tool:"), "event_type", F.lit("-"), (F.col("user_id") % 40).cast("string"))
+    back = text("document:d", F.col("user_id") % 40 + 20)
+    pairs = [(usecase, output, True), (output, tool, F.col("event_type") != "view"), (tool, back, (F.col("user_id") % 7 == 0) & (F.col("event_type") == "error"))]
+    for src, dst, when in pairs:
+        used = used.unionByName(e.where(F.lit(when) if when is True else when).select(src.alias("src"), dst.alias("dst")))
+    return used.distinct()
+
+
+_GRAPH = """edges AS (SELECT DISTINCT src, dst FROM (
+      SELECT unnest(['document:d' || event_id % 37, 'table:t' || event_id % 3]) AS src, 'uc-' || user_id % 20 AS dst
+        FROM events WHERE event_id % 10 <> 0
+      UNION ALL SELECT 'uc-' || user_id % 20, 'out-' || user_id % 40 FROM events WHERE event_id % 10 <> 0
+      UNION ALL SELECT 'out-' || user_id % 40, 'tool:' || event_type || '-' || user_id % 40 FROM events
+        WHERE event_id % 10 <> 0 AND event_type <> 'view'
+      UNION ALL SELECT 'tool:' || event_type || '-' || user_id % 40, 'document:d' || (user_id % 40 + 20) FROM events
+        WHERE event_id % 10 <> 0 AND user_id % 7 = 0 AND event_type = 'error'))"""
+
+
+@query(
+    "v09_touched_by_source",
+    f"""WITH RECURSIVE {_GRAPH},
+    reach AS (SELECT src AS source, dst AS node FROM edges WHERE src LIKE 'document:%' OR src LIKE 'table:%'
+      UNION SELECT source, dst FROM reach JOIN edges ON src = node)
+    SELECT source, node FROM reach""",
+)
+def touched_by_source(spark, d):
+    """What removing a document or table touches, over all hops."""
+    graph = durable(lineage_graph(spark, d))
+    sources = graph.where("src LIKE 'document:%' OR src LIKE 'table:%'").select(F.col("src").alias("source"))
+    return N.reach(graph, sources).select("source", "node")
+
+
+@query(
+    "v09_raised_labels",
+    f"""WITH RECURSIVE {_GRAPH},
+    labels AS (SELECT DISTINCT src AS node, CASE WHEN src LIKE 'table:%' THEN 1
+      ELSE substr(src, 11)::INTEGER % 4 END AS level FROM edges WHERE src LIKE 'document:%' OR src LIKE 'table:%'),
+    reach AS (SELECT node AS source, node FROM labels UNION SELECT source, dst FROM reach JOIN edges ON src = node)
+    SELECT reach.node, max(level)::BIGINT AS level FROM reach JOIN labels ON labels.node = source GROUP BY 1""",
+)
+def raised_labels(spark, d):
+    """The highest classification that flows into each node."""
+    graph = durable(lineage_graph(spark, d))
+    sources = graph.where("src LIKE 'document:%' OR src LIKE 'table:%'").select(F.col("src").alias("node")).distinct()
+    level = F.when(F.col("node").startswith("table:"), 1).otherwise(F.substring("node", 11, 9).try_cast("int") % 4)
+    return N.raised_labels(graph, sources.withColumn("level", level.cast("int")))
+
+
 @query(
     "v10_confidential_at_cloud",
     with_("ev", then="""SELECT event_id, model FROM ev WHERE event_id % 10 <> 0
@@ -352,6 +410,39 @@ def erasure_evidence(spark, d):
     return G.erasure_status(report)
 
 
+def stored_tables(spark, d):
+    """A row of every turn in two partitioned tables: chunks, and usage with a user reference."""
+    base = f"{shared_dir(spark).rstrip('/')}/stores/{uuid.uuid4().hex}"
+    t = T.turns(spark, d)
+    rows = t.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("location"), "text",
+        F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("user_ref_hash"), "role", F.col("slug").alias("tenant"),
+        F.pmod("conv_id", F.lit(4)).cast("int").alias("part"),
+    )
+    rows.drop("user_ref_hash", "tenant").write.partitionBy("role", "part").parquet(f"{base}/chunks")
+    rows.drop("text", "role").write.partitionBy("tenant", "part").parquet(f"{base}/usage")
+    return base, [
+        S.Store("chunks", f"{base}/chunks", "location string, text string, role string, part int", "location", ("role", "part")),
+        S.Store("usage", f"{base}/usage", "location string, user_ref_hash string, tenant string, part int", "location",
+                ("tenant", "part"), ("user_ref_hash",)),
+    ]
+
+
+@query(
+    "v13_erasure_stored",
+    with_("ents", "turns", then=f"""SELECT store, count(*) AS found, count(*) FILTER (held) AS held, count(*) FILTER (NOT held)
+      AS erased, 0::BIGINT AS remaining, (SELECT count(*) FROM turns) - CASE store WHEN 'chunks' THEN count(*) FILTER (NOT held)
+      ELSE 0 END AS rows, CASE WHEN bool_and(held) THEN 0 ELSE 1 END::BIGINT AS passes, 'completed' AS status
+    FROM (SELECT store, location, bool_or(kind = 'EMAIL' AND conv_id % 10 = 0) AS held FROM {_SEEN}
+      WHERE {_ASKED} AND store IN ('chunks', 'usage') GROUP BY 1, 2) GROUP BY store"""),
+)
+def erasure_stored(spark, d):
+    """The located rows leave the stored tables, but for those under a hold."""
+    base, stores = stored_tables(spark, d)
+    plan = G.plan_erasure(G.find_subject(erasure_requests(spark, d), subject_index(spark, d)), holds(spark, d))
+    return S.erase_stored(spark, stores, durable(S.targets(plan)), f"{base}/run").drop("evidence_sha256")
+
+
 @query(
     "v13_anonymised_usage",
     with_("ents", "turns", then=f"""SELECT t.conv_id, t.turn, CASE WHEN g.location IS NULL THEN
@@ -556,16 +647,18 @@ def registry_versions(spark, d):
 @query(
     "v20_major_changes",
     """WITH v AS (SELECT l_orderkey, l_linenumber, max(l_partkey) + l_linenumber AS n FROM lineitem
-      GROUP BY l_orderkey, l_linenumber),
+      GROUP BY l_orderkey, l_linenumber HAVING (l_orderkey + l_linenumber) % 4 <> 0),
     p AS (SELECT b.l_orderkey, b.l_linenumber, concat_ws(',',
       CASE WHEN b.n % 3 > a.n % 3 THEN 'cloud_model_added' END,
       CASE WHEN b.n % 4 > a.n % 4 THEN 'label_raised' END, CASE WHEN b.n % 4 > a.n % 4 THEN 'pii_added' END,
       CASE WHEN b.n % 2 > a.n % 2 THEN 'external_tool_added' END) AS changes
-      FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+      FROM v b JOIN (SELECT l_orderkey, l_linenumber, lag(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n
+        FROM v) a USING (l_orderkey, l_linenumber))
     SELECT l_orderkey AS usecase_id, l_linenumber::BIGINT AS version, changes FROM p WHERE changes <> ''""",
 )
 def major_changes(spark, d):
-    return G.major_changes(registry_versions(spark, d))
+    """Every fourth version is not in the registry; its number is a gap."""
+    return G.major_changes(registry_versions(spark, d).where("(usecase_id + version) % 4 <> 0"))
 
 
 _TIER = """CASE WHEN c_custkey % 4 >= 2 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'high'

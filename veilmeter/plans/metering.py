@@ -168,8 +168,8 @@ def dead_letters(spark, d):
 def dead_letter_retention(spark, d):
     """Letters by age; what is to be removed is listed too."""
     since = F.unix_micros(F.lit("2024-01-16 00:00:00").cast("timestamp"))
-    letters = parsed(spark, d).dropDuplicates(["stream_id"]).filter("reason IS NOT NULL").select(
-        F.col("stream_id").alias("source_stream_id"), F.unix_micros("ts").alias("received_us")
+    letters = parsed(spark, d).filter("reason IS NOT NULL").groupBy(F.col("stream_id").alias("source_stream_id")).agg(
+        F.unix_micros(F.min("ts")).alias("received_us")
     )
     return M.retention(letters, "received_us", since)
 
@@ -452,19 +452,19 @@ _NOT, _NEG = "tokens_in" + C.MSG_NOT_INT, "tokens_in" + C.MSG_NEGATIVE
 
 
 @query("m03_whole_numbers", _expected(
-    "tokens_in", (12, 7, 0, None, None, None, None, None, 5),
-    (None, None, None, _NOT, _NEG, _NOT, _NOT, _NOT, None)))
+    "tokens_in", (12, 7, 0, None, None, None, None, None, 5, 2147483647, None),
+    (None, None, None, _NOT, _NEG, _NOT, _NOT, _NOT, None, None, "tokens_in" + C.MSG_INVALID)))
 def whole_numbers(spark, d):
-    df = one_field(spark, d, "tokens_in", ("12", " 7 ", None, "", "-3", "1.5", "x", "1_0", "+5"))
+    df = one_field(spark, d, "tokens_in", ("12", " 7 ", None, "", "-3", "1.5", "x", "1_0", "+5", "2147483647", "2147483648"))
     return _shown(df, "tokens_in", F.col("tokens_in"))
 
 
 @query("m04_costs", _expected(
-    "cost_micros", (250000, 1000, 0, None, None, None, None, 2000000),
+    "cost_micros", (250000, 1000, 0, None, None, None, None, 2000000, 999999999999, None, None),
     (None, None, None, "cost_usd" + C.MSG_INVALID, "cost_usd" + C.MSG_INVALID, "cost_usd" + C.MSG_INVALID,
-     "cost_usd" + C.MSG_NOT_NUMBER, None)))
+     "cost_usd" + C.MSG_NOT_NUMBER, None, None, "cost_usd" + C.MSG_INVALID, "cost_usd" + C.MSG_INVALID)))
 def costs(spark, d):
-    df = one_field(spark, d, "cost_usd", ("0.25", "1e-3", None, "-1", "nan", "inf", "abc", " 2 "))
+    df = one_field(spark, d, "cost_usd", ("0.25", "1e-3", None, "-1", "nan", "inf", "abc", " 2 ", "999999.9999994", "999999.9999996", "1234567.5"))
     return _shown(df, "cost_micros", (F.col("cost_usd") * 1_000_000).cast("bigint"))
 
 
@@ -506,17 +506,19 @@ def trace_ids(spark, d):
     return _shown(one_field(spark, d, "trace_id", ("t", "", None), call_id=call), "trace_id", F.col("trace_id"))
 
 
-@query("m09_every_refusal", with_("ev", then=f"""SELECT unnest([{', '.join(f"'{m}'" for m in (
+@query("m09_every_refusal", with_("ev", then=f"""SELECT reason, sum(records)::BIGINT AS records FROM (SELECT unnest([{', '.join(f"'{m}'" for m in (
     C.MSG_TEAM, C.MSG_MISSING + 'end_time', C.MSG_END_NOT_TS, C.MSG_END_INVALID, C.MSG_MISSING + 'model',
     'tokens_in' + C.MSG_NOT_INT, 'tokens_in' + C.MSG_NEGATIVE, 'tokens_out' + C.MSG_NOT_INT, 'tokens_out' + C.MSG_NEGATIVE,
+    'tokens_in' + C.MSG_INVALID, 'tokens_out' + C.MSG_INVALID, 'cost_usd' + C.MSG_INVALID,
     'cost_usd' + C.MSG_NOT_NUMBER, 'cost_usd' + C.MSG_INVALID, C.MSG_LATENCY, C.MSG_MISSING + 'call_id'))}]) AS reason,
-    count(*) AS records FROM ev"""))
+    count(*) AS records FROM ev) GROUP BY 1"""))
 def every_refusal(spark, d):
-    """All thirteen reasons, each over all events."""
+    """All fifteen reasons, each over all events; numbers that the fact table cannot hold have theirs."""
     none = F.lit(None).cast("string")
     wrong = (("team_id", "x"), ("end_time", ""), ("end_time", "x"), ("end_time", "0"), ("model", " "), ("tokens_in", "x"),
              ("tokens_in", "-1"), ("tokens_out", "x"), ("tokens_out", "-1"), ("cost_usd", "x"), ("cost_usd", "-1"),
-             ("start_time", "x"), ("trace_id", None))
+             ("start_time", "x"), ("trace_id", None), ("tokens_in", "3000000000"), ("tokens_out", "2147483648"),
+             ("cost_usd", "1000000"))
     out = None
     for name, value in wrong:
         others = {"call_id": F.lit(" ")} if name == "trace_id" else {}

@@ -180,7 +180,7 @@ def redaction_counts(spark, d):
 
 @query(
     "p09_restore_texts",
-    with_("turns", "mapping", then="""SELECT conv_id, turn, 'Đã ghi '
+    with_("turns", "mapping", then="""SELECT conv_id, turn, text || ' Đã ghi '
     || coalesce((SELECT original FROM mapping m WHERE m.conv_id = t.conv_id AND kind = 'PHONE'
       AND n = 1), '<PHONE_1>') || ', '
     || coalesce((SELECT original FROM mapping m WHERE m.conv_id = t.conv_id AND kind = 'CCCD'
@@ -268,7 +268,7 @@ def request_decisions(spark, d):
 
 @query(
     "p14_answer_texts",
-    with_("turns", "mapping", then="""SELECT conv_id, turn, CASE
+    with_("turns", "mapping", then="""SELECT conv_id, turn, text || ' ' || CASE
     WHEN mode = 'off' THEN 'Đã ghi <PHONE_1>, <CCCD_1>, <PHONE_7>; số STK: ' || bank
       || ', gọi 0987654321.'
     WHEN restore THEN 'Đã ghi ' || coalesce(phone, '<PHONE_1>') || ', ' || coalesce(cccd, '<CCCD_1>')

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import MAPPING_TTL_SECONDS
+from ..operators import mapping
 from ..session import shared_dir
 from ..sources import streams
 from ..sources import tables as T
-from ..streaming import guardrail, ingest, quota, reports, restore
+from ..streaming import breaker, guardrail, ingest, quota, reports, restore, state
 from . import access, finops, metering, privacy
 from .basis import with_
 from .registry import SQL, query
@@ -184,6 +186,71 @@ def cut_tails(spark, d):
 _PHONE = "'09' || lpad((conv_id + CASE WHEN turn % 4 = 2 THEN 5000000 ELSE 0 END)::VARCHAR, 8, '0')"
 
 
+def stored_mappings(spark, d):
+    """Every request's sealed mapping, put twice: an older one that knows nothing, and the true one.
+
+    Of every seventh request the mapping is a second too old for its chunks, of every eleventh it is
+    put a second after the first chunk.
+    """
+    known = privacy.mapping(spark, d).groupBy("conv_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("mapping")
+    )
+    c = F.col("conv_id")
+    at = F.timestamp_seconds(_CHUNKS_FROM + c * 1000)
+    true = F.when(F.pmod(c, F.lit(7)) == 0, -(MAPPING_TTL_SECONDS + 2)).when(F.pmod(c, F.lit(11)) == 0, 1).otherwise(-5)
+    puts = F.array(F.struct((true - 3).alias("s"), F.create_map(F.lit("<X_1>"), F.lit("x")).alias("mapping")),
+                   F.struct(true.alias("s"), F.col("mapping")))
+    turns = T.turns(spark, d).select("conv_id", "turn")
+    rows = turns.join(known, "conv_id").select(_call().alias("call_id"), at.alias("at"), F.explode(puts).alias("p")).select(
+        "call_id", (F.col("at") + F.make_dt_interval(secs=F.col("p.s"))).alias("put_ts"), F.col("p.mapping").alias("mapping")
+    )
+    return mapping.put(rows, _STREAM_KEY, nonce=F.unhex(F.lit("000000000000000000000001")))
+
+
+_STREAM_KEY = "00112233445566778899aabbccddeeff" * 2
+_CHUNKS_FROM = 1_735_689_600
+
+
+def timed_chunks(spark, d):
+    """The answers' chunks with the second they were sent, all of a call within one."""
+    chunks = answer_chunks(spark, d).drop("mapping")
+    c = F.split_part("call_id", F.lit("-"), F.lit(1)).cast("bigint")
+    return chunks.withColumn("ts", F.timestamp_micros((_CHUNKS_FROM + c * 1000) * 1_000_000 + F.col("seq")))
+
+
+@query(
+    "t01_restore_joined",
+    with_("known", "mapping", then=f"""SELECT conv_id || '-' || turn AS call_id,
+    sha256(CASE WHEN conv_id % 7 = 0 OR conv_id % 11 = 0 THEN redacted ELSE {privacy._FULL} END) AS digest,
+    ((length(redacted) + conv_id % 8) // (1 + conv_id % 8))::BIGINT AS chunks FROM (
+    SELECT k.*, {privacy._REDACTED} AS redacted FROM {privacy._ALL} k)"""),
+)
+def restore_joined(spark, d):
+    """Chunks and sealed mappings come as two streams, in two pieces each."""
+    chunks, mappings = timed_chunks(spark, d), stored_mappings(spark, d)
+    end = chunks.agg((F.max("ts") + F.expr("INTERVAL 1 YEAR")).alias("ts"))
+    last_chunk = end.select(F.lit("end").alias("call_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("text"), F.lit(True).alias("last"), "ts")
+    last_put = mapping.put(
+        end.select(F.lit("end").alias("call_id"), F.col("ts").alias("put_ts"), F.create_map(F.lit("a"), F.lit("b")).alias("mapping")), _STREAM_KEY
+    )
+    sources = {"chunks": chunks, "mappings": mappings}
+    at = {name: fresh(spark, name) for name in sources}
+    path, checkpoint = fresh(spark, "joined"), fresh(spark, "joined-cp")
+    half = F.pmod(F.xxhash64("call_id"), F.lit(2))
+    for n in (0, 1, None):
+        for name, df in sources.items():
+            part = {"chunks": last_chunk, "mappings": last_put}[name] if n is None else df.where(half == n)
+            part.select(df.columns).write.mode("append").parquet(at[name])
+        streamed = {name: streams.record_files(spark, at[name], df.schema) for name, df in sources.items()}
+        out = restore.restore_joined(streamed["chunks"], streamed["mappings"], _STREAM_KEY, late="40 days")
+        writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        with state.rocksdb(spark):
+            writer.format("parquet").option("path", path).start().awaitTermination()
+    return joined_calls(spark.read.schema(out.schema).parquet(path)).where("call_id <> 'end'").select(
+        "call_id", F.sha2("answer", 256).alias("digest"), "chunks"
+    )
+
+
 @query(
     "t02_flush_at_end",
     with_("turns", then=f"""SELECT conv_id || '-' || turn AS call_id, CASE WHEN turn % 2 = 0
@@ -242,6 +309,35 @@ def error_alerts(spark, d):
     return out.select("provider", last_minute.alias("window_end"), "calls", "errors")
 
 
+def in_pieces(df: DataFrame, hours: int, late: str, name: str, job, closing: DataFrame) -> DataFrame:
+    """As ``through``, but the records arrive in pieces of ``hours`` of event time, every fifth one a
+    piece late, and each piece is a run of its own that goes on from the checkpoint."""
+    spark = df.sparkSession
+    source, path, checkpoint = (fresh(spark, f"{name}-{part}") for part in ("in", "out", "cp"))
+    piece = F.floor(F.unix_seconds("ts") / (3600 * hours)) + F.when(F.pmod(F.xxhash64(*df.columns), F.lit(5)) == 0, 1).otherwise(0)
+    staged_at = fresh(spark, f"{name}-pieces")
+    df.withColumn("piece", piece).write.partitionBy("piece").parquet(staged_at)
+    pieces = spark.read.parquet(staged_at)
+    numbers = [r.piece for r in pieces.select("piece").distinct().orderBy("piece").collect()]  # one for some hours
+    for part in [*(pieces.where(F.col("piece") == n).drop("piece") for n in numbers), closing]:
+        part.select(df.columns).write.mode("append").parquet(source)
+        out = job(streams.record_files(spark, source, df.schema), late)
+        writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("f11_live_breaker", SQL["f11_breaker_intervals"])
+def live_breaker(spark, d):
+    calls = finops.calls(spark, d).select("ts", "provider", "failed")
+    closing = closing_record(calls, provider="none", failed=False)
+    with state.rocksdb(spark):
+        events = in_pieces(calls, 4, "8 hours", "breaker", breaker.live_breaker, closing)
+    return events.where("event = 'opened' AND provider <> 'none'").select(
+        "provider", F.col("at_s").alias("opened_s"), F.col("until_s").alias("closes_s")
+    )
+
+
 @query("q07_live_quota", SQL["q06_quota_replay"])
 def live_quota(spark, d):
     requests = metering.quota_requests(spark, d).withColumn("event_time", F.timestamp_micros("ts"))

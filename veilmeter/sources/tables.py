@@ -179,10 +179,10 @@ def requests_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns that mention placeholders, one of the request's own values and a new phone."""
+    """Assistant turns that go on to mention placeholders, one of the request's own values and a new phone."""
     c = F.col("conv_id")
     text = F.concat(
-        F.lit("Đã ghi <PHONE_1>, <CCCD_1>, <PHONE_7>; số STK: "), (10_000_000 + c).cast("string"),
+        F.col("text"), F.lit(" Đã ghi <PHONE_1>, <CCCD_1>, <PHONE_7>; số STK: "), (10_000_000 + c).cast("string"),
         F.lit(", gọi 0987654321."),
     )
     return turns(spark, sf_dir).filter("role = 'assistant'").withColumn("text", text)

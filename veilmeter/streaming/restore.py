@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import MAX_PLACEHOLDER
+from ..constants import MAPPING_TTL_SECONDS, MAX_PLACEHOLDER
+from ..functions.crypto import open_sealed
 
 _HELD = re.compile(r"<[^<>]{0,%d}\Z" % (MAX_PLACEHOLDER - 2))
 _PLACEHOLDER = re.compile(r"<[A-Z]+_\d+>")
@@ -67,9 +70,10 @@ def _stateful(step: Callable, timeout_ms: int | None):
             yield pd.DataFrame({"call_id": [key[0]], "seq": [at], "part": [1], "text": [tail]})
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-        out, mapping = [], {}
+        out, mapping = [], json.loads(kept)
         for seq, text, last, known in zip(rows["seq"], rows["text"], rows["last"], rows["mapping"]):
-            mapping = dict(known) if known is not None else {}
+            # Held text keeps the mapping it came with where the next chunk has none.
+            mapping = dict(known) if known is not None else mapping if pending else {}
             if text is None:
                 # A chunk without text lets go of whatever waits.
                 sent, pending = (_restored(pending, mapping) or None), ""
@@ -109,3 +113,80 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = WAIT_MS) -> DataF
 def restore_frames(frames: DataFrame, timeout_ms: int | None = WAIT_MS) -> DataFrame:
     """The same for captured event frames, with the frame as ``text``."""
     return _restore(frames, _frame, timeout_ms)
+
+
+class _Restoring(StatefulProcessor):
+    """The held tail of a call and the mapping it was last seen with; both go at the end or by event time."""
+
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "pending string, seq bigint, mapping string, due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        pending, at, kept, _ = self.held.get() if self.held.exists() else ("", 0, "{}", 0)
+        mapping, out = json.loads(kept), []
+        for at, text, last, known in zip(chunks["seq"], chunks["text"], chunks["last"], chunks["mapping"], strict=True):
+            # Held text keeps the mapping it came with where the next chunk has none.
+            mapping = dict(known) if known is not None else mapping if pending else {}
+            sent, pending = (_restored(pending, mapping), "") if text is None else _next(pending, text, mapping)
+            if last:
+                sent, pending = sent + _restored(pending, mapping), ""
+            out.append((key[0], at, 0, sent))
+        if pending:
+            due = max(int(pd.to_datetime(chunks["ts"]).max().value // 1_000_000), timerValues.getCurrentWatermarkInMs()) + self.wait_ms
+            self.held.update((pending, int(at), json.dumps(mapping), due))
+            self.handle.registerTimer(due)
+        else:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=["call_id", "seq", "part", "text"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.held.exists():
+            pending, at, kept, due = self.held.get()
+            if due <= expiredTimerInfo.getExpiryTimeInMs():
+                out.append((key[0], at, 1, _restored(pending, json.loads(kept))))
+                self.held.clear()
+        yield pd.DataFrame(out, columns=["call_id", "seq", "part", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def restore_joined(
+    chunks: DataFrame,
+    mappings: DataFrame,
+    key_hex: str,
+    prefix: str = "pii-map:",
+    late: str = "5 minutes",
+    ttl_seconds: int = MAPPING_TTL_SECONDS,
+    timeout_ms: int = WAIT_MS,
+) -> DataFrame:
+    """Restore a stream of chunks (call_id, seq, text, last, ts) with mappings that come as another stream
+    (store_key, put_ts, blob, sealed by ``operators.mapping.put``).
+
+    A chunk sees the last mapping put no later than it and no more than ``ttl_seconds`` before it; the
+    join's state is bounded by that on both sides. Either stream may be ``late``: a chunk is sent once
+    the watermark has passed it, so that no mapping put before it can still come. Chunks without a
+    live mapping, or with one sealed for another key, keep their placeholders. Times of a call must not fall
+    along ``seq``. Rows without time are dropped. Held text waits ``timeout_ms`` of event time.
+    Start the stream inside ``state.rocksdb``.
+    """
+    asked = chunks.select("call_id", "seq", "text", "last", "ts", F.concat(F.lit(prefix), "call_id").alias("asked_key")).withWatermark("ts", late)
+    stored = mappings.select("store_key", "put_ts", "blob").withWatermark("put_ts", late)
+    live = (F.col("store_key") == F.col("asked_key")) & (F.col("put_ts") <= F.col("ts")) & (
+        F.col("put_ts") >= F.col("ts") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    )
+    # Several mappings of a chunk meet it as several rows: the last one counts.
+    decided = (
+        asked.join(stored, live, "left_outer")
+        .groupBy("call_id", "seq", "text", "last", "asked_key", "ts")
+        .agg(F.max_by("blob", "put_ts").alias("blob"))
+    )
+    plain = open_sealed(F.col("blob"), key_hex, F.col("asked_key"))
+    known = decided.select("call_id", "seq", "text", "last", "ts", F.from_json(plain, "map<string,string>").alias("mapping"))
+    return known.groupBy("call_id").transformWithStateInPandas(_Restoring(timeout_ms), CHUNK_OUT, "append", "EventTime")
