@@ -55,16 +55,16 @@ def fit_cells(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> np.n
 def _nearest(centroids: np.ndarray, many: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            if not len(centroids):
-                continue
-            near = _unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ centroids.T
-            if many == 1:
-                yield batch.assign(cell=np.argmax(near, axis=1).astype(np.int32))
-            else:
-                out = batch.loc[batch.index.repeat(near.shape[1])]
-                yield out.assign(cell=np.tile(np.arange(near.shape[1], dtype=np.int32), len(batch)), near=near.ravel())
+            # Every cell of a row is a row of its own where all are asked for.
+            step = max(len(batch), 1) if many == 1 else 64
+            for first in range(0, len(batch) if len(centroids) else 0, step):
+                rows = batch.iloc[first : first + step]
+                near = _unit(np.stack(rows["vector"].to_numpy()).astype(np.float64)) @ centroids.T
+                if many == 1:
+                    yield rows.assign(cell=np.argmax(near, axis=1).astype(np.int32))
+                else:
+                    out = rows.loc[rows.index.repeat(near.shape[1])]
+                    yield out.assign(cell=np.tile(np.arange(near.shape[1], dtype=np.int32), len(rows)), near=near.ravel())
 
     return run
 

@@ -37,17 +37,17 @@ def miss_rate(cosine: float, bands: int = BANDS, bits: int = BITS) -> float:
 
 def _keys(bands: int, bits: int, seed: int = 20240101):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
+        planes, step = None, 512
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            if planes is None or len(planes) != x.shape[1]:
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
-            sides = ((x @ planes) >= 0).reshape(len(x), bands, bits)
-            key = sides @ (1 << np.arange(bits, dtype=np.int64))
-            out = batch.loc[batch.index.repeat(bands)]
-            yield out.assign(band=np.tile(np.arange(bands, dtype=np.int32), len(batch)), key=key.ravel())
+            for first in range(0, len(batch), step):
+                rows = batch.iloc[first : first + step]
+                x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+                if planes is None or len(planes) != x.shape[1]:
+                    planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
+                sides = ((x @ planes) >= 0).reshape(len(x), bands, bits)
+                key = sides @ (1 << np.arange(bits, dtype=np.int64))
+                out = rows.loc[rows.index.repeat(bands)]
+                yield out.assign(band=np.tile(np.arange(bands, dtype=np.int32), len(rows)), key=key.ravel())
 
     return run
 
