@@ -99,6 +99,36 @@ def test_restore_with_mappings_of_another_stream(spark, tmp_path):
     assert sum(left) <= 8
 
 
+def test_joined_calls_share_states(spark, tmp_path):
+    """Many calls with chunks, repeats of them and mappings at odd times: few states, the rows of a plain replay."""
+    rng = random.Random(9)
+    chunks, puts, want = [], [], {}
+    for n in range(60):
+        call, text, size = f"c{n}" if n else None, "số <PHONE_1> và <PHO", rng.randint(1, 9)
+        parts = [text[i : i + size] for i in range(0, len(text), size)]
+        rows = [(call, i, part, i == len(parts) - 1, at(1000 * n + i)) for i, part in enumerate(parts)]
+        chunks += [*rows, *rng.sample(rows, 2)]
+        age = rng.choice([0, 200, 299, 400])
+        puts += [(call, at(1000 * n - age - 5), {"<PHONE_1>": "old"}), (call, at(1000 * n - age), {"<PHONE_1>": f"09{n}"})]
+        # Text held from its first character keeps the mapping that was live then.
+        begun = next(i for i, part in enumerate(parts) if "<" in part)
+        want[call] = text.replace("<PHONE_1>", f"09{n}") if call and begun + age <= 300 else text
+    rng.shuffle(chunks)
+    source, path, checkpoint = {n: folder(tmp_path, n) for n in ("chunks", "puts")}, folder(tmp_path, "out"), folder(tmp_path, "cp")
+    closing = [("end", 0, "", True, at(10**7))], [("end", at(10**7), {"a": "b"})]
+    left = []
+    for some, known in ((chunks, puts), closing):
+        spark.createDataFrame(some, CHUNKS).write.mode("append").parquet(source["chunks"])
+        sealed = mapping.put(spark.createDataFrame(known, PUTS).where("call_id IS NOT NULL"), KEY).select("store_key", "put_ts", "blob")
+        sealed.write.mode("append").parquet(source["puts"])
+        streamed = [streams.record_files(spark, source["chunks"], CHUNKS), streams.record_files(spark, source["puts"], sealed.schema)]
+        left.append(run(spark, restore.restore_joined(*streamed, KEY, late="40 days", buckets=4), path, checkpoint))
+    rows = spark.read.schema(restore.CHUNK_OUT).parquet(path).orderBy("seq", "part").collect()
+    got = {call: "".join(r.text for r in rows if r.call_id == call) for call in want}
+    assert got == want and len(rows) == len(set(chunks))
+    assert sum(left[0]) <= 4 and sum(left[1]) <= 1
+
+
 def opened_folders(rows, path):
     return [f.rsplit("=", 1)[1] for f in ingest.touched_receipts(rows, path)]
 
