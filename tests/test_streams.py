@@ -118,6 +118,52 @@ def test_held_text_is_sent_after_its_wait():
     assert not state.exists
 
 
+class Shared:
+    """A state that calls share, at a given time."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.now = False, False, 5000
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.exists = False
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def _chunk_rows(*rows):
+    return iter([pd.DataFrame(rows, columns=["call_id", "seq", "text", "last", "mapping"])])
+
+
+def test_calls_of_a_state_wait_each_for_themselves():
+    """Two calls wait in one state; each is let go when its own time is over, with its own mapping."""
+    state, handle = Shared(), restore._shared(restore._chunk, 1000)
+    known = '{"<A_1>": "x"}', '{"<A_1>": "y"}'
+    out = next(handle((0,), _chunk_rows(("c", 1, "<A", False, known[0]), ("c", 0, "p<A_1>", False, known[0])), state))
+    assert out.values.tolist() == [["c", 0, 0, "px"], ["c", 1, 0, ""]] and state.wait == 1000
+    state.now = 5600
+    out = next(handle((0,), _chunk_rows((None, 0, "q<A_1", False, known[1])), state))
+    assert out.values.tolist() == [[None, 0, 0, "q"]] and state.wait == 400
+    state.now, state.hasTimedOut = 6000, True
+    assert next(handle((0,), iter([]), state)).values.tolist() == [["c", 1, 1, "<A"]] and state.wait == 600
+    state.now, state.hasTimedOut = 6100, False
+    out = next(handle((0,), _chunk_rows((None, 1, ">", False, None)), state))
+    assert out.values.tolist() == [[None, 1, 0, "y"]] and not state.exists
+
+
+def test_frames_of_many_calls_share_states(spark, sf_dir):
+    """The rows of a state for each call, from four states."""
+    frames = queries.event_frames(spark, sf_dir)
+    shared, alone = (queries.through(frames, "frames", lambda f, n=n: restore.restore_frames(f, None, n)) for n in (4, None))
+    assert shared.exceptAll(alone).count() == 0 and alone.exceptAll(shared).count() == 0
+
+
 def test_quota_counts_outlive_a_backlog(spark, tmp_path):
     """A minute's counts stay until event time has passed, whatever the wall clock, and then go."""
     source, out, checkpoint = folder(tmp_path, "in"), folder(tmp_path, "out"), folder(tmp_path, "cp")
