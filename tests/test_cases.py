@@ -159,3 +159,19 @@ def test_sections_of_long_texts(spark):
     df = spark.createDataFrame([("\n".join(lines),), ("",), (None,)], "t string")
     got = [r.s for r in df.select(sections(df.t).alias("s")).collect()]
     assert [tuple(x) for x in got[0]] == out and [tuple(x) for x in got[1]] == [("", "")]
+
+
+def test_a_policy_document_is_parsed_once(spark):
+    """Every rule and branch reads values of one parse; the rules say what they said."""
+    from veilmeter.operators import policies
+
+    good = ('{"version": 1, "tenant": {"id": "3edc0d7b-5f10-5295-bb88-fbe0d4d324f9", "slug": "t", "data_residency": "any"}, '
+            '"limits": {"monthly_budget_usd": 5, "warning_budget_usd": 4, "rpm": 6.5, "tpm": "7"}, "models": {"allow": ["m"]}, '
+            '"guardrails": {"pii": "redact", "pii_restore": true, "injection": "block"}}')
+    odd = good.replace('"rpm": 6.5', '"rpm": 0.5').replace('"t"', "null").replace("[\"m\"]", "7").replace(": 4", ": 6")
+    df = policies.check_policies(spark.createDataFrame([(1, good), (2, odd), (3, "no JSON"), (4, None)], "id int, spec string"))
+    assert df.columns == ["id", "spec", "broken"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    rows = {r.id: r.broken for r in df.collect()}
+    assert rows[1] == [] and rows[2] == ["tenant.slug", "models.allow", "limits.rpm", "limits.warning"]
+    assert rows[3] == rows[4] and len(rows[3]) == 15

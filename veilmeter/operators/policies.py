@@ -8,29 +8,43 @@ from pyspark.sql import functions as F
 from ..constants import INJECTION_MODES, PII_MODES, RESIDENCY
 from ..functions.numbers import read_int, read_uuid
 from ..functions.pii import pii_mode, pii_restore
+from ..functions.text import computed_once
 
 SECTIONS = ("tenant", "limits", "models", "guardrails")
 
 
 def check_policies(documents: DataFrame, spec: str = "spec") -> DataFrame:
     """Add the array ``broken`` with the name of every rule a policy document (JSON) breaks."""
-    v = F.try_parse_json(F.col(spec))
+    parsed = computed_once(documents.select("*", F.col(spec).alias("_spec")), {"_v": F.try_parse_json("_spec")})
+
+    def at(path: str, kind: str) -> Column:
+        return F.try_variant_get("_v", f"$.{path}", kind)
+
+    # Each value is taken from the document once, whatever number of rules and branches read it.
+    texts = ("tenant.id", "tenant.slug", "tenant.data_residency", "guardrails.pii", "guardrails.injection",
+             "version", "limits.rpm", "limits.tpm")
+    numbers = ("version", "limits.rpm", "limits.tpm", "limits.warning_budget_usd", "limits.monthly_budget_usd")
+    kinds = (*SECTIONS, "guardrails.pii_restore")
+    read = computed_once(parsed, {
+        "_texts": F.struct(*[at(p, "string").alias(p) for p in texts]),
+        "_numbers": F.struct(*[at(p, "double").alias(p) for p in numbers]),
+        "_kinds": F.struct(*[F.coalesce(F.schema_of_variant(at(p, "variant")), F.lit("VOID")).alias(p) for p in kinds]),
+        "_allow": at("models.allow", "array<string>"),
+    })
 
     def text(path: str) -> Column:
-        return F.try_variant_get(v, f"$.{path}", "string")
+        return F.col("_texts")[path]
 
     def number(path: str) -> Column:
-        return F.try_variant_get(v, f"$.{path}", "double")
+        return F.col("_numbers")[path]
 
     def kind(path: str) -> Column:
-        return F.coalesce(
-            F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")), F.lit("VOID")
-        )
+        return F.col("_kinds")[path]
 
     def positive(path: str) -> Column:
         return F.coalesce(F.coalesce(read_int(text(path)), F.floor(number(path))) > 0, F.lit(False))
 
-    allow = F.try_variant_get(v, "$.models.allow", "array<string>")
+    allow = F.col("_allow")
     warning, budget = number("limits.warning_budget_usd"), number("limits.monthly_budget_usd")
     rules = [
         *[(f"section:{s}", ~F.startswith(kind(s), F.lit("OBJECT"))) for s in SECTIONS],
@@ -50,7 +64,7 @@ def check_policies(documents: DataFrame, spec: str = "spec") -> DataFrame:
         ("limits.warning", F.coalesce(warning > budget, F.lit(False))),
     ]
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
-    return documents.withColumn("broken", broken)
+    return read.select(*[F.col(c) for c in documents.columns if c != "broken"], broken.alias("broken"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], sequence: str) -> DataFrame:
