@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import computed_once, let
 from . import vectors
@@ -22,16 +22,23 @@ STEP, OVERLAP = 400, 70
 _SPACE = r"[ \t\n\r\f\x0B]+"
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; there is no built-in function for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.pandas_udf(ArrayType(StringType()))
+def nfc(pieces: pd.Series) -> pd.Series:
+    """Unicode NFC of each piece; there is no built-in function for it."""
+    return pieces.map(lambda ps: [unicodedata.normalize("NFC", p) for p in ps])
+
+
+#: Characters from U+0300 with the one before them, which their first may combine with.
+_MARKED = r"(?s)[\x{0}-\x{2ff}]?[\x{300}-\x{10ffff}]+"
 
 
 def normalise(df: DataFrame, text: str = "text") -> DataFrame:
-    """Text in NFC. Text below U+0300 is already normal and skips Python."""
+    """Text in NFC. Characters below U+0300 are normal and combine with none before them: what
+    lies between two marked pieces skips Python."""
     other = ~F.col(text).rlike(r"^[\x00-\x{2ff}]*$")
-    marked = df.filter(other).withColumn(text, nfc(F.col(text)))
+    pieces = nfc(F.regexp_extract_all(F.col(text), F.lit(_MARKED), 0))
+    whole = F.zip_with(F.split(F.col(text), _MARKED, -1), pieces, lambda before, piece: F.concat(before, F.coalesce(piece, F.lit(""))))
+    marked = df.filter(other).withColumn(text, F.array_join(whole, ""))
     return df.filter(~F.coalesce(other, F.lit(False))).unionByName(marked)
 
 
