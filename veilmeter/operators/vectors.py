@@ -33,7 +33,7 @@ def _meeting(allowed, k: int | None, at_least: float | None, keys: list[str]):
     A matrix product finds the candidates with a margin for its rounding; only those are scored
     again row by row, which gives the same digits wherever a row lies in its block.
     """
-    margin, step = 1e-6, 256
+    margin, step, few = 1e-6, 256, 64
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "right_id", "left_id", "score"]
@@ -45,13 +45,21 @@ def _meeting(allowed, k: int | None, at_least: float | None, keys: list[str]):
         for start in range(0, len(b), step):
             part = slice(start, start + step)
             rough = a @ b[part].T
-            if allowed is not None:
-                rough[~allowed(left, right.iloc[part])] = -np.inf
-            floor = np.full(rough.shape[1], -2.0 if at_least is None else at_least - margin)
-            if k is not None and len(a) > k:
-                # The k-th best of every right row at once; what is not allowed ranks last.
-                floor = np.maximum(floor, np.partition(rough, len(a) - k, axis=0)[len(a) - k] - margin)
-            at, row = np.nonzero(rough >= floor)
+            near = None if at_least is None else rough >= at_least - margin
+            if near is not None and np.count_nonzero(near) <= few * rough.shape[1]:
+                # Few reach the limit: only these are looked at further.
+                at, row = np.nonzero(near)
+                if allowed is not None and len(at):
+                    fits = allowed(left, right.iloc[part])[at, row]
+                    at, row = at[fits], row[fits]
+            else:
+                if allowed is not None:
+                    rough[~allowed(left, right.iloc[part])] = -np.inf
+                floor = np.full(rough.shape[1], -2.0 if at_least is None else at_least - margin)
+                if k is not None and len(a) > k:
+                    # The k-th best of every right row at once; what is not allowed ranks last.
+                    floor = np.maximum(floor, np.partition(rough, len(a) - k, axis=0)[len(a) - k] - margin)
+                at, row = np.nonzero(rough >= floor)
             score = np.round(np.einsum("ij,ij->i", a[at], b[part][row]), 9)
             if at_least is not None:
                 good = score >= at_least
