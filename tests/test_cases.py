@@ -175,3 +175,46 @@ def test_a_policy_document_is_parsed_once(spark):
     rows = {r.id: r.broken for r in df.collect()}
     assert rows[1] == [] and rows[2] == ["tenant.slug", "models.allow", "limits.rpm", "limits.warning"]
     assert rows[3] == rows[4] and len(rows[3]) == 15
+
+
+def test_only_marked_pieces_go_to_python(spark):
+    """NFC of texts whose marks follow any character; what lies between pieces stays in the JVM."""
+    import unicodedata
+
+    from veilmeter.operators import retrieval
+
+    texts = ["tie\u0302\u0301ng a\n\u0301b", "\u0301x", "e\u0301", "\u1100\u1161\u11a8 한", "Å \u212b 𝒳\u0302", "a\U0001d15eb", "plain", "", None]
+    df = retrieval.normalise(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    assert {r.id: r.text for r in df.collect()} == {i: t and unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_refusal_reads_the_records_once(spark, sf_dir):
+    from veilmeter.plans import metering as plans
+
+    plan = plans.every_refusal(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_pairs_below_the_limit_are_not_judged():
+    """Where no pair reaches the limit nothing else is worked out; one that does is found, whichever way."""
+    import numpy as np
+    import pandas as pd
+
+    from veilmeter.operators import vectors
+
+    asked = []
+
+    def allowed(left, rows):
+        asked.append(len(rows))
+        return left["id"].to_numpy()[:, None] < rows["id"].to_numpy()[None, :]
+
+    def block(x):
+        return pd.DataFrame({"t": "t", "id": np.arange(len(x)), "vector": list(x)})
+
+    far, same = block(np.eye(300)), block(np.ones((300, 4)))
+    join = vectors._meeting(allowed, 1, 0.95, ["t"])
+    assert join(far, far.assign(vector=list(-np.eye(300)))).empty and not asked
+    assert join(far, far).empty and sum(asked) == 300
+    found = join(same, same)
+    assert found["left_id"].tolist() == [0] * 299 and found["right_id"].tolist() == list(range(1, 300))

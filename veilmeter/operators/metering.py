@@ -88,18 +88,20 @@ def read_usage(records: DataFrame, fields: str = "fields") -> DataFrame:
         value = F.try_element_at(F.col(fields), F.lit(name))
         return value if absent is None else F.coalesce(value, F.lit(absent))
 
-    t = computed_once(records, {
-        "_team": raw("team_id"),
-        "_end": raw("end_time"),
-        "_start": raw("start_time"),
-        "_model": raw("model"),
-        "_in": raw("tokens_in", "0"),
-        "_out": raw("tokens_out", "0"),
-        "_cost": raw("cost_usd", "0"),
-        "_call": raw("call_type"),
-        "_hit": raw("cache_hit"),
-        "_trace": raw("trace_id"),
-    })
+    # The generator of the next step keeps these from being copied into their uses.
+    t = records.select(
+        "*",
+        raw("team_id").alias("_team"),
+        raw("end_time").alias("_end"),
+        raw("start_time").alias("_start"),
+        raw("model").alias("_model"),
+        raw("tokens_in", "0").alias("_in"),
+        raw("tokens_out", "0").alias("_out"),
+        raw("cost_usd", "0").alias("_cost"),
+        raw("call_type").alias("_call"),
+        raw("cache_hit").alias("_hit"),
+        raw("trace_id").alias("_trace"),
+    )
     v = computed_once(t, {
         "tenant_id": read_uuid(F.col("_team")),
         "model": blank_to_null(F.col("_model")),
