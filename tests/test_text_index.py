@@ -83,3 +83,15 @@ def test_reach_over_cycles(spark):
     labels = spark.createDataFrame([("s", 1), ("c", 3), ("x", 0), ("y", 2), ("x", None), ("lonely", 1)], "node string, level int")
     raised = {r.node: r.level for r in lineage.raised_labels(df, labels).collect()}
     assert raised == {"s": 1, "a": 3, "b": 3, "c": 3, "t": 3, "x": 0, "y": 2, "lonely": 1}
+
+
+def test_words_of_repeated_rows_come_together(spark, tmp_path):
+    """Rows with one id are one chunk; words are not shuffled one by one."""
+    rows = [("t", 1, "b a b", ["g"], False), ("t", 1, "a", ["g"], False), ("t", 2, None, ["g"], False), ("t", 3, " ", ["g"], False), ("u", 1, "a", ["g"], False)]
+    path = str(tmp_path / "index")
+    P.build(spark.createDataFrame(rows, "tenant_id string, id bigint, content string, acl_groups array<string>, quarantined boolean"), path)
+    found = {(r.tenant_id, r.id, r.term): r.positions for r in spark.read.parquet(f"{path}/postings").collect()}
+    assert found == {("t", 1, "a"): [0, 1], ("t", 1, "b"): [0, 2], ("u", 1, "a"): [0]}
+    words = spark.createDataFrame([("t", 1, ["g"], [["b", "a", "b"], ["a"]])], "tenant_id string, id bigint, acl_groups array<string>, _words array<array<string>>")
+    got = words.mapInArrow(P._positions, "tenant_id string, id bigint, acl_groups array<string>, term string, positions array<int>").collect()
+    assert {r.term: r.positions for r in got} == {"a": [0, 1], "b": [0, 2]}

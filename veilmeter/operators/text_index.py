@@ -14,11 +14,14 @@ the word.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import computed_once
 from ..session import durable, shared_dir
 from .retrieval import CANDIDATES, asked_terms, terms, visible_chunks
 
@@ -28,18 +31,46 @@ SHARDS = 64
 FIRST = 4
 
 
+#: Chunks whose words are sorted at once.
+TOGETHER = 256
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a chunk with its positions in order."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(first, TOGETHER)
+            lists = rows.column("_words")
+            words = pc.list_flatten(lists)
+            in_text = pc.list_parent_indices(words).to_numpy()
+            chunk = pc.list_parent_indices(lists).to_numpy()[in_text]
+            words = pc.list_flatten(words).dictionary_encode()
+            term = words.indices.to_numpy()
+            at = np.arange(len(term)) - np.searchsorted(in_text, in_text)
+            order = np.lexsort((at, term, chunk))
+            chunk, term = chunk[order], term[order]
+            begins = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (term[1:] != term[:-1]))) if len(term) else order
+            kept = rows.drop_columns(["_words"]).take(pa.array(chunk[begins]))
+            offsets = pa.array(np.append(begins, len(term)).astype(np.int32))
+            positions = pa.ListArray.from_arrays(offsets, pa.array(at[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, words.dictionary.take(pa.array(term[begins])), positions], names=[*kept.schema.names, "term", "positions"]
+            )
+
+
 def _shard(tenant: Column, term: Column) -> Column:
     return F.pmod(F.xxhash64(tenant, term), F.lit(SHARDS)).cast("int")
 
 
 def build(chunks: DataFrame, path: str, text: str = "content") -> None:
     """Write the index of the visible ``chunks`` (tenant_id, id, acl_groups, quarantined, text) at ``path``."""
-    split = computed_once(
-        visible_chunks(chunks).select("tenant_id", "id", "acl_groups", F.col(text).alias("_text")), {"_terms": terms(F.col("_text"))}
-    )
-    words = split.select("tenant_id", "id", "acl_groups", F.posexplode("_terms").alias("at", "term"))
-    found = words.groupBy("tenant_id", "term", "id", "acl_groups").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    found = found.select(
+    key = ["tenant_id", "id", "acl_groups"]
+    # Rows of one chunk come together before they are cut into words; then no word is shuffled to be counted.
+    whole = visible_chunks(chunks).groupBy(*key).agg(F.collect_list(text).alias("_texts"))
+    split = whole.select(*key, F.transform("_texts", terms).alias("_words"))
+    types = {f.name: f.dataType.simpleString() for f in whole.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", term string, positions array<int>"
+    found = split.mapInArrow(_positions, schema).select(
         "tenant_id", "term", F.floor(F.col("id") / BLOCK_IDS).alias("block"), "id", "acl_groups", "positions",
         _shard(F.col("tenant_id"), F.col("term")).alias("shard"),
     )
