@@ -103,9 +103,11 @@ def meetings(rows: DataFrame, group: str, bands: int = BANDS, bits: int = BITS,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     keyed = rows.mapInPandas(_keys(bands, bits), f"{schema}, band int, key bigint")
     bucket = [group, "band", "key"]
-    sizes = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts")
-    dealt = keyed.join(sizes.select(*bucket, parts), bucket).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    # Only full buckets are looked up, one in most / 2 rows at most; so the vectors are shuffled once, to where they meet.
+    sizes = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most / 2)
+    cut = sizes.select(*bucket, F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(cut), bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     met = dealt.select("*", other).select(
         "*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
