@@ -6,6 +6,7 @@ import pytest
 from edge import LONG, PROSE, clashing, documents
 
 from veilmeter.llm import suffixes
+from veilmeter.llm.shared import MarkTable, marked_in
 from veilmeter.llm.suffixes import gram_hashes, owners, repeats, transform
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -111,3 +112,28 @@ def test_owners():
     for s in valid:
         low = min(int(x) >> 20 for x in h[s : s + 7])
         assert mine[s] == next(i for i in range(s, s + 7) if int(h[i]) >> 20 == low)
+
+
+def test_single_anchors_are_dropped(spark, monkeypatch):
+    """Least hashes lie close together; in the filter they must not crowd a part of it."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 123, 6000))) for _ in range(90)]
+    passages = [t[:3000] for t in texts[:10]]
+    rows = list(enumerate(texts + [texts[80 + i][:500] + p for i, p in enumerate(passages)]))
+    tables = []
+    monkeypatch.setattr(suffixes, "_GRAM_BITS", 15)
+    monkeypatch.setattr(suffixes, "written", lambda df, write=suffixes.written: tables.append(write(df)) or tables[-1])
+    assert got(repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 400)
+    found = next(t for t in tables if "more" in t.columns)
+    windows = found.selectExpr("sum(more + 1)").first()[0]
+    assert 20 * (3000 - 399) <= windows < 1.15 * 20 * 3000
+
+
+def test_mark_table(spark):
+    rng = np.random.default_rng(9)
+    values = np.append(rng.integers(-(2**63), 2**63, 2048), [0, -1, 2**63 - 1, -(2**63)])
+    table = MarkTable(spark.createDataFrame([(int(v),) for v in values], "v bigint"), 14).sent.value
+    assert marked_in(table, values.view(np.uint64)).all()
+    assert marked_in(table, rng.integers(0, 2**64, 100_000, np.uint64)).mean() < 0.04
+    empty = MarkTable(spark.createDataFrame([], "v bigint"), 14).sent.value
+    assert not marked_in(empty, values.view(np.uint64)).any()
